@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from braidwell.llm.langid import op6_language_id
 from braidwell.llm.simhash import op1_simhash_near_dedup
+from braidwell.llm.substring import op7_substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
