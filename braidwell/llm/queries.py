@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from braidwell.llm.langid import op6_language_id
+from braidwell.llm.mixing import op9_source_mixing
+from braidwell.llm.packing import op2_best_fit_packing
 from braidwell.llm.simhash import op1_simhash_near_dedup
 from braidwell.llm.substring import op7_substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_source_mixing": op9_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

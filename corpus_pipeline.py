@@ -1,18 +1,46 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Language ID drops what no language explains, near-dedup keeps one document of each group, substring dedup
+cuts passages that earlier documents hold, mixing fits the sources to their token budgets, and packing gives
+the bins of training sequences. SQL can't express the first, second, fourth and fifth stage, so ORACLE_SQL is
+None and tests/llm/test_pipeline.py holds the stages against brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwell.llm import simhash
+from braidwell.llm import langid, mixing, packing, simhash, substring
 from braidwell.llm.common import Scratch, read_table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(spark, docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.cleaned(spark, docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark, docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
@@ -21,4 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"{i}-{name}")
+        if i:
+            scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return scratch.keep_with(docs)
