@@ -7,13 +7,19 @@ from braidwell.llm.mixing import op9_source_mixing
 from braidwell.llm.packing import op2_best_fit_packing
 from braidwell.llm.simhash import op1_simhash_near_dedup
 from braidwell.llm.substring import op7_substring_dedup
+from braidwell.llm.urlfilter import op10_url_filter
+from braidwell.llm.warc import op4_warc
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_warc": op4_warc,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": "SELECT page_id, url, html FROM pages",
+}
