@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from braidwell.llm.ann import OP5_SQL, op5_nearest_neighbours
 from braidwell.llm.langid import op6_language_id
+from braidwell.llm.lm import op8_lm_scoring
 from braidwell.llm.mixing import op9_source_mixing
 from braidwell.llm.packing import op2_best_fit_packing
 from braidwell.llm.simhash import op1_simhash_near_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_source_mixing": op9_source_mixing,
     "op10_url_filter": op10_url_filter,
 }
