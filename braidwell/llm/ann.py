@@ -147,14 +147,14 @@ def neighbours(spark: SparkSession, table: DataFrame, k: int = K, block: int = B
     rows = scratch.table(rows, "rows")
     count = rows.count()
     if not count:
-        return scratch.keep_with(rows.selectExpr("vec_id", "vec_id AS neighbour_id", "double(0) AS distance", "int(0) AS rank").limit(0))
+        return rows.selectExpr("vec_id", "vec_id AS neighbour_id", "double(0) AS distance", "int(0) AS rank").limit(0)
     blocks = scratch.table(packed(rows, dimension, count, size=block), "blocks")
     parts = blocks.count()
     seeded = scratch.table(blocks.repartition(parts, "block").mapInArrow(_seed(k), "block long, ids binary, vectors binary, limits binary"), "seeded")
     right = seeded.select(*(F.col(c).alias(f"x_{c}") for c in seeded.columns))
     pairs = seeded.repartition(parts, "block").join(right.repartition(parts, "x_block"), F.col("block") <= F.col("x_block"))
     found = pairs.mapInArrow(_search(k), "vec_id long, neighbour_id long, distance double")
-    return scratch.keep_with(found.repartition("vec_id").mapInArrow(_heaps(k), "vec_id long, neighbour_id long, distance double, rank int"))
+    return found.repartition("vec_id").mapInArrow(_heaps(k), "vec_id long, neighbour_id long, distance double, rank int")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ Intermediate results are Parquet tables in the folder that all executors share
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-import weakref
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -25,22 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_roots: dict[str, SparkSession] = {}
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already; the folder is scratch space
-        pass
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for root, spark in _roots.items():
+        if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc().isStopped() is False:
+            _delete(spark, root)
+        elif root.startswith("file:"):  # the session ended before the process
+            shutil.rmtree(urlparse(root).path, ignore_errors=True)
 
 
 class Scratch:
-    """Intermediate tables of one query. They go when the query's result is no longer referenced."""
+    """Intermediate tables of one query. They last as long as the process: results read them lazily.
+
+    Large ones are dropped by the query that wrote them as soon as nothing reads them.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self._end = weakref.finalize(self, _delete, spark, self.root)
+        _roots[self.root] = spark
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -53,11 +67,6 @@ class Scratch:
     def drop(self, name: str) -> None:
         _delete(self.spark, self.path(name))
 
-    def keep_with(self, df: DataFrame) -> DataFrame:
-        """Tie the tables' life to ``df``."""
-        df._scratch = self
-        return df
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -88,15 +88,12 @@ def select(spark: SparkSession, docs: DataFrame, weights: Mapping[str, float] |
     taken = scratch.table(counts.groupBy("source").applyInPandas(plan, "source string, n_tokens long, take long").where("take > 0"), "taken")
     seeded = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     chosen = sized.join(taken, ["source", "n_tokens"]).withColumn("rank", F.row_number().over(seeded)).where("rank <= take")
-    return scratch.keep_with(chosen.select("doc_id", "source", "n_tokens"))
+    return chosen.select("doc_id", "source", "n_tokens")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that ``select`` takes."""
-    chosen = select(spark, docs, **how)
-    out = keep_ids(docs, chosen)
-    out._scratch = chosen._scratch
-    return out
+    return keep_ids(docs, select(spark, docs, **how))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, shard_t
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_tokens))
     placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(shards)))
-    return scratch.keep_with(placed.groupBy("shard").applyInPandas(_pack(capacity), _OUT))
+    return placed.groupBy("shard").applyInPandas(_pack(capacity), _OUT)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

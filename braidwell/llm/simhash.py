@@ -283,15 +283,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, budget: int = BUDGET,
     out = connected(scratch, pairs.union(copies))
     scratch.drop("exact")
     scratch.drop("prints")
-    return scratch.keep_with(out)
+    return out
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that ``near_duplicates`` names."""
-    gone = near_duplicates(spark, docs, **how)
-    out = drop_ids(docs, gone)
-    out._scratch = gone._scratch
-    return out
+    return drop_ids(docs, near_duplicates(spark, docs, **how))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) ->
     """(doc_id, text, removed) of the documents that lose something: what remains, and the spans that went."""
     scratch = Scratch(spark)
     marked, c = _marked(docs.select("doc_id", "text"), spans(scratch, docs, min_words), "inner")
-    return scratch.keep_with(marked.select("doc_id", _remaining("text", c).alias("text"), F.col(c).alias("removed")))
+    return marked.select("doc_id", _remaining("text", c).alias("text"), F.col(c).alias("removed"))
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -131,7 +131,7 @@ def cleaned(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) ->
     out = marked.withColumn("text", text).where(F.col(c).isNull() | F.col("text").rlike(r"[\p{L}\p{Nd}]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(c).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return scratch.keep_with(out.select(docs.columns))
+    return out.select(docs.columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

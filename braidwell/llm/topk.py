@@ -135,7 +135,7 @@ def top_k(spark: SparkSession, table: DataFrame, k: int = K, block: int = BLOCK)
     rows = scratch.table(rows, "rows")
     count = rows.count()
     if not count:
-        return scratch.keep_with(rows.selectExpr("vec_id", "vec_id AS neighbour_id", "double(0) AS score", "int(0) AS rank").limit(0))
+        return rows.selectExpr("vec_id", "vec_id AS neighbour_id", "double(0) AS score", "int(0) AS rank").limit(0)
     turn = rotation(rows, dimension)
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     blocks = scratch.table(packed(rows, dimension, count, (-length).alias("o"), block), "blocks")
@@ -148,7 +148,7 @@ def top_k(spark: SparkSession, table: DataFrame, k: int = K, block: int = BLOCK)
     found = seeded.repartition(parts, "block").crossJoin(right.repartition(parts, "x_block")).mapInArrow(_search(turn, k), _PAIR)
     order = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return scratch.keep_with(ranked)
+    return ranked
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

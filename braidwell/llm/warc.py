@@ -208,4 +208,4 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = jvm.org.apache.hadoop.fs.Path(target)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
     files = scratch.table(write_pages(read_table(spark, sf_dir, "pages"), target), "files")
-    return scratch.keep_with(pages_of(read_files(files.select("path", "length"))))
+    return pages_of(read_files(files.select("path", "length")))

@@ -51,4 +51,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = scratch.table(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
-    return scratch.keep_with(docs)
+    return docs
