@@ -87,7 +87,8 @@ def select(spark: SparkSession, docs: DataFrame, weights: Mapping[str, float] |
 
     taken = scratch.table(counts.groupBy("source").applyInPandas(plan, "source string, n_tokens long, take long").where("take > 0"), "taken")
     seeded = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    chosen = sized.join(taken, ["source", "n_tokens"]).withColumn("rank", F.row_number().over(seeded)).where("rank <= take")
+    # the window needs the join's partitioning anyway, so nothing is broadcast and nothing is shuffled twice
+    chosen = sized.join(taken.hint("shuffle_hash"), ["source", "n_tokens"]).withColumn("rank", F.row_number().over(seeded)).where("rank <= take")
     return chosen.select("doc_id", "source", "n_tokens")
 
 
