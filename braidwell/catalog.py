@@ -1,12 +1,773 @@
-"""Registered queries of the retrieval engine."""
+"""Registered queries of the retrieval engine over the driver's tables, each with the same in SQL where SQL can say it.
+
+``documents`` are the document corpus, ``events`` an append-only stream, ``conversations`` message threads,
+``embeddings`` a vector source, ``orders`` tasks and issues, ``part`` and ``supplier`` named entities, ``labels``
+judgments; ``benchmark`` gives the batch of queries.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from braidwell.functions import markdown as M
+from braidwell.functions import text as X
+from braidwell.operators import documents as D
+from braidwell.operators import expand as E
+from braidwell.operators import fusion as U
+from braidwell.operators import lineage as L
+from braidwell.operators import records as R
+from braidwell.plans import evaluate as V
+from braidwell.plans import planning as P
+from braidwell.plans import shape as H
+from braidwell.shared import saved, shared_dir
+from braidwell.streaming import events as S
+from braidwell.schema import CANDIDATE, QUERY, SOURCE, conform
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in stamps}) if stamps else df
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# -- SQL building blocks ------------------------------------------------------------------------
+
+WORDS_SQL = "(" + ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS) + ")"
+TASK_WORDS_SQL = "(" + ", ".join(f"'{w}'" for w in X.TASK_STOP_WORDS) + ")"
+
+
+def tok(x: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{Nd}}]+'), lambda t: t <> '' AND length(t) <= 64)"
+
+
+def fp(x: str) -> str:
+    return f"substr(sha256(array_to_string({tok(x)}, ' ')), 1, 16)"
+
+
+def rel(covered: str, retained: str, hits: str, length: str) -> str:
+    return f"""CASE WHEN {retained} <= 0 OR {length} <= 0 THEN 1.0 WHEN {covered} <= 0 OR {hits} <= 0 THEN 0.0
+        ELSE least(1.0, {covered}::DOUBLE / {retained}) * ({hits}::DOUBLE / {length}) / ({hits}::DOUBLE / {length} + 0.02) END"""
+
+
+def bound(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n - 1}) || '…' ELSE {x} END"
+
+
+# -- text ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY term")
+def tokenize_counts(spark, d):
+    each = table(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("term"))
+    per = each.groupBy("term", "doc_id").agg(F.count("*").alias("n"))  # combined per document first: no distinct count over tokens
+    return per.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+@query(r"""SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(list_transform(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}\-_./:]+'),
+    lambda t: regexp_replace(t, '^[-_./:]+|[-_./:]+$', '', 'g')), lambda t: t <> '')) AS term FROM conversations) GROUP BY term""")
+def stream_tokenize(spark, d):
+    return table(spark, d, "conversations").select(F.explode(X.stream_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {fp('text')} AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def fingerprint_dups(spark, d):
+    prints = table(spark, d, "documents").select("doc_id", X.fingerprint(F.col("text")).alias("fingerprint"))
+    return prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS digest FROM documents")
+def body_digest(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.digest(F.col("text")).alias("digest"))
+
+
+@query(rf"""WITH p AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '^(\s*\n)+', ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS lines FROM documents),
+    q AS (SELECT doc_id, array_to_string(CASE WHEN coalesce(list_position(lines, ''), 0) > 0 THEN list_slice(lines, 1, list_position(lines, '') - 1) ELSE lines END, ' ') AS t FROM p)
+    SELECT doc_id, {bound('t', 400)} AS excerpt FROM q""")
+def preview_excerpt(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.preview(F.col("text")).alias("excerpt"))
+
+
+@query(r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS name FROM part WHERE contains(trim(regexp_replace(lower(p_name), '[^\p{L}\p{Nd}]+', ' ', 'g')), ' ')")
+def normalize_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.matchable_name(F.col("p_name")).alias("name")).where("name IS NOT NULL")
+
+
+@query(r"SELECT page_id, length(regexp_replace(html, '(?i)\b(?:https?://|www\.)\S+', '', 'g')) AS n, regexp_matches(html, '(?i)\b(?:https?://|www\.)\S+') AS has_url FROM pages")
+def url_detect(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length(X.strip_urls(F.col("html"))).cast("long").alias("n"), X.contains_url(F.col("html")).alias("has_url"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(html, '(^|[^\p{L}\p{Nd}.+-])(about|blob|chrome|data|file|jar|javascript|resource|vbscript):', '\1[blocked:\2]', 'gi'),
+    '(^|[^\p{L}\p{Nd}.+-])(ftp|ssh|ws|wss|git|chrome-extension):(//)', '\1[blocked:\2]\3', 'gi') AS html FROM pages""")
+def link_neutralize(spark, d):
+    return table(spark, d, "pages").select("page_id", X.neutralize_links(F.col("html")).alias("html"))
+
+
+@query(r"""SELECT sensitivity, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text,
+    '(?i)\b(password|passwd|secret|api[ _-]?key|access[ _-]?token|private[ _-]?key|verification code|one[- ]time (?:code|password)|2fa|mfa|otp)\b') THEN 3 ELSE 1 END AS sensitivity FROM documents) GROUP BY 1""")
+def sensitivity_classify(spark, d):
+    return table(spark, d, "documents").select(X.sensitivity_of(F.col("text")).alias("sensitivity")).groupBy("sensitivity").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY source")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.sum(X.token_estimate(F.col("text"))).alias("tokens"))
+
+
+@query(f"""SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda t: t <> '')) AS words, {bound('text', 200)} AS title,
+    CASE WHEN contains(source || '/' || lang, '/') THEN source ELSE '' END AS project FROM documents""")
+def text_bounds(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.count_terms(F.col("text")).cast("long").alias("words"), X.bounded(F.col("text"), 200).alias("title"), X.project_of(F.concat_ws("/", "source", "lang")).alias("project"))
+
+
+@query(r"SELECT page_id, regexp_replace(html, '[\x00-\x08\x0b-\x1f\x7f]|\x{200e}|\x{200f}|[\x{202a}-\x{202e}]|[\x{2066}-\x{2069}]|\x{fffd}', '', 'g') AS html FROM pages")
+def strip_unsafe(spark, d):
+    return table(spark, d, "pages").select("page_id", X.strip_unsafe(F.col("html")).alias("html"))
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_extract_all(p, '"[^"]*"|`[^`]*`|“[^”]*”'))), lambda r: substr(r, 2, length(r) - 2) || ' '), '') AS quoted FROM documents""")
+def quoted_runs(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.quoted_runs(F.col("text")).alias("quoted"))
+
+
+@query(r"""SELECT o_orderkey, (length(lower(o_orderpriority)) - length(replace(lower(o_orderpriority), 'e', ''))) AS e_count,
+    regexp_matches(lower(o_orderpriority), '(^|[^A-Za-z0-9])low($|[^A-Za-z0-9])') AS has_low FROM orders""")
+def word_containment(spark, d):
+    p = F.lower("o_orderpriority")
+    return table(spark, d, "orders").select("o_orderkey", X.occurrences(p, F.lit("e")).cast("long").alias("e_count"), X.contains_word(p, "low").alias("has_low"))
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(p_name) AS n FROM part), w AS (SELECT DISTINCT unnest(string_split(n, ' ')) AS term FROM t),
+    f AS (SELECT term, CASE WHEN regexp_matches(term, '(s|x|z|ch|sh)$') THEN term || 'es'
+        WHEN term LIKE '%y' AND NOT regexp_matches(term, '[aeiou]y$') THEN left(term, -1) || 'ies' ELSE term || 's' END AS variant FROM w
+      UNION SELECT term, left(term, -1) FROM w WHERE term LIKE '%s' AND NOT regexp_matches(term, '(ss|is|us)$') AND term NOT LIKE '%ies' AND NOT (term LIKE '%es' AND regexp_matches(left(term, -2), '(s|x|z|ch|sh)$')))
+    SELECT term, variant FROM f WHERE length(term) >= 3 AND length(variant) >= 3 AND variant <> term""")
+def number_variants(spark, d):
+    words = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).distinct()
+    return words.select("term", F.explode(X.number_variants(F.col("term"))).alias("variant"))
+
+
+@query(f"SELECT item_id, array_to_string(list_slice(list_distinct_ordered, 1, 12), ' ') AS terms FROM (SELECT item_id, list_filter({tok('text')}, lambda t: t NOT IN {WORDS_SQL}) AS k, list_transform(list_filter(list_zip(k, range(1, len(k) + 1)), lambda p: list_position(k, p[1]) = p[2]), lambda p: p[1]) AS list_distinct_ordered FROM benchmark)")
+def content_terms(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(X.content_terms(F.col("text")), 1, 12), " ").alias("terms"))
+
+
+@query()
+def markdown_sections(spark, d):
+    """Documents written as Markdown with a heading per paragraph, cut into sections with titles, fingerprints and digests."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Document\n"), F.regexp_replace("text", "\n", "\n## Part\n")).alias("text"))
+    return M.chunked(docs, "doc_id").select("doc_id", "ord", "title", "start_line", "end_line", "content_fingerprint", "revision")
+
+
+@query()
+def locator_strip(spark, d):
+    return table(spark, d, "pages").select("page_id", F.length(M.without_locators_udf(F.concat_ws(" ", F.lit("see [x](a(b)c)"), "url", "html"))).alias("n"))
+
+
+# -- index and lexical retrieval ----------------------------------------------------------------
+
+CHUNKS_SQL = f"chunks AS (SELECT doc_id AS chunk_id, {tok('text')} AS tokens FROM documents)"
+INDEX_SQL = f"""{CHUNKS_SQL}, lengths AS (SELECT chunk_id, len(tokens) AS length FROM chunks),
+    postings AS (SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM chunks) GROUP BY ALL),
+    vocabulary AS (SELECT term, count(*) AS df FROM postings GROUP BY term), stats AS (SELECT count(*) AS n, avg(length) AS avg_len FROM lengths)"""
+#: benchmark passages' first words are the batch of queries
+QUERIES_SQL = f"""queries AS (SELECT item_id AS query_id, array_to_string(list_slice({tok('text')}, 1, 6), ' ') AS query FROM benchmark)"""
+TERMS_SQL = f"""{QUERIES_SQL}, raw AS (SELECT query_id, list_distinct({tok('query')}) AS raw FROM queries),
+    kept AS (SELECT *, list_filter(raw, lambda t: t NOT IN {WORDS_SQL}) AS kept FROM raw),
+    terms AS (SELECT query_id, unnest(raw) AS term, len(kept) > 0 AND len(kept) < len(raw) AS normalized FROM kept),
+    content AS (SELECT *, NOT normalized OR term NOT IN {WORDS_SQL} AS content FROM terms)"""
+VARIANTS_SQL = f"""{TERMS_SQL}, open_terms AS (SELECT * FROM content WHERE content AND term NOT IN {WORDS_SQL} AND term NOT IN (SELECT term FROM vocabulary)),
+    forms AS (SELECT query_id, term, unnest([CASE WHEN regexp_matches(term, '(s|x|z|ch|sh)$') THEN term || 'es' WHEN term LIKE '%y' AND NOT regexp_matches(term, '[aeiou]y$') THEN left(term, -1) || 'ies' ELSE term || 's' END,
+        CASE WHEN term LIKE '%ies' AND length(term) >= 6 THEN left(term, -3) || 'y' WHEN term LIKE '%es' AND regexp_matches(left(term, -2), '(s|x|z|ch|sh)$') THEN left(term, -2)
+             WHEN term LIKE '%s' AND NOT regexp_matches(term, '(ss|is|us)$') AND term NOT IN ('lens', 'news') THEN left(term, -1) END,
+        CASE WHEN term LIKE '%ies' AND length(term) >= 6 OR term LIKE '%es' AND regexp_matches(left(term, -2), '(s|x|z|ch|sh)$') THEN left(term, -1) END]) AS spelling FROM open_terms WHERE length(term) >= 3),
+    variants AS (SELECT DISTINCT query_id, term, spelling FROM forms WHERE length(spelling) >= 3 AND spelling <> term AND spelling IN (SELECT term FROM vocabulary))"""
+SEARCH_SQL = f"""{INDEX_SQL}, {VARIANTS_SQL},
+    every_spelling AS (SELECT query_id, term, content, normalized, term AS spelling, 1.0::DOUBLE AS weight FROM content UNION ALL
+        SELECT v.query_id, v.term, c.content, c.normalized, v.spelling, 0.5::DOUBLE FROM variants v JOIN content c USING (query_id, term)),
+    spelled AS (SELECT e.*, e.content OR bool_or(v.term IS NOT NULL AND e.content) OVER (PARTITION BY e.query_id) AS scores FROM every_spelling e LEFT JOIN vocabulary v ON v.term = e.spelling),
+    found AS (SELECT s.query_id, p.chunk_id, sum(CASE WHEN s.scores THEN s.weight * ln(1 + (st.n - v.df + 0.5) / (v.df + 0.5)) * p.tf / (p.tf + 1.2 * (1 - 0.75 + 0.75 * l.length / st.avg_len)) ELSE 0 END) AS raw,
+            count(DISTINCT CASE WHEN s.content THEN s.term END) AS covered, sum(CASE WHEN s.content THEN p.tf ELSE 0 END)::BIGINT AS hits, max(l.length) AS length, bool_or(s.scores) AS scored
+        FROM spelled s JOIN postings p ON p.term = s.spelling JOIN vocabulary v ON v.term = s.spelling JOIN lengths l ON l.chunk_id = p.chunk_id CROSS JOIN stats st GROUP BY s.query_id, p.chunk_id),
+    groups AS (SELECT query_id, count(*) FILTER (content) AS groups, bool_or(normalized) AS normalized FROM content GROUP BY query_id),
+    admitted AS (SELECT f.*, g.groups, round(raw, 6) AS bm25, round(raw * CASE WHEN g.groups > 0 THEN covered::DOUBLE / g.groups ELSE 1.0 END, 6) AS score, round({rel('covered', 'g.groups', 'hits', 'length')}, 6) AS relevance
+        FROM found f JOIN groups g USING (query_id) WHERE scored AND (NOT g.normalized OR covered >= least(g.groups, 2))),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM admitted)"""
+
+
+def chunks(spark, d):
+    return table(spark, d, "documents").withColumn("chunk_id", F.col("doc_id"))
+
+
+def batch(spark, d):
+    """The batch of queries: the first six words of every benchmark passage."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(X.tokens(F.col("text")), 1, 6), " ").alias("query"))
+
+
+@query(f"WITH {INDEX_SQL} SELECT term, chunk_id, tf FROM postings")
+def postings(spark, d):
+    return D.build_index(chunks(spark, d)).postings
+
+
+@query(f"WITH {INDEX_SQL} SELECT n, round(avg_len, 6) AS avg_len, (SELECT count(*) FROM vocabulary) AS terms, (SELECT max(length) FROM lengths) AS longest FROM stats")
+def doc_stats(spark, d):
+    i = D.build_index(chunks(spark, d))
+    return i.stats.crossJoin(i.vocabulary.agg(F.count("*").alias("terms"))).crossJoin(i.lengths.agg(F.max("length").cast("long").alias("longest"))).withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(f"WITH {INDEX_SQL} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM vocabulary CROSS JOIN stats")
+def idf_table(spark, d):
+    i = D.build_index(chunks(spark, d))
+    return i.vocabulary.crossJoin(F.broadcast(i.stats)).select("term", "df", F.round(D.idf(F.col("df"), F.col("n")), 6).alias("idf"))  # stats: one row
+
+
+@query(f"WITH {SEARCH_SQL} SELECT query_id, chunk_id, bm25, covered, score, relevance, rank FROM ranked WHERE rank <= 20")
+def bm25_topk(spark, d):
+    return D.search(D.build_index(chunks(spark, d)), batch(spark, d)).select("query_id", "chunk_id", "bm25", "covered", "score", "relevance", "rank")
+
+
+@query("WITH " + f"{INDEX_SQL}, {VARIANTS_SQL} SELECT query_id, term, spelling FROM variants".replace("SELECT doc_id AS chunk_id", "SELECT p_partkey AS chunk_id").replace(tok("text") + " AS tokens FROM documents", tok("p_name") + " AS tokens FROM part").replace(QUERIES_SQL, "queries AS (SELECT p_partkey AS query_id, p_name || 's' AS query FROM part)"))
+def variant_expansion(spark, d):
+    """Plurals that a corpus of part names lacks, read as the singulars it has."""
+    p = table(spark, d, "part")
+    vocabulary = D.build_index(p.select(F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("text"))).vocabulary
+    return D.resolve_variants(D.query_terms(p.select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit("s")).alias("query"))), vocabulary)
+
+
+@query(f"WITH {TERMS_SQL} SELECT query_id, term, normalized, content FROM content")
+def query_analysis(spark, d):
+    return D.query_terms(batch(spark, d)).select("query_id", "term", "normalized", "content")
+
+
+@query(f"""WITH ids AS (SELECT item_id AS chunk_id, array_to_string(list_slice({tok('text')}, 1, 8), ' ') AS ident FROM benchmark),
+    q AS (SELECT doc_id AS query_id, ' ' || array_to_string({tok('text')}, ' ') || ' ' AS query FROM documents)
+    SELECT query_id, chunk_id, false AS alias FROM q JOIN ids ON contains(query, ' ' || ident || ' ')""")
+def exact_identifier(spark, d):
+    """Identifiers (the first eight words of benchmark passages) that stand in texts, token by token."""
+    idents = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.array_join(F.slice(X.tokens(F.col("text")), 1, 8), " ").alias("ident"), F.lit(False).alias("alias"))
+    return D.identifier_matches(table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), idents)
+
+
+@query(f"""WITH {INDEX_SQL} SELECT chunk_id FROM postings WHERE term IN ('the', 'apache', 'license') GROUP BY chunk_id HAVING count(DISTINCT term) = 3""")
+def entity_filter(spark, d):
+    return D.entity_filter(D.build_index(chunks(spark, d)), ["the License", "Apache"])
+
+
+@query(f"""WITH {INDEX_SQL}, q(term) AS (VALUES ('the'), ('apache')), hit AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avg_len))) AS s
+        FROM q JOIN postings USING (term) JOIN vocabulary USING (term) JOIN lengths USING (chunk_id) CROSS JOIN stats WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lower(source) = 'src0') GROUP BY chunk_id)
+    SELECT chunk_id, round(s, 6) AS bm25 FROM hit WHERE chunk_id IN (SELECT chunk_id FROM postings WHERE term = 'apache')""")
+def filtered_search(spark, d):
+    """A filter decides who is scored; document frequencies stay those of the whole corpus."""
+    allowed = D.document_filter(chunks(spark, d), project="SRC0", of="source").select("chunk_id")
+    q = values(spark, [(1, "the apache")], "query_id long, query string")
+    i = D.build_index(chunks(spark, d))
+    found = D.score(i, D.spellings(D.query_terms(q), i.postings.join(allowed, "chunk_id", "left_semi").select("term").distinct()), allowed)
+    return found.where("covered >= 1").select("chunk_id", "bm25")
+
+
+# -- streams, tasks, issues, mail, vectors ------------------------------------------------------
+
+STREAM_QUERIES = [(1, "purchase error"), (2, "view 76"), (3, "signup 12"), (4, "event 7")]
+
+
+def stream_fields():
+    return {"title": (F.col("event_type"), R.STREAM_WEIGHTS["title"]), "metadata": (F.col("user_id").cast("string"), R.STREAM_WEIGHTS["metadata"]), "text": (F.col("props"), R.STREAM_WEIGHTS["text"])}
+
+
+STREAM_SQL = r"""q(query_id, query) AS (VALUES (1, 'purchase error'), (2, 'view 76'), (3, 'signup 12'), (4, 'event 7')),
+    want AS (SELECT query_id, unnest(list_distinct(string_split(query, ' '))) AS term, len(list_distinct(string_split(query, ' '))) AS n FROM q),
+    ft AS (SELECT event_id, unnest(list_filter(list_transform(regexp_split_to_array(lower(event_type), '[^\p{L}\p{Nd}\-_./:]+'), lambda t: regexp_replace(t, '^[-_./:]+|[-_./:]+$', '', 'g')), lambda t: t <> '')) AS term, 1.0::DOUBLE AS w FROM events
+        UNION ALL SELECT event_id, user_id::VARCHAR, 0.5::DOUBLE FROM events
+        UNION ALL SELECT event_id, unnest(list_filter(list_transform(regexp_split_to_array(lower(props), '[^\p{L}\p{Nd}\-_./:]+'), lambda t: regexp_replace(t, '^[-_./:]+|[-_./:]+$', '', 'g')), lambda t: t <> '')), 0.4::DOUBLE FROM events),
+    fw AS (SELECT event_id, term, max(w) AS w FROM ft GROUP BY ALL),
+    found AS (SELECT query_id, event_id, round(sum(w) / max(n), 6) AS score FROM want JOIN fw USING (term) GROUP BY ALL),
+    exact AS (SELECT DISTINCT query_id, event_id FROM want JOIN events ON event_id::VARCHAR = term),
+    joined AS (SELECT coalesce(f.query_id, e.query_id) AS query_id, coalesce(f.event_id, e.event_id) AS event_id, coalesce(score, 0) AS score, e.event_id IS NOT NULL AS exact FROM found f FULL JOIN exact e USING (query_id, event_id))"""
+
+
+@query(f"WITH {STREAM_SQL} SELECT query_id::BIGINT AS query_id, event_id, score, exact, rank FROM (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, score DESC, ts DESC, b.event_id)::INTEGER AS rank FROM joined b JOIN events USING (event_id)) WHERE rank <= 20")
+def stream_search(spark, d):
+    q = values(spark, STREAM_QUERIES, "query_id long, query string")
+    return R.search_fields(table(spark, d, "events"), q, "event_id", stream_fields(), [F.col("event_id")], "ts", variants=False).select("query_id", "event_id", "score", "exact", "rank")
+
+
+@query("""SELECT event_type, count(*) AS n, max(ts) AS latest FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts <= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-04 12:00:00' GROUP BY event_type""")
+def stream_asof(spark, d):
+    events = R.in_window(table(spark, d, "events"), "ts", *(F.lit(x).cast("timestamp") for x in ("2024-01-02", "2024-01-05", "2024-01-04 12:00:00")))
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
+
+
+def tasks(spark, d):
+    o = table(spark, d, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "DONE").when(F.col("o_orderstatus") == "O", "TODO").otherwise("WAITING")
+    fields = R.task_fields(state, F.array(F.lower("o_orderpriority")), F.array().cast("array<string>"), F.concat(F.lit("customer "), F.col("o_custkey").cast("string")), F.lit(None).cast("string"))
+    return o.select(F.lpad(F.lower(F.hex("o_orderkey")), 8, "0").alias("id"), F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" "), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]+", " "))).alias("title"), fields.alias("fields"), state.alias("state"),
+        F.substring("o_orderpriority", 1, 1).alias("digit"), F.col("o_orderdate").alias("at"), "o_custkey", "o_orderkey").withColumn("priority", F.element_at(F.array(*map(F.lit, "ABCDE")), F.col("digit").cast("int")))
+
+
+TASKS_SQL = """tasks AS (SELECT o_orderkey, lpad(lower(to_hex(o_orderkey)), 8, '0') AS id, 'Order ' || o_orderkey || ' ' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]+', ' ', 'g')) AS title, CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'O' THEN 'TODO' ELSE 'WAITING' END AS state, o_orderdate AS due,
+    substr('ABCDE', left(o_orderpriority, 1)::INTEGER, 1) AS priority, o_custkey, lower(o_orderpriority) AS tag FROM orders),
+    t AS (SELECT *, lower(state) || ' ' || tag || ' customer ' || o_custkey AS fields, lower(title) AS low FROM tasks)"""
+TASK_QUERIES = [(1, "the urgent order"), (2, "customer low"), (3, "0000000a high")]
+_TERMS_OF = "(VALUES (1, 'urgent', 2), (1, 'order', 2), (2, 'customer', 2), (2, 'low', 2), (3, '0000000a', 2), (3, 'high', 2)) AS w(query_id, term, n)"
+TASK_MATCH_SQL = f"""{TASKS_SQL}, p AS (SELECT query_id, term, n, t.*, regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') AS word, contains(low, term) AS part, regexp_matches(fields, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') AS field FROM t, {_TERMS_OF}),
+    per AS (SELECT *, CASE WHEN word THEN 1.0 WHEN part THEN 0.6 ELSE 0.0 END::DOUBLE + CASE WHEN field THEN 0.5 ELSE 0.0 END::DOUBLE AS points, (length(low || ' ' || fields) - length(replace(low || ' ' || fields, term, ''))) // length(term) AS hits,
+        len(list_filter(regexp_split_to_array(low || ' ' || fields, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS length FROM p WHERE part OR field),
+    matched AS (SELECT query_id, id, any_value(due) AS due, any_value(priority) AS priority, round(sum(points) * CASE WHEN any_value(state) = 'DONE' THEN 0.25 ELSE 1.0 END, 6) AS score, round({rel('count(*)', 'max(n)', 'sum(hits)', 'max(length)')}, 6) AS relevance FROM per GROUP BY query_id, id)"""
+
+
+@query(f"""WITH {TASK_MATCH_SQL}, ex AS (SELECT 3 AS query_id, '0000000a' AS id, 0 AS mention WHERE EXISTS (SELECT 1 FROM t WHERE id = '0000000a')),
+    joined AS (SELECT coalesce(m.query_id, e.query_id) AS query_id, coalesce(m.id, e.id) AS id, coalesce(score, 0) AS score, relevance, mention FROM matched m FULL JOIN ex e USING (query_id, id)),
+    r AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY mention NULLS LAST, score DESC, t.due NULLS LAST, CASE WHEN t.priority IN ('A', 'B', 'C') THEN ascii(t.priority) - 65 ELSE 4 END, b.id)::INTEGER AS rank FROM joined b JOIN t USING (id))
+    SELECT query_id::BIGINT AS query_id, id, score, relevance, rank FROM r WHERE rank <= 20""")
+def task_rank(spark, d):
+    q = values(spark, TASK_QUERIES, "query_id long, query string")
+    t = tasks(spark, d)
+    exact = R.exact_ids(q, "[0-9a-f]{8}").join(t.select("id"), "id", "left_semi")
+    return R.task_order(R.task_match(t, q), exact, t).select("query_id", "id", "score", "relevance", "rank")
+
+
+@query("""SELECT coalesce(facet, 'kept') AS facet, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus NOT IN ('O', 'P') THEN 'states' WHEN left(o_orderpriority, 1) NOT IN ('1', '2', '3') THEN 'priorities' WHEN lower(o_orderpriority) = '3-medium' THEN 'exclude_tags' END AS facet FROM orders) GROUP BY 1""")
+def facet_exclusions(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("state"), F.substring("o_orderpriority", 1, 1).alias("priority"), F.array("o_orderpriority").alias("tags"))
+    return R.facet_exclusions(o, states=["o", "P"], priorities=["1", "2", "3"], exclude_tags=["3-MEDIUM"]).groupBy(F.coalesce("facet", F.lit("kept")).alias("facet")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE ('customer ' || o_custkey) = 'customer 7' OR (lower(o_orderpriority) = '1-urgent' AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30')""")
+def task_filter(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("Customer "), F.col("o_custkey")).alias("project"), F.array("o_orderpriority").alias("tags"), F.array().cast("array<string>").alias("contexts"), F.lit(None).cast("timestamp").alias("deadline"), F.col("o_orderdate").alias("scheduled"))
+    ts = lambda x: F.lit(x).cast("timestamp")
+    return R.task_request(o, project="CUSTOMER 7").select("o_orderkey").union(R.task_request(o, entities=["1-Urgent"], since=ts("1997-01-01"), until=ts("1997-06-30")).select("o_orderkey")).distinct()
+
+
+@query("""WITH hits AS (SELECT 1 AS query_id, 'segment' AS probe, c_custkey AS id, 3 AS score, 'title' AS field FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 1, 'rich', c_custkey, 2, 'description' FROM customer WHERE c_acctbal > 5000
+        UNION ALL SELECT 1, 'nation', c_custkey, 1, 'labels' FROM customer WHERE c_nationkey < 5),
+    m AS (SELECT query_id, id, count(DISTINCT probe) AS probes, max(score) AS native FROM hits GROUP BY ALL)
+    SELECT query_id::BIGINT AS query_id, id, probes, native, rank FROM (SELECT m.*, row_number() OVER (ORDER BY probes DESC, native DESC, 'P' || c_nationkey % 5, c_acctbal DESC, id)::INTEGER AS rank FROM m JOIN customer ON c_custkey = id) WHERE rank <= 20""")
+def issue_rank(spark, d):
+    c = table(spark, d, "customer")
+    probe = lambda name, where, score, field: c.where(where).select(F.lit(1).cast("long").alias("query_id"), F.lit(name).alias("probe"), F.col("c_custkey").alias("id"), F.lit(score).alias("score"), F.lit(field).alias("field"))
+    hits = P.pooled([probe("segment", "c_mktsegment = 'BUILDING'", 3, "title"), probe("rich", "c_acctbal > 5000", 2, "description"), probe("nation", "c_nationkey < 5", 1, "labels")])
+    issues = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("P"), F.col("c_nationkey") % 5).alias("priority"), F.col("c_acctbal").alias("updated_at"))
+    none = values(spark, [], "query_id long, id long, mention int")
+    return R.issue_order(R.merge_probes(hits), none, issues).select("query_id", "id", "probes", "native", "rank")
+
+
+@query("SELECT c_custkey, substr(sha256('store' || chr(0) || c_custkey || chr(0) || c_nationkey), 1, 16) AS fingerprint FROM customer")
+def issue_fingerprints(spark, d):
+    return table(spark, d, "customer").select("c_custkey", R.issue_fingerprint(F.lit("store"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")).alias("fingerprint"))
+
+
+@query(f"""WITH th AS (SELECT conv_id AS id, {tok("string_agg(role, ' ' ORDER BY turn) || ' ' || min_by(text, turn)")} AS have FROM conversations GROUP BY conv_id), {QUERIES_SQL},
+    q AS (SELECT query_id, list_distinct(list_filter({tok('query')}, lambda t: t NOT IN {WORDS_SQL})) AS k, list_distinct({tok('query')}) AS r FROM queries),
+    w AS (SELECT query_id, CASE WHEN len(k) > 0 THEN k ELSE r END AS want FROM q),
+    p AS (SELECT query_id, id, len(list_filter(want, lambda t: list_contains(have, t))) AS covered, len(want) AS n, len(list_filter(have, lambda t: list_contains(want, t))) AS hits, len(have) AS length FROM th, w)
+    SELECT query_id, id, covered, round({rel('covered', 'n', 'hits', 'length')}, 6) AS relevance FROM p WHERE covered > 0""")
+def message_header_relevance(spark, d):
+    c = table(spark, d, "conversations")
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), " ")
+    threads = c.groupBy(F.col("conv_id").alias("id")).agg(roles.alias("sender"), F.min_by("text", "turn").alias("subject"))
+    return R.header_relevance(threads, batch(spark, d)).where("covered > 0").withColumn("covered", F.col("covered").cast("long"))
+
+
+@query("""WITH t(id, date) AS (VALUES (1, '2024-01-02 10:00:00'), (2, '2024-01-02 10:00'), (3, '2024-01-02'), (4, 'soon'), (5, '2024-01-05'), (6, NULL), (7, '2024-01-03 00:00')),
+    s AS (SELECT id, coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), try_strptime(date, '%Y-%m-%d %H:%M'), try_strptime(date, '%Y-%m-%d')) AS a, CASE WHEN try_strptime(date, '%Y-%m-%d %H:%M:%S') IS NOT NULL THEN 0 WHEN try_strptime(date, '%Y-%m-%d %H:%M') IS NOT NULL THEN 59 ELSE 86399 END AS w FROM t)
+    SELECT id::BIGINT AS id, CASE WHEN a IS NULL THEN 'unknown' WHEN a + to_seconds(w) < TIMESTAMP '2024-01-02 12:00:00' OR a > TIMESTAMP '2024-01-04' THEN 'dropped' WHEN a >= TIMESTAMP '2024-01-02 12:00:00' AND a + to_seconds(w) <= TIMESTAMP '2024-01-04' THEN 'inside' ELSE 'uncertain' END AS verdict FROM s""")
+def date_precision(spark, d):
+    t = values(spark, [(1, "2024-01-02 10:00:00"), (2, "2024-01-02 10:00"), (3, "2024-01-02"), (4, "soon"), (5, "2024-01-05"), (6, None), (7, "2024-01-03 00:00")], "id long, date string")
+    return R.date_filter(t, "date", "2024-01-02 12:00:00", "2024-01-04 00:00:00").select("id", "verdict")
+
+
+@query("""SELECT role, count(*) AS threads FROM (SELECT conv_id, min_by(role, turn) AS role, bool_or(contains(lower(text), 'the')) AS hint FROM conversations GROUP BY conv_id) WHERE hint GROUP BY role""")
+def mail_flags(spark, d):
+    threads = table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"), F.max(F.contains(F.lower("text"), F.lit("the"))).alias("the"))
+    labels = F.array_compact(F.array(F.lit("INBOX"), F.when(F.col("the"), F.lit("UNREAD"))))
+    return threads.where(R.mail_flags(labels, F.col("role"))["needs_reply_hint"]).groupBy("role").agg(F.count("*").alias("threads"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, e.vec_id, round(greatest(0, least(1, list_cosine_similarity(e.embedding::DOUBLE[], v::DOUBLE[]))), 4) AS relevance FROM embeddings e, q)
+    SELECT query_id, vec_id, relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 20""")
+def vector_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    return R.vector_search(e, e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+
+
+@query(f"""WITH n AS (SELECT s_suppkey AS note, s_name AS title, n_name AS heading, r_name AS tag FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    f AS (SELECT note, unnest({tok('title')}) AS term, 1.0::DOUBLE AS w FROM n UNION ALL SELECT note, unnest({tok('heading')}), 0.8 FROM n UNION ALL SELECT note, unnest({tok('tag')}), 0.6 FROM n),
+    m AS (SELECT note, term, max(w) AS w FROM f GROUP BY ALL), s AS (SELECT note, round(sum(w) / 3, 6) AS local_score FROM m WHERE term IN ('supplier', 'asia', '3') GROUP BY note)
+    SELECT note, local_score, rank FROM (SELECT *, row_number() OVER (ORDER BY local_score DESC, note)::INTEGER AS rank FROM s) WHERE rank <= 20""")
+def note_search(spark, d):
+    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    notes = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(F.col("s_suppkey").alias("note"), "s_name", "n_name", "r_name")
+    terms = R.field_terms(notes, "note", {"title": (F.col("s_name"), 1.0), "heading": (F.col("n_name"), 0.8), "tag": (F.col("r_name"), 0.6)}, X.tokens)
+    found = R.field_match(terms, values(spark, [(1, "supplier asia 3")], "query_id long, query string"), "note", X.tokens, False)
+    return R.ranked(R.note_score(found), F.desc("local_score"), F.col("note")).select("note", "local_score", "rank")
+
+
+# -- permission, lineage, fusion ----------------------------------------------------------------
+
+
+@query("SELECT lang, count(*) FILTER (s <= 1) AS admitted, count(*) FILTER (s > 1) AS denied FROM (SELECT lang, greatest(doc_id % 4, CASE lang WHEN 'de' THEN 1 ELSE 0 END) AS s FROM documents) GROUP BY lang")
+def permit_ceiling(spark, d):
+    c = table(spark, d, "documents").select("lang", F.col("lang").alias("source_uid"), (F.col("doc_id") % 4).cast("int").alias("sensitivity"))
+    floors = values(spark, [("de", 1)], "source_uid string, sensitivity int")
+    return P.raised(c, floors).groupBy("lang").agg(F.count_if(F.col("sensitivity") <= 1).alias("admitted"), F.count_if(F.col("sensitivity") > 1).alias("denied"))
+
+
+def tree(spark, d):
+    """Orders derive from customers, customers from nations, nations from regions."""
+    o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
+    name = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
+    edges = P.pooled([o.select(name("orders", "o_orderkey").alias("child"), name("customer", "o_custkey").alias("parent")), c.select(name("customer", "c_custkey").alias("child"), name("nation", "c_nationkey").alias("parent")), n.select(name("nation", "n_nationkey").alias("child"), name("region", "n_regionkey").alias("parent"))])
+    nodes = P.pooled([o.select(name("orders", "o_orderkey").alias("node")), c.select(name("customer", "c_custkey").alias("node")), n.select(name("nation", "n_nationkey").alias("node"))])
+    return nodes, edges
+
+
+@query("""SELECT 'orders:' || o_orderkey AS node, CASE WHEN n_regionkey IS NOT NULL THEN 'region:' || n_regionkey WHEN c_nationkey IS NOT NULL THEN 'nation:' || c_nationkey ELSE 'customer:' || o_custkey END AS root,
+    CASE WHEN n_regionkey IS NOT NULL THEN 3 WHEN c_nationkey IS NOT NULL THEN 2 ELSE 1 END AS depth FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def lineage_roots(spark, d):
+    nodes, edges = tree(spark, d)
+    return L.roots(nodes, edges).where("node LIKE 'orders:%'").select("node", "root", "depth")
+
+
+@query()
+def lineage_cycle(spark, d):
+    """Cycles, chains past the depth limit and composite records, made from the keys of parts."""
+    p = table(spark, d, "part").select("p_partkey")
+    node = lambda e: F.concat(F.lit("part:"), e.cast("string"))
+    k = F.col("p_partkey")
+    edges = p.select(node(k).alias("child"), node(F.when(k % 10 < 3, k - k % 10 + (k + 1) % 3).otherwise(k + 1)).alias("parent")).union(p.where(k % 17 == 0).select(node(k), node(k + 5)))
+    return L.roots(p.select(node(k).alias("node")), edges).select("node", "root", "depth", "reason", F.array_join("ancestors", ",").alias("ancestors"))
+
+
+@query("SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'source_not_configured' END AS reason FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def locator_resolution(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit(":order:"), F.col("o_orderkey")).alias("locator"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("source_uid"), F.col("c_custkey").cast("string").alias("source_id"))
+    return L.resolve(o, s).select("o_orderkey", "reason")
+
+
+def pool(spark, d):
+    """A pool of candidates: orders found by three sources with ranks, relevances and shared records."""
+    o = table(spark, d, "orders").where("o_orderkey < 4000")
+    part = lambda n, r: o.where(F.col("o_orderkey") % n == r).select((F.col("o_custkey") % 20).alias("query_id"), F.lit(f"s{n}").alias("source_uid"), F.col("o_orderkey").alias("key"))
+    c = P.pooled([part(2, 0), part(3, 0), part(5, 1)])
+    c = c.withColumn("local_rank", F.row_number().over(Window.partitionBy("query_id", "source_uid").orderBy("key")))
+    return c.withColumn("relevance", F.when(F.col("key") % 7 == 0, F.lit(None)).otherwise((F.col("key") % 11) / 8.0 - 0.2).cast("double")).withColumn("root", F.concat(F.lit("r"), (F.col("key") / 2).cast("long")))
+
+
+POOL_SQL = """c0 AS (SELECT o_custkey % 20 AS query_id, 's2' AS source_uid, o_orderkey AS key FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 2 = 0 UNION ALL SELECT o_custkey % 20, 's3', o_orderkey FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 3 = 0
+        UNION ALL SELECT o_custkey % 20, 's5', o_orderkey FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 5 = 1),
+    pool AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_uid ORDER BY key) AS local_rank, CASE WHEN key % 7 = 0 THEN NULL ELSE (key % 11) / 8.0::DOUBLE - 0.2::DOUBLE END AS relevance, 'r' || (key // 2) AS root FROM c0),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id, root, source_uid ORDER BY local_rank, key::VARCHAR) AS nth, CASE WHEN relevance IS NULL THEN 1 WHEN relevance < 0 THEN 0 WHEN relevance > 1 THEN 1 ELSE relevance END AS rel,
+        CASE source_uid WHEN 's2' THEN 1.5 WHEN 's3' THEN 1.0 ELSE 0.5 END::DOUBLE AS prior FROM pool)"""
+
+
+def pool_sources(spark):
+    return values(spark, [("s2", 1.0, {"natural_language": 1.5}), ("s3", 1.0, {}), ("s5", 0.2, None)], "source_uid string, base_prior double, intent_priors map<string,double>")
+
+
+@query(f"WITH {POOL_SQL} SELECT query_id, root, round(max(prior * rel / (60 + local_rank)), 9) AS score FROM best WHERE nth = 1 GROUP BY query_id, root")
+def group_score(spark, d):
+    c = pool(spark, d).withColumn("local", F.col("key").cast("string")).withColumn("candidate_id", F.col("key").cast("string"))
+    return U.group_scores(c, pool_sources(spark), query_class="natural_language").withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {POOL_SQL}, g AS (SELECT query_id, root, max(prior * rel / (60 + local_rank)) AS score FROM best WHERE nth = 1 GROUP BY query_id, root)
+    SELECT query_id, substr(root, 1, 3) AS cluster, round(least(sum(score), 2 * max(score)), 9) AS score, round(sum(score), 9) > round(2 * max(score), 9) AS cap_applied FROM g GROUP BY ALL""")
+def corroboration_cap(spark, d):
+    c = pool(spark, d).withColumn("local", F.col("key").cast("string")).withColumn("candidate_id", F.col("key").cast("string"))
+    units = U.group_scores(c, pool_sources(spark), query_class="natural_language").withColumn("cluster", F.substring("root", 1, 3))
+    out = units.groupBy("query_id", "cluster").agg(F.sum("score").alias("t"), (F.max("score") * 2).alias("m"))
+    return out.select("query_id", "cluster", F.round(F.least("t", "m"), 9).alias("score"), (F.round("t", 9) > F.round("m", 9)).alias("cap_applied"))
+
+
+@query(f"WITH {POOL_SQL} SELECT source_uid, local_rank, count(*) AS n, round(avg(rel), 9) AS relevance FROM best WHERE nth = 1 GROUP BY ALL")
+def best_rank_relevance(spark, d):
+    c = pool(spark, d).withColumn("local", F.col("key").cast("string")).withColumn("candidate_id", F.col("key").cast("string"))
+    b = U.best_by_source(c, ["query_id", "root"])
+    return b.groupBy("source_uid", F.col("local_rank").cast("long").alias("local_rank")).agg(F.count("*").alias("n"), F.round(F.avg(U.effective_relevance(F.col("relevance"))), 9).alias("relevance"))
+
+
+@query("""WITH names AS (SELECT p_partkey, 'name' || lower(p_name) AS key FROM part UNION ALL SELECT p_partkey, 'brand' || p_brand || p_size FROM part WHERE p_size < 3)
+    SELECT key, min(p_partkey) AS first_id, count(*) AS n FROM names GROUP BY key HAVING count(*) > 1""")
+def entity_clusters(spark, d):
+    p = table(spark, d, "part")
+    keys = F.array_compact(F.array(F.concat(F.lit("name"), X.normalized_name(F.col("p_name"))), F.when(F.col("p_size") < 3, F.concat(F.lit("brand"), "p_brand", "p_size"))))
+    return p.select("p_partkey", F.explode(keys).alias("key")).groupBy("key").agg(F.min("p_partkey").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("""WITH RECURSIVE link AS (SELECT DISTINCT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment WHERE a.c_custkey < 120 AND b.c_custkey < 120),
+    reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x) SELECT x AS node, min(y) AS component FROM reach GROUP BY x""")
+def connected_components(spark, d):
+    c = table(spark, d, "customer").where("c_custkey < 120")
+    links = c.select(F.col("c_custkey").alias("node"), F.concat_ws("|", "c_nationkey", "c_mktsegment").alias("key"))
+    shared_dir(spark)
+    return U.components(links)
+
+
+# -- selection ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {POOL_SQL}, g AS (SELECT query_id, root, max(rel) AS top, count(*) AS n FROM best GROUP BY ALL), k AS (SELECT *, count(*) FILTER (top >= 0.1) OVER (PARTITION BY query_id) AS kept FROM g)
+    SELECT query_id, root, n FROM k WHERE top < 0.1 AND kept > 0""")
+def relevance_floor(spark, d):
+    """Groups below the floor; where it would leave a query nothing it stands down."""
+    g = pool(spark, d).groupBy("query_id", "root").agg(F.max(U.floor_relevance(F.col("relevance"))).alias("top"), F.count("*").alias("n"))
+    kept = F.count_if(F.col("top") >= 0.1).over(Window.partitionBy("query_id"))
+    return g.withColumn("kept", kept).where("top < 0.1 AND kept > 0").select("query_id", "root", "n")
+
+
+@query(f"""WITH f AS (SELECT doc_id, source, {fp('text')} AS p FROM documents) SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source, p ORDER BY doc_id) AS n FROM f) WHERE n > 1""")
+def near_duplicate(spark, d):
+    f = table(spark, d, "documents").select("doc_id", "source", X.fingerprint(F.col("text")).alias("p"))
+    return f.withColumn("n", F.row_number().over(Window.partitionBy("source", "p").orderBy("doc_id"))).where("n > 1").select("doc_id", "source")
+
+
+@query(f"""WITH {POOL_SQL}, o AS (SELECT query_id, source_uid, key, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, key, source_uid) AS pos FROM best), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_uid ORDER BY pos) > 5 AS demoted FROM o),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY demoted, pos)::INTEGER AS final FROM b) SELECT query_id, source_uid, key, demoted, final FROM f WHERE final <= 12""")
+def diversity_cap(spark, d):
+    c = pool(spark, d).withColumn("rel", U.effective_relevance(F.col("relevance")))
+    c = c.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "key", "source_uid")))
+    c = c.withColumn("demoted", F.row_number().over(Window.partitionBy("query_id", "source_uid").orderBy("pos")) > 5)
+    return c.withColumn("final", F.row_number().over(Window.partitionBy("query_id").orderBy("demoted", "pos"))).where("final <= 12").select("query_id", "source_uid", "key", "demoted", "final")
+
+
+@query(f"WITH {POOL_SQL} SELECT query_id, count(DISTINCT root) AS roots, count(*) AS n FROM best WHERE root NOT IN (SELECT DISTINCT root FROM pool WHERE key % 100 < 10) GROUP BY query_id")
+def lineage_suppression(spark, d):
+    c = pool(spark, d)
+    seen = c.where("key % 100 < 10").select("root").distinct()
+    return c.join(seen, "root", "left_anti").groupBy("query_id").agg(F.countDistinct("root").alias("roots"), F.count("*").alias("n"))
+
+
+# -- shaping, expansion -------------------------------------------------------------------------
+
+COST_SQL = """r AS (SELECT doc_id % 10 AS query_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id)::INTEGER AS position, (least(length(text), 400) + 3) // 4 AS whole, 12 AS small FROM documents WHERE doc_id < 200),
+    s AS (SELECT *, 50 + sum(whole) OVER (PARTITION BY query_id ORDER BY position) AS acc, 400 + query_id * 60 AS budget FROM r), m AS (SELECT *, acc > budget AS missed FROM s),
+    u AS (SELECT *, coalesce(max(acc) FILTER (NOT missed) OVER (PARTITION BY query_id), 50) + sum(CASE WHEN missed THEN small ELSE 0 END) OVER (PARTITION BY query_id ORDER BY position) AS acc2 FROM m)"""
+
+
+@query(f"WITH {COST_SQL} SELECT query_id, position, CASE WHEN NOT missed THEN 'whole' WHEN acc2 <= budget THEN 'compressed' END AS kept, CASE WHEN NOT missed THEN acc::BIGINT WHEN acc2 <= budget THEN acc2::BIGINT END AS tokens FROM u")
+def budget_running_sum(spark, d):
+    docs = table(spark, d, "documents").where("doc_id < 200").withColumn("query_id", F.col("doc_id") % 10)
+    r = docs.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).alias("position"), X.token_estimate(F.substring("text", 1, 400)).alias("whole"), F.lit(12).cast("long").alias("compressed"))
+    budgets = r.select("query_id").distinct().select("query_id", (400 + F.col("query_id") * 60).alias("budget"), F.lit(50).cast("long").alias("frame"))
+    return H.shape(r, budgets).select("query_id", "position", "kept", "tokens")
+
+
+@query("SELECT a.event_id AS anchor, b.event_id FROM events a JOIN events b ON abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 900000000 WHERE a.event_id < 200")
+def episode_window(spark, d):
+    e = table(spark, d, "events")
+    return E.episodes(e.where("event_id < 200"), e, "event_id", "ts")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 900000000 PRECEDING AND 900000000 FOLLOWING) AS episode FROM events")
+def episode_sizes(spark, d):
+    return E.episode_sizes(table(spark, d, "events"), "event_id", "ts", ["event_type"])
+
+
+@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS lines FROM documents")
+def line_slice(spark, d):
+    path, first, last = E.line_range(F.concat(F.col("source"), F.lit("/a.md#L2-L4")))
+    return table(spark, d, "documents").select("doc_id", E.line_slice(F.col("text"), first, last, "full").alias("lines"))
+
+
+@query("SELECT conv_id, count(*) AS messages, string_agg(coalesce(role, '?') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def thread_expand(spark, d):
+    return E.threads(table(spark, d, "conversations"))
+
+
+@query("""SELECT chosen, o_orderkey, place FROM (SELECT a.o_orderkey AS chosen, b.o_orderkey, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderkey)::INTEGER AS place FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey WHERE a.o_orderkey % 50 = 0) WHERE place <= 20""")
+def project_siblings(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return E.siblings(o, o.where("o_orderkey % 50 = 0"), "o_orderkey", "o_custkey")
+
+
+# -- planning -----------------------------------------------------------------------------------
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'disabled' WHEN s_nationkey >= 20 THEN 'out_of_scope' WHEN s_suppkey % 4 > 2 THEN 'sensitivity_ceiling' END AS reason FROM supplier""")
+def eligibility(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") >= 0).alias("enabled"), F.col("s_nationkey").cast("string").alias("source_id"), (F.col("s_suppkey") % 4).alias("sensitivity"))
+    return s.withColumn("reason", P.static_reason([str(i) for i in range(20)], 2)).select("s_suppkey", "reason")
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_type, p_brand || p_name) > 1 AS conflict FROM part")
+def store_conflict(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("adapter"), F.concat("p_brand", "p_name").alias("identity"))
+    return P.store_conflicts(p).select("p_partkey", "conflict")
+
+
+def reports(spark, d):
+    e = table(spark, d, "events")
+    o = F.element_at(F.array(*map(F.lit, ("success", "partial", "skipped", "failed", "skipped"))), (F.col("event_id") % 5 + 1).cast("int"))
+    why = F.when(F.col("event_id") % 5 == 2, "out_of_scope").when(F.col("event_id") % 5 == 4, "as_of_unsupported")
+    return e.where("event_id % 7 < 2").select((F.col("event_id") / 4).cast("long").alias("query_id"), F.col("event_type").alias("source_id"), o.alias("outcome"), why.alias("reason"))
+
+
+REPORTS_SQL = """rep AS (SELECT event_id // 4 AS query_id, event_type AS source_id, (['success', 'partial', 'skipped', 'failed', 'skipped'])[event_id % 5 + 1] AS outcome, CASE event_id % 5 WHEN 2 THEN 'out_of_scope' WHEN 4 THEN 'as_of_unsupported' END AS reason FROM events WHERE event_id % 7 < 2)"""
+
+
+@query(f"""WITH {REPORTS_SQL} SELECT query_id, CASE WHEN bool_or(CASE WHEN outcome = 'skipped' THEN reason <> 'out_of_scope' ELSE outcome <> 'success' END) THEN 'degraded' ELSE 'complete' END AS coverage,
+    CASE WHEN query_id % 3 = 0 THEN 'answered' WHEN count(*) FILTER (outcome <> 'skipped') > 0 AND count(*) FILTER (outcome IN ('success', 'partial')) = 0 THEN 'failed' ELSE 'abstained' END AS outcome FROM rep GROUP BY query_id""")
+def coverage_outcome(spark, d):
+    r = reports(spark, d)
+    return P.coverage(r).join(P.outcome(r, r.where("query_id % 3 = 0")), "query_id")
+
+
+@query(f"WITH {REPORTS_SQL} SELECT query_id, outcome, count(*) AS n FROM rep GROUP BY ALL")
+def source_summary(spark, d):
+    return P.source_summary(reports(spark, d))
+
+
+# -- evaluation ---------------------------------------------------------------------------------
+
+
+def judged(spark, d):
+    """Rankings and judgments from labels: a case is a block of 20 documents, its ranking their order by text length."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    case = (F.col("doc_id") / 20).cast("long").alias("case_id")
+    ranked = docs.select(case, F.row_number().over(Window.partitionBy((F.col("doc_id") / 20).cast("long")).orderBy(F.desc("n_chars"), "doc_id")).alias("position"), F.col("doc_id").alias("root"))
+    grade = F.when(F.col("toxic") == 1, 0).otherwise(F.col("quality") * (1 + F.col("doc_id") % 3)).cast("int")
+    judgments = labels.select(case, F.col("doc_id").alias("root"), grade.alias("grade"), (grade == 3).alias("required"), (F.col("toxic") == 1).alias("forbidden"))
+    return ranked, judgments
+
+
+JUDGED_SQL = """rk AS (SELECT doc_id // 20 AS case_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY n_chars DESC, doc_id) AS position, doc_id AS root FROM documents),
+    j AS (SELECT doc_id // 20 AS case_id, doc_id AS root, CASE WHEN toxic = 1 THEN 0 ELSE quality * (1 + doc_id % 3) END AS grade, toxic = 1 AS forbidden FROM labels)"""
+
+
+@query(f"""WITH {JUDGED_SQL}, got AS (SELECT case_id, sum(grade / log2(position + 1)) AS dcg FROM rk JOIN j USING (case_id, root) WHERE position <= 10 GROUP BY case_id),
+    b AS (SELECT case_id, grade, row_number() OVER (PARTITION BY case_id ORDER BY grade DESC, root) AS p FROM j WHERE grade > 0), ideal AS (SELECT case_id, sum(grade / log2(p + 1)) AS best FROM b WHERE p <= 10 GROUP BY case_id)
+    SELECT case_id, round(coalesce(dcg, 0) / best, 6) AS ndcg FROM (SELECT DISTINCT case_id FROM j) LEFT JOIN ideal USING (case_id) LEFT JOIN got USING (case_id)""")
+def ndcg(spark, d):
+    return V.ndcg(*judged(spark, d))
+
+
+@query(f"WITH {JUDGED_SQL} SELECT j.case_id, round(count(rk.root)::DOUBLE / count(*), 6) AS found FROM j LEFT JOIN rk ON rk.case_id = j.case_id AND rk.root = j.root AND position <= 5 WHERE grade = 3 GROUP BY j.case_id")
+def required_found_at_5(spark, d):
+    ranked, judgments = judged(spark, d)
+    return V.found_share(ranked, judgments.where("required"), 5, "found")
+
+
+@query(f"WITH {JUDGED_SQL} SELECT j.case_id, round(coalesce(1.0 / min(position), 0), 6)::DOUBLE AS mrr FROM j LEFT JOIN rk ON rk.case_id = j.case_id AND rk.root = j.root AND position <= 10 WHERE grade = 3 GROUP BY j.case_id")
+def mrr(spark, d):
+    ranked, judgments = judged(spark, d)
+    return V.reciprocal_rank(ranked, judgments.where("grade = 3"))
+
+
+@query(f"""WITH {JUDGED_SQL}, s AS (SELECT j.case_id, bool_or(position <= 5)::INTEGER::DOUBLE AS success FROM j JOIN rk USING (case_id, root) WHERE grade >= 2 GROUP BY ALL), f AS (SELECT j.case_id, bool_or(position <= 5)::INTEGER::DOUBLE AS forbidden FROM j JOIN rk USING (case_id, root) WHERE forbidden GROUP BY ALL)
+    SELECT case_id, success, forbidden FROM s FULL JOIN f USING (case_id)""")
+def success_forbidden(spark, d):
+    ranked, judgments = judged(spark, d)
+    return V.hit_at(ranked, judgments.where("grade >= 2"), 5, "success").join(V.hit_at(ranked, judgments.where("forbidden"), 5, "forbidden"), "case_id", "full")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.95) AS value FROM events GROUP BY event_type")
+def percentile_nearest_rank(spark, d):
+    return V.percentile(table(spark, d, "events"), "value", 95, ["event_type"])
+
+
+def scored(spark, d):
+    ranked, judgments = judged(spark, d)
+    cases = judgments.select("case_id").distinct().withColumn("tags", F.array(F.concat(F.lit("t"), F.col("case_id") % 4), F.lit("all")))
+    return V.score_cases(cases, ranked, judgments)
+
+
+@query(f"""WITH {JUDGED_SQL}, m AS (SELECT j.case_id, round(coalesce(1.0 / min(position), 0), 6)::DOUBLE AS mrr FROM j LEFT JOIN rk ON rk.case_id = j.case_id AND rk.root = j.root AND position <= 10 WHERE grade = 3 GROUP BY j.case_id),
+    c AS (SELECT DISTINCT case_id FROM j), g AS (SELECT 'group' AS level, unnest(['t' || case_id % 4, 'all']) AS "group", mrr FROM c LEFT JOIN m USING (case_id) UNION ALL SELECT 'overall', 'overall', mrr FROM c LEFT JOIN m USING (case_id))
+    SELECT level, "group", round(avg(mrr), 6) AS mrr_at_10, count(mrr) AS mrr_at_10_n FROM g GROUP BY ALL""")
+def macro_by_tag(spark, d):
+    return V.grouped_report(scored(spark, d), ["mrr_at_10"])
+
+
+@query(f"""WITH {JUDGED_SQL}, m AS (SELECT j.case_id, round(coalesce(1.0 / min(position), 0), 6)::DOUBLE AS mrr FROM j LEFT JOIN rk ON rk.case_id = j.case_id AND rk.root = j.root AND position <= 10 WHERE grade = 3 GROUP BY j.case_id),
+    b AS (SELECT 't' || case_id % 4 AS "group", round(avg(mrr), 6) AS v, count(*) AS n FROM m WHERE case_id % 2 = 0 OR case_id % 4 = 1 GROUP BY 1), c AS (SELECT 't' || case_id % 4 AS "group", round(avg(mrr), 6) AS v, count(*) AS n FROM m WHERE case_id % 8 < 4 AND case_id % 4 <> 1 GROUP BY 1)
+    SELECT "group", 'mrr_at_10' AS metric, b.v AS baseline, c.v AS candidate, round(c.v - b.v, 6) AS change, coalesce(b.n, 0) > 0 AND coalesce(c.n, 0) = 0 OR coalesce(round(c.v - b.v, 6) < -1e-9, false) AS regression FROM b FULL JOIN c USING ("group")""")
+def baseline_compare(spark, d):
+    s = scored(spark, d).where("mrr_at_10 IS NOT NULL").withColumn("group", F.concat(F.lit("t"), F.col("case_id") % 4))
+    base, cand = (V.means(s.where(w), ["mrr_at_10"], "group") for w in ("case_id % 2 = 0 OR case_id % 4 = 1", "case_id % 8 < 4 AND case_id % 4 <> 1"))
+    return V.compare(base, cand, ["group"], ["mrr_at_10"]).select("group", "metric", "baseline", "candidate", "change", "regression")
+
+
+@query()
+def evaluation_gates(spark, d):
+    return V.gates(scored(spark, d), {"exact_identifier_success_at_1": 0.4}, 400)
+
+
+# -- streaming ----------------------------------------------------------------------------------
+
+
+@query()
+def stream_catchup(spark, d):
+    """The events written as a versioned log, taken in by a bounded streaming run, then named by a snapshot."""
+    root = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    e = table(spark, d, "events")
+    line = F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, 1).otherwise(2).alias("schema"), F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("event_time"), F.col("event_type").alias("title"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("body"), F.when(F.col("event_id") % 2 == 1, F.col("props")).alias("text")))
+    e.select(F.when(F.col("event_id") % 101 == 0, F.lit("{broken")).otherwise(line).alias("value")).write.text(f"{root}/in")
+    S.catch_up(spark, f"{root}/in", f"{root}/out", f"{root}/cursor")
+    taken = spark.read.parquet(f"{root}/out")
+    return S.snapshot(taken.where("ok")).crossJoin(taken.agg(F.count_if(~F.col("ok")).alias("failed")))
+
+
+# -- the whole way ------------------------------------------------------------------------------
+
+
+def federated(spark, d, queries: DataFrame):
+    """Candidates of four kinds of sources for a batch of queries, with the sources' configuration."""
+    docs = table(spark, d, "documents")
+    c = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("record_id"), X.bounded(F.col("text"), 60).alias("title"), "text")
+    found = D.search(D.build_index(c).saved(), queries)
+    first = D.candidates(found, c, "u-docs", "docs")
+    m = E.threads(table(spark, d, "conversations")).select(F.col("conv_id").alias("chunk_id"), F.col("conv_id").alias("record_id"), X.bounded(F.col("text"), 60).alias("title"), "text")
+    second = D.candidates(D.search(D.build_index(m).saved(), queries), m, "u-mail", "mail").withColumn("record_type", F.lit("message"))
+    e = table(spark, d, "events").withColumnRenamed("ts", "event_time")
+    hits = R.search_fields(e, queries, "event_id", stream_fields(), [F.col("event_id")], "event_time").join(e.drop("event_time"), "event_id")
+    third = hits.select(
+        "query_id", F.lit("u-stream").alias("source_uid"), F.lit("stream").alias("source_id"), F.concat(F.lit("stream:"), F.col("event_id")).alias("candidate_id"), F.col("event_id").cast("string").alias("source_record_id"), F.col("event_id").cast("string").alias("local"),
+        F.lit("event").alias("record_type"), F.concat_ws(" ", "event_type", "user_id").alias("title"), F.col("props").alias("excerpt"), F.col("rank").alias("local_rank"), F.col("score").alias("local_score"), F.col("score").alias("relevance"),
+        F.when(F.col("exact"), F.array(F.lit("exact_identifier"))).otherwise(F.array(F.lit("lexical"))).alias("match_signals"), "event_time",
+    )
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_partkey").alias("record_id"), F.concat_ws(" ", "p_name", "p_partkey").alias("title"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    fourth = D.candidates(D.search(D.build_index(p).saved(), queries), p, "u-parts", "parts").withColumn("record_type", F.lit("task"))
+    candidates = P.pooled([conform(x, CANDIDATE) for x in (first, second, third, fourth)])
+    sources = conform(values(spark, [("u-docs", "docs", "docs", "a", True, 1.0, 1), ("u-mail", "mail", "mail", "b", True, 1.1, 1), ("u-stream", "stream", "stream", "c", True, 0.9, 1), ("u-parts", "parts", "tasks", "d", True, 1.0, 1)], "source_uid string, source_id string, adapter string, location string, enabled boolean, base_prior double, sensitivity int"), SOURCE)
+    return candidates, sources
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Federated search: retrieve from four sources, admit, group by lineage, cluster, corroborate, select; one answer per query."""
+    extra = values(spark, [(9001, "purchase error"), (9002, "small ring"), (9003, "licensed under the apache license")], "query_id long, query string")
+    queries = saved(batch(spark, d).unionByName(extra))
+    candidates, sources = federated(spark, d, queries)
+    admitted, _ = P.permitted(P.raised(saved(candidates), sources), 2)  # at most queries x sources x 20 rows
+    asked = conform(queries.withColumn("query_class", F.lit("natural_language")).withColumn("stable_identifiers", F.array().cast("array<string>")), QUERY)
+    results, _ = U.fuse(admitted.select(CANDIDATE.names), sources, asked)
+    return H.pointer(results)
+
+
+@query()
+def federated_search(spark, d):
+    return flagship(spark, d)
