@@ -22,7 +22,7 @@ from braidwell.operators import records as R
 from braidwell.plans import evaluate as V
 from braidwell.plans import planning as P
 from braidwell.plans import shape as H
-from braidwell.shared import saved, shared_dir
+from braidwell.shared import saved, shared_dir, spread
 from braidwell.streaming import events as S
 from braidwell.schema import CANDIDATE, QUERY, SOURCE, conform
 
@@ -45,6 +45,7 @@ def query(sql: str | None = None):
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{d}/{name}.parquet")
     stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    df = spread(df) if name in ("documents", "pages", "conversations") else df
     return df.withColumns({c: F.col(c).cast("timestamp") for c in stamps}) if stamps else df
 
 

@@ -20,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files have fewer splits than that: one small file is otherwise one
+    task, whatever is computed from its texts. Tables of many splits, so all large ones, stay as they are. Filters
+    and column pruning still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
+
+
 _saved: dict[str, SparkSession] = {}
 
 
