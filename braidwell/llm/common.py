@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import shutil
-import tempfile
 import uuid
 from urllib.parse import urlparse
 
@@ -17,14 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder. Where none is named (tests, one machine) a fresh one is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="braidwell-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from braidwell.shared import shared_dir, spread
 
 
 _roots: dict[str, SparkSession] = {}
@@ -69,7 +61,8 @@ class Scratch:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver, its few splits dealt out to all cores where there are fewer of them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fresh(df: DataFrame, base: str) -> str:
