@@ -246,7 +246,7 @@ def idf_table(spark, d):
 
 @query(f"WITH {SEARCH_SQL} SELECT query_id, chunk_id, bm25, covered, score, relevance, rank FROM ranked WHERE rank <= 20")
 def bm25_topk(spark, d):
-    return D.search(D.build_index(chunks(spark, d)), batch(spark, d)).select("query_id", "chunk_id", "bm25", "covered", "score", "relevance", "rank")
+    return D.search(D.build_index(chunks(spark, d)).saved(), batch(spark, d)).select("query_id", "chunk_id", "bm25", "covered", "score", "relevance", "rank")
 
 
 @query("WITH " + f"{INDEX_SQL}, {VARIANTS_SQL} SELECT query_id, term, spelling FROM variants".replace("SELECT doc_id AS chunk_id", "SELECT p_partkey AS chunk_id").replace(tok("text") + " AS tokens FROM documents", tok("p_name") + " AS tokens FROM part").replace(QUERIES_SQL, "queries AS (SELECT p_partkey AS query_id, p_name || 's' AS query FROM part)"))
@@ -390,7 +390,7 @@ def message_header_relevance(spark, d):
     c = table(spark, d, "conversations")
     roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), " ")
     threads = c.groupBy(F.col("conv_id").alias("id")).agg(roles.alias("sender"), F.min_by("text", "turn").alias("subject"))
-    return R.header_relevance(threads, batch(spark, d)).where("covered > 0").withColumn("covered", F.col("covered").cast("long"))
+    return R.header_relevance(threads, batch(spark, d))
 
 
 @query("""WITH t(id, date) AS (VALUES (1, '2024-01-02 10:00:00'), (2, '2024-01-02 10:00'), (3, '2024-01-02'), (4, 'soon'), (5, '2024-01-05'), (6, NULL), (7, '2024-01-03 00:00')),

@@ -96,10 +96,14 @@ def contains_word(text: Column, word: str) -> Column:
     return text.rlike(f"(?<![A-Za-z0-9]){re.escape(word)}(?![A-Za-z0-9])")
 
 
-def contains_word_of(text: Column, word: Column) -> Column:
-    """The same with a word from a column (words of letters and digits)."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9]", " "), F.lit(" "))
-    return (word != "") & spaced.contains(F.concat(F.lit(" "), word, F.lit(" ")))
+def spaced(text: Column) -> Column:
+    """The text with spaces for all but ASCII letters and digits, and around it: made once per text, searched per word."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z0-9]", " "), F.lit(" "))
+
+
+def contains_word_of(spaced_text: Column, word: Column) -> Column:
+    """``contains_word`` with a word (of letters and digits) from a column, in a text that is ``spaced``."""
+    return (word != "") & spaced_text.contains(F.concat(F.lit(" "), word, F.lit(" ")))
 
 
 def contains_sequence(haystack: Column, needle: Column) -> Column:

@@ -77,19 +77,26 @@ def spellings(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def score(index: Index, spelled: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, raw, bm25, covered, hits) of every chunk that holds a spelling and is allowed."""
-    hits = spelled.join(index.postings.withColumnRenamed("term", "spelling"), "spelling")
+    """(query_id, chunk_id, raw, bm25, covered, hits) of every chunk that holds a spelling and is allowed.
+
+    Spellings with their document frequencies are a small table of known size: postings meet it in a broadcast
+    join while it is small and are shuffled by term beyond that. Variants of one term are summed first, so that
+    terms are counted without a distinct aggregate.
+    """
+    weighed = saved(spelled.join(index.vocabulary.select(F.col("term").alias("spelling"), "df"), "spelling"))
+    hits = index.postings.withColumnRenamed("term", "spelling").join(weighed, "spelling")
     if allowed is not None:
         hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    hits = hits.join(index.vocabulary.select(F.col("term").alias("spelling"), "df"), "spelling").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats))
+    hits = hits.join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats))  # stats: one row
     part = F.col("weight") * idf(F.col("df"), F.col("n")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
-    return hits.groupBy("query_id", "chunk_id").agg(
-        F.sum(F.when(F.col("scores"), part).otherwise(0.0)).alias("raw"),
-        F.countDistinct(F.when(F.col("content"), F.col("term"))).alias("covered"),
-        F.sum(F.when(F.col("content"), F.col("tf")).otherwise(0)).alias("hits"),
-        F.max("length").alias("length"),
-        F.max(F.when(F.col("scores"), 1).otherwise(0)).alias("scored"),
-    ).withColumn("bm25", F.round("raw", 6))
+    hits = hits.select("query_id", "chunk_id", "term", "content", "scores", "length", "tf", "weight", F.when(F.col("scores"), part).otherwise(0.0).alias("part"))
+    keys = ["query_id", "chunk_id", "term", "content", "scores", "length"]
+    variants = hits.where("weight < 1").groupBy(keys).agg(F.sum("tf").alias("tf"), F.sum("part").alias("part"))
+    terms = hits.where("weight = 1").select(*keys, "tf", "part").unionByName(variants)
+    return terms.groupBy("query_id", "chunk_id").agg(
+        F.sum("part").alias("raw"), F.count_if("content").alias("covered"), F.sum(F.when(F.col("content"), F.col("tf")).otherwise(0)).alias("hits"),
+        F.max("length").alias("length"), F.max(F.when(F.col("scores"), 1).otherwise(0)).alias("scored"),
+    ).withColumn("bm25", F.round("raw", 6))
 
 
 def search(index: Index, queries: DataFrame, k: int = 20, allowed: DataFrame | None = None, cited: DataFrame | None = None) -> DataFrame:
@@ -97,11 +104,11 @@ def search(index: Index, queries: DataFrame, k: int = 20, allowed: DataFrame | N
 
     ``cited``: (chunk_id, term, tf) of quoted text; it is taken off hits and length where relevance is judged.
     """
-    terms = query_terms(queries)
+    terms = saved(query_terms(queries))
     vocabulary = index.vocabulary
     if allowed is not None:
         vocabulary = index.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("term").distinct()
-    spelled = spellings(terms, vocabulary)
+    spelled = saved(spellings(terms, vocabulary))
     groups = terms.groupBy("query_id").agg(F.count_if("content").alias("groups"), F.max("normalized").alias("normalized"))
     found = score(index, spelled, allowed).join(groups, "query_id").where("scored = 1")
     found = found.where(~F.col("normalized") | (F.col("covered") >= F.least("groups", F.lit(2))))

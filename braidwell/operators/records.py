@@ -94,14 +94,15 @@ def task_match(tasks: DataFrame, queries: DataFrame, body_hits: DataFrame | None
     """
     terms = queries.select("query_id", X.ascii_terms(F.col("query")).alias("want")).withColumn("n", F.size("want")).select("query_id", "n", F.explode("want").alias("term"))
     t = tasks.select("id", F.lower("title").alias("title"), F.coalesce("fields", F.lit("")).alias("fields"), "state")
+    text = F.concat(F.col("title"), F.lit(" "), F.col("fields"))
+    t = t.withColumns({"__title": X.spaced(F.col("title")), "__fields": X.spaced(F.col("fields")), "length": X.count_terms(text)})
     pairs = t.crossJoin(terms)
     pairs = pairs.withColumn("body", F.lit(False)) if body_hits is None else pairs.join(body_hits.select("id", "term", F.lit(True).alias("body")), ["id", "term"], "left").na.fill({"body": False})
-    word, part, in_field = X.contains_word_of(F.col("title"), F.col("term")), F.col("title").contains(F.col("term")), X.contains_word_of(F.col("fields"), F.col("term"))
+    word, part, in_field = X.contains_word_of(F.col("__title"), F.col("term")), F.col("title").contains(F.col("term")), X.contains_word_of(F.col("__fields"), F.col("term"))
     in_body = F.col("body") & ~word
     pairs = pairs.withColumn("lexical", part | in_body).withColumn("field", in_field).where("lexical OR field")
     points = F.when(word, TASK_WORD).when(part, TASK_PART).otherwise(0.0) + F.when(in_field, TASK_FIELD).otherwise(0.0) + F.when(in_body, TASK_BODY).otherwise(0.0)
-    text = F.concat(F.col("title"), F.lit(" "), F.col("fields"))
-    per = pairs.select("query_id", "id", "n", "state", "lexical", "field", points.alias("points"), X.occurrences(text, F.col("term")).alias("hits"), X.count_terms(text).alias("length"))
+    per = pairs.select("query_id", "id", "n", "state", "lexical", "field", points.alias("points"), X.occurrences(text, F.col("term")).alias("hits"), "length")
     out = per.groupBy("query_id", "id").agg(
         F.sum("points").alias("points"), F.count("*").alias("covered"), F.sum("hits").alias("hits"), F.max("length").alias("length"),
         F.max("n").alias("n"), F.max("state").alias("state"), F.max("lexical").alias("lexical"), F.max("field").alias("field"),
@@ -224,13 +225,15 @@ def query_mode(exact: Column, terms: Column, filters: Column) -> Column:
 
 
 def header_relevance(threads: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, covered, relevance) over sender and subject. threads: id, sender, subject."""
-    q = queries.select("query_id", X.content_terms(F.col("query")).alias("want"))
-    header = X.tokens(F.concat_ws(" ", "sender", "subject"))
-    pairs = threads.select("id", header.alias("have")).crossJoin(q)
-    covered = F.size(F.filter("want", lambda t: F.array_contains("have", t)))
-    hits = F.size(F.filter("have", lambda t: F.array_contains("want", t)))
-    return pairs.select("query_id", "id", covered.alias("covered"), F.round(X.relevance(covered, F.size("want"), hits, F.size("have")), 6).alias("relevance"))
+    """(query_id, id, covered, relevance) over sender and subject, where a term occurs; else both are 0.
+
+    threads: id, sender, subject. Terms meet header words in an equi-join: no query is held against every thread.
+    """
+    q = queries.select("query_id", X.content_terms(F.col("query")).alias("want")).withColumn("n", F.size("want")).select("query_id", "n", F.explode("want").alias("term"))
+    header = threads.select("id", X.tokens(F.concat_ws(" ", "sender", "subject")).alias("have")).withColumn("length", F.size("have"))
+    words = header.select("id", "length", F.explode("have").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    found = words.join(q, "term").groupBy("query_id", "id").agg(F.count("*").alias("covered"), F.sum("tf").alias("hits"), F.max("n").alias("n"), F.max("length").alias("length"))
+    return found.select("query_id", "id", "covered", F.round(X.relevance(F.col("covered"), F.col("n"), F.col("hits"), F.col("length")), 6).alias("relevance"))
 
 
 def date_precision(text: Column) -> tuple[Column, Column]:
