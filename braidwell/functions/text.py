@@ -195,8 +195,13 @@ def clip_bytes(text: Column, budget: int, marker: str = "…") -> Column:
     return F.when(F.octet_length(text) <= budget, text).otherwise(F.concat(sound, F.lit(marker)))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def first_paragraph(text: Column) -> Column:
-    return F.trim(F.split(F.trim(text), "\n\n")[0])
+    return stripped(F.split(stripped(text), "\n\n")[0])
 
 
 def truncated_at_word(text: Column, most: int) -> Column:
@@ -207,7 +212,7 @@ def truncated_at_word(text: Column, most: int) -> Column:
 
 
 def headline(text: Column, most: int = 120) -> Column:
-    return truncated_at_word(F.trim(F.split(F.trim(text), "\n")[0]), most)
+    return truncated_at_word(stripped(F.split(stripped(text), "\n")[0]), most)
 
 
 def searchable(*fields: Column) -> Column:

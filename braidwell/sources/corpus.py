@@ -125,6 +125,6 @@ def notes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     heading = F.regexp_extract("part", r"^## ([^\n]*)", 1)
     sections = good.select(
         "note_id", "ordinal", F.try_element_at("fields", F.lit("title")).alias("title"), heading.alias("heading"),
-        F.coalesce(F.try_element_at("fields", F.lit("tags")), F.lit("")).alias("tags"), F.trim(F.regexp_replace("part", r"^## [^\n]*\n?", "")).alias("body"), "event_time",
+        F.coalesce(F.try_element_at("fields", F.lit("tags")), F.lit("")).alias("tags"), X.stripped(F.regexp_replace("part", r"^## [^\n]*\n?", "")).alias("body"), "event_time",
     )
     return sections, n.where("reason IS NOT NULL").select("note_id", "reason")
