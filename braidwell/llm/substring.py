@@ -5,7 +5,8 @@ A text is cut into units at line ends, at sentence ends and where a capitalised
 punctuation and spacing, are hashed to 96 bits; digests are grouped over the whole table and the earliest
 document, by doc_id, keeps each unit; inside one document the first occurrence stays. A run of consecutive
 units that are all held earlier goes if it has at least ``min_words`` words, so single short sentences that
-happen to recur stay. Removed spans are character offsets [start, stop) of the original text.
+happen to recur stay. It is less than the 50 words of a passage worth removing, since a passage pasted between
+words may lose a sentence to the text around it at either end. Removed spans are character offsets [start, stop) of the original text.
 
 Defined cases: null and empty texts stay as they are. Rows with a null doc_id stay as they are and take no
 part. Rows that share a doc_id are one document: what they share with one another stays. A document of
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from braidwell.llm.common import Scratch, Words, char_positions, fresh, mix, read_table, slices, text_buffers
 
-MIN_WORDS = 35
+MIN_WORDS = 30
 _U = np.uint64
 _UNITS = "doc_id long, version int, ord int, start int, stop int, words int, again boolean, h1 long, h2 int"
 

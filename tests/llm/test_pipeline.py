@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark):
     assert set(after) == set(before) - gone
     assert len(set(after.values())) == len(after)  # no exact copies are left
     cut = stages["substring_dedup"](spark, one, SMALL).cache()
-    spans = brute_spans(after, 35)
+    spans = brute_spans(after, 30)
     want = {}
     for i, t in after.items():
         left, p = "", 0
