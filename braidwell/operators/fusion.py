@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from braidwell.functions import text as X
 from braidwell.operators.lineage import independent, parent_edges, roots, self_root, source_derivation
 from braidwell.schema import CLASS_IDENTIFIER, CLASS_NATURAL, CORROBORATION_CAP, LIMIT, RANK_CONSTANT, RELEVANCE_FLOOR, RESULT, SUPPRESSION, ddl
+from braidwell.shared import saved
 
 
 
@@ -261,7 +262,7 @@ def fuse(candidates: DataFrame, sources: DataFrame, queries: DataFrame, floor: f
     from pyspark.sql import types as T
 
     schema = T.StructType([*RESULT.fields, *ddl("kind string, reason string, count int, fused_into string").fields])
-    both = groups.groupBy("query_id").applyInPandas(per_query, schema)
+    both = saved(groups.groupBy("query_id").applyInPandas(per_query, schema))  # a few rows per query, read for both tables
     return both.where("kind = 'result'").select(*RESULT.names), both.where("kind = 'suppression'").select(*SUPPRESSION.names)
 
 
