@@ -7,8 +7,9 @@ below its first ``w`` bits into subtries, and in each subtrie pairs of nodes are
 differing bits of a node pair are accumulated on the way down and a pair is dropped as soon as they
 exceed the budget. Pairs that reach the leaves are within the budget exactly. A near copy whose bits
 differ in share p meets its partner in one subtrie with probability (1-p)^w; the number of tables makes
-the chance of missing it in all of them less than ``miss`` at p = ``differ``. ``w`` is three bits less than the
-logarithm of the number of fingerprints, so subtries hold about eight at any corpus size.
+the chance of missing it in all of them less than ``miss`` at p = ``differ``. ``w`` is six bits less than the
+logarithm of the number of fingerprints, so subtries hold about 64 at any corpus size: more would cost more
+pairs, fewer more tables, and every table ships each fingerprint once.
 
 Groups are the connected components of the pairs; the smallest doc_id of a group stays.
 
@@ -78,7 +79,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
 def layout(count: int, differ: float = DIFFER, miss: float = MISS) -> tuple[int, int]:
     """Bits above the cut and number of tables for ``count`` fingerprints."""
-    w = min(40, max(8, math.ceil(math.log2(max(count, 2))) - 3))
+    w = min(40, max(4, math.ceil(math.log2(max(count, 2))) - 6))
     return w, math.ceil(math.log(miss) / math.log(1 - (1 - differ) ** w))
 
 
@@ -118,8 +119,9 @@ def trie_join(prints: np.ndarray, group: np.ndarray, skip: int, budget: int, ste
     """Pairs (i, j, differing bits), i < j, of one group within the budget. Rows are sorted by group and bits.
 
     A node is a run of rows with equal leading bits; ``step`` binary levels are walked at once. The first ``skip``
-    bits are those the group shares. Node pairs wait on a stack in blocks of at most ``most`` children, so memory
-    is bounded however large a subtrie is.
+    bits are those the group shares. Paths are compressed: a pair of nodes of one row each goes straight to its
+    leaves. Node pairs wait on a stack in blocks of at most ``most`` children, so memory is bounded however large a
+    subtrie is.
     """
     n = len(prints)
     if n < 2:
@@ -137,6 +139,7 @@ def trie_join(prints: np.ndarray, group: np.ndarray, skip: int, budget: int, ste
         child = np.flatnonzero(new)
         tree.append((child, np.append(child[1:], n), value[child], np.searchsorted(child, np.append(begin, n))))
     last = len(tree) - 1
+    words = [np.ascontiguousarray(prints[:, i]) for i in range(WORDS)]
 
     def pairs(lv, a, b, err):
         """Children of node pairs (below the last level: rows), in blocks of about ``most``."""
@@ -168,14 +171,19 @@ def trie_join(prints: np.ndarray, group: np.ndarray, skip: int, budget: int, ste
             ok = ~equal | ((left < right) if lv == last else (left <= right))
             left, right, e = left[ok], right[ok], e[ok]
             if lv < last:
-                chunk = tree[lv + 1][2]
+                chunk, begin, end = tree[lv + 1][2], tree[lv + 1][0], tree[lv + 1][1]
                 e = e + np.bitwise_count(chunk[left] ^ chunk[right])
-                ok = e <= budget
+                lone = (end[left] - begin[left] == 1) & (end[right] - begin[right] == 1) & (left != right)
+                ok = (e <= budget) & ~lone
                 if ok.any():
                     stack.append((lv + 1, left[ok], right[ok], e[ok]))
-                continue
+                ok = (e <= budget) & lone
+                left, right = begin[left[ok]], begin[right[ok]]
+                e = np.bitwise_count(words[0][left] ^ words[0][right]).astype(np.int32)
+                ok = e <= budget
+                left, right, e = left[ok], right[ok], e[ok]
             for i in range(1, WORDS):
-                e = e + np.bitwise_count(prints[left, i] ^ prints[right, i])
+                e = e + np.bitwise_count(words[i][left] ^ words[i][right])
                 ok = e <= budget
                 left, right, e = left[ok], right[ok], e[ok]
             if len(left):
