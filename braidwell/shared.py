@@ -25,7 +25,7 @@ def spread(df: DataFrame) -> DataFrame:
     task, whatever is computed from its texts. Tables of many splits, so all large ones, stay as they are. Filters
     and column pruning still reach the scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 _saved: dict[str, SparkSession] = {}
