@@ -42,6 +42,18 @@ def content_terms(text: Column) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(raw)
 
 
+def stable_identifiers(text: Column) -> Column:
+    """Words that name something: paths, addresses, joined_names, ticket-numbers and long words with digits, in small letters."""
+    edge = r"[\"'()\[\]{}<>,;!?:]+"
+    words = F.transform(F.split(F.trim(text), r"\s+"), lambda w: F.regexp_replace(F.regexp_replace(w, f"^{edge}|{edge}$", ""), r"\.+$", ""))
+    count = lambda w, kind: F.length(F.regexp_replace(w, kind, ""))
+    stable = lambda w: (
+        w.rlike(r"[/\\:@#.]") | w.rlike(r"^[\p{L}\p{Nd}-]+(?:_[\p{L}\p{Nd}-]+)+$") | (w.contains("-") & w.rlike(r"\p{L}") & w.rlike(r"\p{Nd}"))
+        | ((F.length(w) >= 8) & (count(w, r"[^\p{L}]") >= 2) & (count(w, r"[^\p{Nd}]") >= 2))
+    )
+    return F.transform(F.filter(words, lambda w: (w != "") & stable(w)), F.lower)
+
+
 def count_terms(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[ \t\n\r]+"), lambda t: t != ""))
 
