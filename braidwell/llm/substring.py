@@ -91,7 +91,8 @@ def spans(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> Data
     later = cut.where("NOT again").join(held, ["h1", "h2"]).where("doc_id > kept_doc_id")
     columns = ["doc_id", "version", "ord", "start", "stop", "words", "kept_doc_id"]
     inside = cut.where("again").withColumn("kept_doc_id", F.col("doc_id"))
-    gone = later.select(columns).unionByName(inside.select(columns)).distinct()
+    # one shuffle by document serves the distinct, the window and the runs
+    gone = later.select(columns).unionByName(inside.select(columns)).repartition("doc_id", "version").dropDuplicates(["doc_id", "version", "ord"])
     row = Window.partitionBy("doc_id", "version").orderBy("ord")
     runs = gone.withColumn("island", F.col("ord") - F.row_number().over(row)).groupBy("doc_id", "version", "island").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("kept_doc_id").alias("kept_doc_id")
