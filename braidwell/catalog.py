@@ -53,7 +53,7 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-# -- SQL building blocks ------------------------------------------------------------------------
+# SQL building blocks
 
 WORDS_SQL = "(" + ", ".join(f"'{w}'" for w in X.FUNCTION_WORDS) + ")"
 TASK_WORDS_SQL = "(" + ", ".join(f"'{w}'" for w in X.TASK_STOP_WORDS) + ")"
@@ -76,7 +76,7 @@ def bound(x: str, n: int) -> str:
     return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n - 1}) || '…' ELSE {x} END"
 
 
-# -- text ---------------------------------------------------------------------------------------
+# text
 
 
 @query(f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY term")
@@ -115,7 +115,7 @@ def normalize_names(spark, d):
     return table(spark, d, "part").select("p_partkey", X.matchable_name(F.col("p_name")).alias("name")).where("name IS NOT NULL")
 
 
-@query(r"SELECT page_id, length(regexp_replace(html, '(?i)\b(?:https?://|www\.)\S+', '', 'g')) AS n, regexp_matches(html, '(?i)\b(?:https?://|www\.)\S+') AS has_url FROM pages")
+@query(r"SELECT page_id, length(regexp_replace(html, '(?i)\b(?:www\.|https?://)\S+', '', 'g')) AS n, regexp_matches(html, '(?i)\b(?:www\.|https?://)\S+') AS has_url FROM pages")
 def url_detect(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(X.strip_urls(F.col("html"))).cast("long").alias("n"), X.contains_url(F.col("html")).alias("has_url"))
 
@@ -187,7 +187,7 @@ def locator_strip(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(M.without_locators_udf(F.concat_ws(" ", F.lit("see [x](a(b)c)"), "url", "html"))).alias("n"))
 
 
-# -- index and lexical retrieval ----------------------------------------------------------------
+# index and lexical retrieval
 
 CHUNKS_SQL = f"chunks AS (SELECT doc_id AS chunk_id, {tok('text')} AS tokens FROM documents)"
 INDEX_SQL = f"""{CHUNKS_SQL}, lengths AS (SELECT chunk_id, len(tokens) AS length FROM chunks),
@@ -209,7 +209,7 @@ SEARCH_SQL = f"""{INDEX_SQL}, {VARIANTS_SQL},
     every_spelling AS (SELECT query_id, term, content, normalized, term AS spelling, 1.0::DOUBLE AS weight FROM content UNION ALL
         SELECT v.query_id, v.term, c.content, c.normalized, v.spelling, 0.5::DOUBLE FROM variants v JOIN content c USING (query_id, term)),
     spelled AS (SELECT e.*, e.content OR bool_or(v.term IS NOT NULL AND e.content) OVER (PARTITION BY e.query_id) AS scores FROM every_spelling e LEFT JOIN vocabulary v ON v.term = e.spelling),
-    found AS (SELECT s.query_id, p.chunk_id, sum(CASE WHEN s.scores THEN s.weight * ln(1 + (st.n - v.df + 0.5) / (v.df + 0.5)) * p.tf / (p.tf + 1.2 * (1 - 0.75 + 0.75 * l.length / st.avg_len)) ELSE 0 END) AS raw,
+    found AS (SELECT s.query_id, p.chunk_id, sum(CASE WHEN s.scores THEN s.weight * ln((st.n + 1) / (v.df + 0.5)) * p.tf / (p.tf + 1.2 * (1 - 0.75 + 0.75 * l.length / st.avg_len)) ELSE 0 END) AS raw,
             count(DISTINCT CASE WHEN s.content THEN s.term END) AS covered, sum(CASE WHEN s.content THEN p.tf ELSE 0 END)::BIGINT AS hits, max(l.length) AS length, bool_or(s.scores) AS scored
         FROM spelled s JOIN postings p ON p.term = s.spelling JOIN vocabulary v ON v.term = s.spelling JOIN lengths l ON l.chunk_id = p.chunk_id CROSS JOIN stats st GROUP BY s.query_id, p.chunk_id),
     groups AS (SELECT query_id, count(*) FILTER (content) AS groups, bool_or(normalized) AS normalized FROM content GROUP BY query_id),
@@ -238,7 +238,7 @@ def doc_stats(spark, d):
     return i.stats.crossJoin(i.vocabulary.agg(F.count("*").alias("terms"))).crossJoin(i.lengths.agg(F.max("length").cast("long").alias("longest"))).withColumn("avg_len", F.round("avg_len", 6))
 
 
-@query(f"WITH {INDEX_SQL} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM vocabulary CROSS JOIN stats")
+@query(f"WITH {INDEX_SQL} SELECT term, df, round(ln((n + 1) / (df + 0.5)), 6) AS idf FROM vocabulary CROSS JOIN stats")
 def idf_table(spark, d):
     i = D.build_index(chunks(spark, d))
     return i.vocabulary.crossJoin(F.broadcast(i.stats)).select("term", "df", F.round(D.idf(F.col("df"), F.col("n")), 6).alias("idf"))  # stats: one row
@@ -276,7 +276,7 @@ def entity_filter(spark, d):
     return D.entity_filter(D.build_index(chunks(spark, d)), ["the License", "Apache"])
 
 
-@query(f"""WITH {INDEX_SQL}, q(term) AS (VALUES ('the'), ('apache')), hit AS (SELECT chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avg_len))) AS s
+@query(f"""WITH {INDEX_SQL}, q(term) AS (VALUES ('the'), ('apache')), hit AS (SELECT chunk_id, sum(ln((n + 1) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * length / avg_len))) AS s
         FROM q JOIN postings USING (term) JOIN vocabulary USING (term) JOIN lengths USING (chunk_id) CROSS JOIN stats WHERE chunk_id IN (SELECT doc_id FROM documents WHERE lower(source) = 'src0') GROUP BY chunk_id)
     SELECT chunk_id, round(s, 6) AS bm25 FROM hit WHERE chunk_id IN (SELECT chunk_id FROM postings WHERE term = 'apache')""")
 def filtered_search(spark, d):
@@ -288,7 +288,7 @@ def filtered_search(spark, d):
     return found.where("covered >= 1").select("chunk_id", "bm25")
 
 
-# -- streams, tasks, issues, mail, vectors ------------------------------------------------------
+# streams, tasks, issues, mail, vectors
 
 STREAM_QUERIES = [(1, "purchase error"), (2, "view 76"), (3, "signup 12"), (4, "event 7")]
 
@@ -427,7 +427,7 @@ def note_search(spark, d):
     return R.ranked(R.note_score(found), F.desc("local_score"), F.col("note")).select("note", "local_score", "rank")
 
 
-# -- permission, lineage, fusion ----------------------------------------------------------------
+# permission, lineage, fusion
 
 
 @query("SELECT lang, count(*) FILTER (s <= 1) AS admitted, count(*) FILTER (s > 1) AS denied FROM (SELECT lang, greatest(doc_id % 4, CASE lang WHEN 'de' THEN 1 ELSE 0 END) AS s FROM documents) GROUP BY lang")
@@ -529,7 +529,7 @@ def connected_components(spark, d):
     return U.components(links)
 
 
-# -- selection ----------------------------------------------------------------------------------
+# selection
 
 
 @query(f"""WITH {POOL_SQL}, g AS (SELECT query_id, root, max(rel) AS top, count(*) AS n FROM best GROUP BY ALL), k AS (SELECT *, count(*) FILTER (top >= 0.1) OVER (PARTITION BY query_id) AS kept FROM g)
@@ -563,7 +563,7 @@ def lineage_suppression(spark, d):
     return c.join(seen, "root", "left_anti").groupBy("query_id").agg(F.countDistinct("root").alias("roots"), F.count("*").alias("n"))
 
 
-# -- shaping, expansion -------------------------------------------------------------------------
+# shaping, expansion
 
 COST_SQL = """r AS (SELECT doc_id % 10 AS query_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id)::INTEGER AS position, (least(length(text), 400) + 3) // 4 AS whole, 12 AS small FROM documents WHERE doc_id < 200),
     s AS (SELECT *, 50 + sum(whole) OVER (PARTITION BY query_id ORDER BY position) AS acc, 400 + query_id * 60 AS budget FROM r), m AS (SELECT *, acc > budget AS missed FROM s),
@@ -606,7 +606,7 @@ def project_siblings(spark, d):
     return E.siblings(o, o.where("o_orderkey % 50 = 0"), "o_orderkey", "o_custkey")
 
 
-# -- planning -----------------------------------------------------------------------------------
+# planning
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'disabled' WHEN s_nationkey >= 20 THEN 'out_of_scope' WHEN s_suppkey % 4 > 2 THEN 'sensitivity_ceiling' END AS reason FROM supplier""")
@@ -643,7 +643,7 @@ def source_summary(spark, d):
     return P.source_summary(reports(spark, d))
 
 
-# -- evaluation ---------------------------------------------------------------------------------
+# evaluation
 
 
 def judged(spark, d):
@@ -718,7 +718,7 @@ def evaluation_gates(spark, d):
     return V.gates(scored(spark, d), {"exact_identifier_success_at_1": 0.4}, 400)
 
 
-# -- streaming ----------------------------------------------------------------------------------
+# streaming
 
 
 @query()
@@ -733,7 +733,7 @@ def stream_catchup(spark, d):
     return S.snapshot(taken.where("ok")).crossJoin(taken.agg(F.count_if(~F.col("ok")).alias("failed")))
 
 
-# -- the whole way ------------------------------------------------------------------------------
+# the whole way
 
 
 def federated(spark, d, queries: DataFrame):

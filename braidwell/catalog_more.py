@@ -18,7 +18,7 @@ from braidwell.schema import CANDIDATE, QUERY, conform
 from braidwell.shared import saved
 from braidwell.streaming import events as S
 
-# -- text and queries ---------------------------------------------------------------------------
+# text and queries
 
 TASK_WORDS = "(" + ", ".join(f"'{w}'" for w in X.TASK_STOP_WORDS) + ")"
 
@@ -56,7 +56,7 @@ def span_header(spark, d):
     return s.select("doc_id", h["line"].alias("line"), h["lines"].alias("n"), F.length(h["body"]).cast("long").alias("body"))
 
 
-# -- planning -----------------------------------------------------------------------------------
+# planning
 
 
 @query("""SELECT event_id, least(2000, floor(value)::BIGINT * 10 - 25) AS allowed, CASE WHEN value * 8 > least(2000, floor(value)::BIGINT * 10 - 25) THEN 'timeout' ELSE 'success' END AS outcome FROM events""")
@@ -105,7 +105,7 @@ def scope_problems(spark, d):
     return P.unsatisfiable(asked, sources, values(spark, [("src0",), ("src1",)], "source_id string")).withColumnRenamed("source_id", "id")
 
 
-# -- lineage and fusion -------------------------------------------------------------------------
+# lineage and fusion
 
 
 @query("""SELECT child, parent FROM (SELECT 'u-orders:' || o_orderkey AS child, CASE o_orderkey % 3 WHEN 0 THEN 'u-cust:' || o_custkey WHEN 1 THEN 'u-cust:x:' || o_custkey END AS parent FROM orders WHERE o_orderkey % 5 > 0) WHERE parent IS NOT NULL""")
@@ -178,7 +178,7 @@ def fused_ledger(spark, d):
     return ledger.groupBy("reason").agg(F.count("*").alias("n"), F.sum("count").alias("candidates"))
 
 
-# -- shaping and expansion ----------------------------------------------------------------------
+# shaping and expansion
 
 
 @query("""SELECT event_id, (length('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') + 3) // 4 AS structured, 2 * ((length('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') + 3) // 4) AS tool, (length(event_type) + 3) // 4 + 2 AS explained FROM events""")
@@ -228,7 +228,7 @@ def note_context(spark, d):
     return E.note_context(sections, c.select(F.concat("conv_id", F.lit("#1")).alias("locator")).distinct())
 
 
-# -- evaluation ---------------------------------------------------------------------------------
+# evaluation
 
 
 @query("""WITH e AS (SELECT doc_id // 20 AS case_id, doc_id AS root, quality, toxic FROM labels) SELECT case_id, avg(CASE WHEN root % 7 > 0 AND (root % 3 > 0 OR quality = 1) THEN 1.0 ELSE 0.0 END)::DOUBLE AS locator_success,
@@ -265,7 +265,7 @@ def case_changes(spark, d):
     return V.case_changes(m, m.withColumn("m", F.when(F.col("case_id") % 3 > 0, F.col("m") / 2)), ["m"])
 
 
-# -- logs ---------------------------------------------------------------------------------------
+# logs
 
 
 def log_lines(spark, d):

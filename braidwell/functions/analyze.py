@@ -90,7 +90,7 @@ def probe_terms(terms: list[str], most: int = 4, phrase_bytes: int = 60, phrase:
 
 def identifier_tokens(query: str, pattern: str) -> list[str]:
     """Words of a query that are record ids, e.g. ``[0-9a-f]{8}`` or ``xy-[0-9a-f]{6}``."""
-    words = (w.strip(".,;:!?()[]{}<>\"'`") for w in query.split())
+    words = (w.strip("\"'`<>{}[]()!?:;,.") for w in query.split())
     return list(dict.fromkeys(w for w in words if re.fullmatch(pattern, w)))
 
 

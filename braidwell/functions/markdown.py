@@ -90,7 +90,7 @@ _LOCATOR = re.compile(r"(?i)^(?:[a-z][a-z0-9+.-]*://\S*|www\.\S+|mailto:\S+|(?:[
 def without_locators(text: str) -> str:
     """Without link targets, reference definitions' targets, URLs and bare host names: none is what a text is about."""
     text = _REFERENCE.sub(r"\1 ", without_link_targets(text))
-    return _RUN.sub(lambda m: " " if _LOCATOR.match(m[0].strip("`<>()[]{},;:'\"*_.!?")) else m[0], text)
+    return _RUN.sub(lambda m: " " if _LOCATOR.match(m[0].strip("\"'*_`!?.,:;{}[]()<>")) else m[0], text)
 
 
 def excerpt(body: str, terms: set[str], most: int = EXCERPT, lead: int = LEAD) -> str | None:

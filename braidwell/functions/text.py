@@ -172,7 +172,7 @@ def matchable_name(text: Column) -> Column:
 
 
 CREDENTIAL = r"(?i)\b(password|passwd|secret|api[ _-]?key|access[ _-]?token|private[ _-]?key|verification code|one[- ]time (?:code|password)|2fa|mfa|otp)\b"
-URL = r"(?i)\b(?:https?://|www\.)\S+"
+URL = r"(?i)\b(?:www\.|https?://)\S+"
 
 
 def sensitivity_of(text: Column, plain: int = 1) -> Column:

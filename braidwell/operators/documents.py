@@ -43,7 +43,8 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
 
 
 def idf(df: Column, n: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+    """ln(1 + (n - df + 1/2) / (df + 1/2)), as one fraction."""
+    return F.log((n + 1) / (df + 0.5))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def ranked(df: DataFrame, *order: Column, k: int | None = 20, by: str = "query_i
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-# -- weighted fields: streams and notes ---------------------------------------------------------
+# weighted fields: streams and notes
 
 
 def field_terms(records: DataFrame, key: str, fields: dict[str, tuple[Column, float]], tokenise=X.stream_tokens) -> DataFrame:
@@ -77,7 +77,7 @@ def note_score(df: DataFrame) -> DataFrame:
     return df.withColumn("local_score", F.round("score", 6)).withColumn("relevance", F.lit(None).cast("double"))
 
 
-# -- tasks --------------------------------------------------------------------------------------
+# tasks
 
 
 def task_fields(state: Column, tags: Column, contexts: Column, project: Column, priority: Column) -> Column:
@@ -161,7 +161,7 @@ def task_request(tasks: DataFrame, project=None, entities=None, since=None, unti
     return tasks
 
 
-# -- issues -------------------------------------------------------------------------------------
+# issues
 
 
 def merge_probes(hits: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def query_mode(exact: Column, terms: Column, filters: Column) -> Column:
     return F.when(exact, F.lit("exact")).when(terms, F.lit("lexical")).when(filters, F.lit("temporal")).otherwise(F.lit("structured"))
 
 
-# -- mail ---------------------------------------------------------------------------------------
+# mail
 
 
 def header_relevance(threads: DataFrame, queries: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def promote_exact(threads: DataFrame, exact: Column, position: str = "position",
     return ranked(threads.withColumn("exact", exact), F.desc("exact"), F.col(position), k=k)
 
 
-# -- vectors ------------------------------------------------------------------------------------
+# vectors
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -298,8 +298,8 @@ def span_relevance(items: DataFrame, queries: DataFrame, title: str = "title", b
 
 def span_header(snippet: Column) -> dict[str, Column]:
     """``@@ -12,4 @@`` before a snippet: first line, number of lines, and the text after it."""
-    head = r"^@@ -(\d+),(\d+) @@[^\n]*\n?"
-    return {"line": F.expr("cast(null as int)") if snippet is None else F.regexp_extract(snippet, head, 1).try_cast("int"), "lines": F.regexp_extract(snippet, head, 2).try_cast("int"), "body": F.regexp_replace(snippet, head, "")}
+    head = r"\A@{2} -([0-9]+),([0-9]+) @{2}[^\n]*\n?"
+    return {"line": F.regexp_extract(snippet, head, 1).try_cast("int"), "lines": F.regexp_extract(snippet, head, 2).try_cast("int"), "body": F.regexp_replace(snippet, head, "")}
 
 
 def bounded_trace(contributions: Column, queries: Column, most: int = 8) -> dict[str, Column]:

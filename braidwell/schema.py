@@ -59,9 +59,9 @@ SUPPRESSION = ddl("query_id long, reason string, count int, lineage_root string,
 
 OUTCOMES = ("answered", "abstained", "failed")
 COVERAGES = ("complete", "degraded")
-SEARCH_OUTCOMES = ("success", "partial", "unavailable", "denied", "failed", "timeout", "skipped")
-HEALTHS = ("healthy", "degraded", "unavailable", "denied")
-SIGNALS = ("lexical", "semantic", "field", "alias", "exact_identifier")
+SEARCH_OUTCOMES = tuple("denied failed partial skipped success timeout unavailable".split())
+HEALTHS = tuple("healthy degraded unavailable denied".split())
+SIGNALS = tuple("alias exact_identifier field lexical semantic".split())
 SENSITIVITIES = ("public", "internal", "confidential", "restricted")
 SUPPRESSIONS = ("relevance_floor", "lineage_seen", "duplicate", "duplicate_view", "diversity", "sensitivity_ceiling")
 QUIET_SKIPS = ("disabled", "not_applicable", "out_of_scope", "record_type_mismatch", "sensitivity_ceiling")

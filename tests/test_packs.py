@@ -9,7 +9,7 @@ from braidwell.plans import packs as K
 from braidwell.schema import CANDIDATE, SOURCE, conform
 
 DOCS = [(1, "ranking", "fusion ranks lists of evidence by reciprocal rank"), (2, "lineage", "lineage follows derived evidence to its root"), (3, "budget", "a token budget bounds the answer"), (4, "old ranking", "ranks lists of evidence the old way")]
-CASES = [{"schema_version": 1, "case_id": "c1", "query": "how does lineage follow the root", "expected_behavior": "answer", "tags": ["t"]}, {"schema_version": 1, "case_id": "c2", "query": "unknown zebra", "expected_behavior": "abstain", "tags": ["t", "none"]}, {"schema_version": 1, "case_id": "c3", "query": "rank evidence lists", "expected_behavior": "answer"}]
+CASES = [{"schema_version": 1, "case_id": "c1", "tags": ["t"], "expected_behavior": "answer", "query": "how does lineage follow the root"}, {"schema_version": 1, "case_id": "c2", "tags": ["t", "none"], "expected_behavior": "abstain", "query": "unknown zebra"}, {"schema_version": 1, "case_id": "c3", "query": "rank evidence lists", "expected_behavior": "answer"}]
 JUDGMENTS = [{"case_id": "c1", "lineage_root": "u:2", "relevance": 3, "required": True}, {"case_id": "c3", "lineage_root": "u:1", "relevance": 3, "required": True}, {"case_id": "c3", "lineage_root": "u:4", "relevance": 0, "forbidden": True}]
 
 

@@ -19,7 +19,7 @@ def pairs(frame, *columns):
     return sorted(tuple(r[c] for c in columns) for r in frame.collect())
 
 
-# -- documents ----------------------------------------------------------------------------------
+# documents
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +80,7 @@ def test_filters(spark, index):
     assert pairs(D.entity_filter(index, ["Alpha Beta"]), "chunk_id") == [(1,)]
 
 
-# -- records ------------------------------------------------------------------------------------
+# records
 
 
 def test_stream_weights_and_browse(spark):
@@ -137,7 +137,7 @@ def test_vectors(spark):
     assert tuple(row) == (12, 4, "body")
 
 
-# -- planning -----------------------------------------------------------------------------------
+# planning
 
 
 def test_outcomes(spark):
@@ -175,7 +175,7 @@ def test_requests_and_config():
         P.ranking_config([{"source_uid": "u", "source_id": "a", "base_prior": 3.0}])
 
 
-# -- shaping and expansion ----------------------------------------------------------------------
+# shaping and expansion
 
 
 def brute_shape(costs, frame, budget):
@@ -231,7 +231,7 @@ def test_expansion(spark):
     assert got["a"].blocks == ["b"] and got["a"].log == ["x", "y"] and got["b"].depends_on == ["a"] and got["b"].files is None
 
 
-# -- evaluation ---------------------------------------------------------------------------------
+# evaluation
 
 
 def test_metrics_by_hand(spark):
