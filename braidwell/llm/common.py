@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import unicodedata
 import uuid
 from urllib.parse import urlparse
 
@@ -134,6 +135,32 @@ for _r in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_r[0] : _r[1]] = True
 _CODE[65:91] = _CODE[97:123]
 _CODE[~_WORD] = 0
+_MARK, _STOP = 16, 32
+HAN, THAI = 2, 4  # kinds of words; 1: of letters and digits in scripts that write spaces
+_PAIRED = ((0x3005, 0x3008), (0x3021, 0x3036), (0x3040, 0x3100), (0x3105, 0x3130), (0x31A0, 0x31C0), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x323B0))
+_UNSPACED = ((0xE00, 0xF00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x19E0), (0x1A20, 0x1AB0), (0xA980, 0xAA00), (0xAA60, 0xAA80))
+_STOPS = "\u0589\u061f\u06d4\u0964\u0965\u0f0d\u0f0e\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u2026\u2028\u2029\u203c\u2047\u2048\u2049\u3002\uff01\uff0e\uff1f\uff61"
+_KINDS: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """By code point: 0 for punctuation, symbols and space; else 1, HAN or THAI; with _MARK for marks and joiners, _STOP for sentence stops."""
+    if not _KINDS:
+        out = np.ones(0x110000, np.uint8)
+        for i in range(0x110000):
+            c = unicodedata.category(chr(i))
+            if c[0] in "PSZ" or c == "Cc":
+                out[i] = 0
+            elif c[0] == "M" or c == "Cf":
+                out[i] |= _MARK
+        for kind, ranges in ((HAN, _PAIRED), (THAI, _UNSPACED)):
+            for a, b in ranges:
+                out[a:b][out[a:b] == 1] = kind
+        out[[ord(c) for c in _STOPS]] = _STOP
+        _KINDS.append(out)
+    return _KINDS[0]
+
+
 _BASE = 0x9E3779B97F4A7C15
 _TABLES: list[np.ndarray] = []
 
@@ -172,14 +199,26 @@ def folded(raw: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a batch of texts: runs of ASCII letters and digits and of all bytes above 127.
+    """Words of a batch of texts: runs of ASCII letters and digits and of all bytes above 127 or, ``by_class``, of
+    letters, digits and marks by Unicode's classes. Then, in scripts written without spaces (Han, Kana, Thai, Lao,
+    Khmer, Burmese and others), every letter with its marks is a word.
 
-    starts, ends: byte positions in ``raw``; doc: the text each belongs to; first: n+1 word offsets by text.
+    starts, ends: byte positions in ``raw``; doc: the text each belongs to; first: n+1 word offsets by text;
+    kind: 1, HAN or THAI by word; stops: byte positions of sentence stops beyond ASCII.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, by_class: bool = False):
         self.raw, self.offsets = raw, offsets
         is_word = _WORD[raw]
+        lead = np.flatnonzero(raw >= 0xC0) if by_class else np.zeros(0, np.int64)
+        if len(lead):
+            b = raw[lead].astype(np.int32)
+            tail = [raw[np.minimum(lead + i, len(raw) - 1)].astype(np.int32) & 63 for i in (1, 2, 3)]
+            wide = 2 + (b >= 0xE0) + (b >= 0xF0)
+            point = np.select([wide == 2, wide == 3], [(b & 31) << 6 | tail[0], (b & 15) << 12 | tail[0] << 6 | tail[1]], (b & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2])
+            kind = kinds()[point]
+            for i in range(4):
+                is_word[(lead + i)[((kind & (_STOP - 1)) == 0) & (i < wide)]] = False
         begin, end = is_word.copy(), is_word.copy()
         if len(raw):
             begin[1:] &= ~is_word[:-1]
@@ -187,8 +226,29 @@ class Words:
             edges = offsets[(offsets > 0) & (offsets < len(raw))]
             begin[edges] = is_word[edges]
             end[edges - 1] = is_word[edges - 1]
+        self.stops = np.zeros(0, np.int64)
+        apart = np.zeros(0, np.int64)
+        if len(lead):
+            self.stops = lead[kind == _STOP]
+            mark = (kind & _MARK) > 0
+            if (kind & (HAN | THAI)).any():
+                joined = np.concatenate([[False], lead[1:] == (lead + wide)[:-1]])
+                base = kind[np.maximum.accumulate(np.where(mark & joined, 0, np.arange(len(lead))))]  # marks belong to the letter before
+                own = (kind & (HAN | THAI)) > 0
+                apart = lead[own]
+                after = (lead + wide)[(base & (HAN | THAI)) > 0]
+                after = after[after < len(raw)]
+                after = after[is_word[after] & ~np.isin(after, lead[mark])]
+                at = np.concatenate([apart, after])
+                begin[at] = True
+                at = at[at > 0] - 1
+                end[at] |= is_word[at]
+        self.is_word = is_word
         self.starts = np.flatnonzero(begin)
         self.ends = np.flatnonzero(end) + 1
+        self.kind = np.ones(len(self.starts), np.uint8)
+        if len(apart):
+            self.kind[np.searchsorted(self.starts, apart)] = kind[own]
         self.first = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
@@ -208,6 +268,7 @@ class Words:
                 stop = starts[end]
             up, down = _powers(int(stop - base))
             codes = _CODE[raw[base:stop]]
+            codes[~self.is_word[base:stop]] = 0
             codes *= up[: stop - base]
             own = starts[at:end] - base
             out[at:end] = np.add.reduceat(codes, own) * down[own]

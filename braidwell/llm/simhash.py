@@ -1,6 +1,7 @@
 """SimHash near-duplicate removal by a binary-trie self-join.
 
-Every document gets a 256-bit SimHash of its distinct words and word pairs. Copies of one fingerprint
+Every document gets a 256-bit SimHash of its distinct words and word pairs; in scripts written without spaces
+every letter is a word, so they are letters and letter pairs. Copies of one fingerprint
 collapse first, so a group of thousands of exact copies is one trie entry. Fingerprints are then joined
 with themselves: the trie of all fingerprints, its bits taken in an order of its own per table, is cut
 below its first ``w`` bits into subtries, and in each subtrie pairs of nodes are traversed together; the
@@ -42,7 +43,7 @@ _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype
 def fingerprints(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, 4) fingerprints and how many distinct features each text has."""
     n = len(offsets) - 1
-    words = Words(raw, offsets)
+    words = Words(raw, offsets, by_class=True)
     h = words.hashes()
     pair = mix(h[:-1] * _U(0xD6E8FEB86659FD93) + h[1:], 7) if len(h) > 1 else h[:0]
     same = words.doc[:-1] == words.doc[1:]

@@ -1,11 +1,12 @@
 """Removal of passages that other documents already have, by hashing lines cut into sentences.
 
 A text is cut into units at line ends, at sentence ends and where a capitalised word follows one that isn't
-(a passage pasted into the middle of a sentence begins its own unit there). A unit's words, without case,
+(a passage pasted into the middle of a sentence begins its own unit there). Stops of other scripts count as well,
+and a space between words of a script written without spaces, such as Thai, ends a sentence. A unit's words, without case,
 punctuation and spacing, are hashed to 96 bits; digests are grouped over the whole table and the earliest
 document, by doc_id, keeps each unit; inside one document the first occurrence stays. A run of consecutive
 units that are all held earlier goes if it has at least ``min_words`` words, so single short sentences that
-happen to recur stay. It is less than the 50 words of a passage worth removing, since a passage pasted between
+happen to recur stay; two letters of Han or Kana, or three of Thai and the like, count as a word (rounded up by unit). It is less than the 50 words of a passage worth removing, since a passage pasted between
 words may lose a sentence to the text around it at either end. Removed spans are character offsets [start, stop) of the original text.
 
 Defined cases: null and empty texts stay as they are. Rows with a null doc_id stay as they are and take no
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwell.llm.common import Scratch, Words, char_positions, fresh, mix, read_table, slices, text_buffers
+from braidwell.llm.common import HAN, THAI, Scratch, Words, char_positions, fresh, mix, read_table, slices, text_buffers
 
 MIN_WORDS = 30
 _U = np.uint64
@@ -37,19 +38,24 @@ def _upper(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def units(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Units of a batch of texts: doc, ord in the doc, char offsets, words, repetition in the doc, digests."""
-    w = Words(raw, offsets)
+    w = Words(raw, offsets, by_class=True)
     if not len(w):
         return {k: np.zeros(0, np.int64) for k in ("doc", "ord", "start", "stop", "words", "again", "h1", "h2")}
     new = np.ones(len(w), bool)
     gap = slice(1, None)
     line = np.concatenate([[0], np.cumsum(raw == 10, dtype=np.int32)])
-    stops = np.concatenate([[0], np.cumsum((raw == 46) | (raw == 33) | (raw == 63), dtype=np.int32)])
+    is_stop = (raw == 46) | (raw == 33) | (raw == 63)
+    is_stop[w.stops] = True
+    stops = np.concatenate([[0], np.cumsum(is_stop, dtype=np.int32)])
+    phrase = (w.kind[1:] == THAI) & (w.kind[:-1] == THAI) & (w.starts[1:] > w.ends[:-1])
     lo, hi = w.ends[:-1], w.starts[1:]
     upper = _upper(raw, w.starts)
-    new[gap] = (w.doc[1:] != w.doc[:-1]) | (line[hi] > line[lo]) | ((stops[hi] > stops[lo]) & (hi - lo > 1)) | (upper[1:] & ~upper[:-1])
+    new[gap] = (w.doc[1:] != w.doc[:-1]) | (line[hi] > line[lo]) | ((stops[hi] > stops[lo]) & (hi - lo > 1)) | (upper[1:] & ~upper[:-1]) | phrase
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(w)))
     doc = w.doc[at]
+    han, thai = (np.add.reduceat((w.kind == kind).astype(np.int64), at) for kind in (HAN, THAI))
+    words = count - han - thai + -(-han // 2) + -(-thai // 3)
     h = w.hashes()
     place = np.arange(len(w)) - np.repeat(at, count)
     power = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(int(count.max()), 0xA0761D6478BD642F, np.uint64)]))[place]
@@ -65,7 +71,7 @@ def units(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     again = np.zeros(len(at), bool)
     again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
     begin = np.searchsorted(doc, np.arange(len(offsets) - 1))
-    return {"doc": doc, "ord": np.arange(len(at)) - begin[doc], "start": start, "stop": stop, "words": count, "again": again, "h1": h1.view(np.int64), "h2": (h2 >> _U(32)).astype(np.uint32).view(np.int32)}
+    return {"doc": doc, "ord": np.arange(len(at)) - begin[doc], "start": start, "stop": stop, "words": words, "again": again, "h1": h1.view(np.int64), "h2": (h2 >> _U(32)).astype(np.uint32).view(np.int32)}
 
 
 def _units(batches):

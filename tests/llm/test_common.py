@@ -56,3 +56,19 @@ def test_scratch(spark):
 
 def _roots():
     return C._roots
+
+
+def words(*texts):
+    w = C.Words(*C.text_buffers(pa.array(texts))[:2], by_class=True)
+    return [bytes(w.raw[a:b]).decode() for a, b in zip(w.starts, w.ends)], w
+
+
+def test_words_by_unicode_class():
+    assert words("春眠，不覺。Tokyo東京3x", "é", "日")[0] == ["春", "眠", "不", "覺", "Tokyo", "東", "京", "3x", "é", "日"]
+    assert words("«Où?» — привет… don’t hi！")[0] == ["Où", "привет", "don", "t", "hi"]
+    assert words("ที่นี่ดี abc", "ก\u0301x")[0] == ["ที่", "นี่", "ดี", "abc", "ก\u0301", "x"]
+    assert words("हिन्दी भाषा। 한국어 말")[0] == ["हिन्दी", "भाषा", "한국어", "말"]
+    assert list(words("ab 東 ก")[1].kind) == [1, C.HAN, C.THAI]
+    w = words("東，京。", "京！東", "東京")[1]
+    h = w.hashes()
+    assert h[0] == h[3] == h[4] and h[1] == h[2] == h[5]

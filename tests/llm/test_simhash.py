@@ -92,3 +92,17 @@ def test_awkward_rows(spark):
     assert gone == {7, 8}
     assert kept.count() == docs.count() - 2
     assert S.keep_one(spark, docs.limit(0)).count() == 0
+
+
+def test_near_copies_in_scripts_without_spaces(spark):
+    r = random.Random(8)
+    texts = {}
+    for i, (low, n) in enumerate([(0x4E00, 2000), (0x3041, 80), (0x0E01, 46)] * 5):
+        letters = [chr(low + r.randrange(n)) for _ in range(400)]
+        texts[i] = "".join(letters)
+        letters[200] = chr(low + r.randrange(n))
+        texts[100 + i] = "".join(letters)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.kept_doc_id for x in S.near_duplicates(spark, docs).collect()}
+    assert all(got.get(100 + i) is not None for i in range(15))
+    assert not {i for i in range(0, 15, 3)} & set(got)

@@ -95,3 +95,15 @@ def test_awkward_rows(spark):
     by = {r.doc_id: r.text for r in rows}
     assert by[1] is None and by[2] == "" and by[5].strip() == passage(2) and by[9] == passage(4)
     assert S.cleaned(spark, docs.limit(0)).count() == 0 and S.repeats(spark, docs.limit(0)).count() == 0
+
+
+def test_repeats_in_scripts_without_spaces(spark):
+    r = random.Random(4)
+    draw = lambda low, n, k, stop: "".join("".join(chr(low + r.randrange(n)) for _ in range(20)) + stop for _ in range(k))
+    for low, n, stop in ((0x4E00, 2000, "。"), (0x4E00, 2000, "！"), (0x0E01, 46, " ")):
+        shared = draw(low, n, 10, stop)
+        texts = [(1, draw(low, n, 3, stop) + shared), (2, draw(low, n, 3, stop) + shared + draw(low, n, 3, stop))]
+        (row,) = S.repeats(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert row.doc_id == 2 and row.text == texts[1][1].replace(shared, "")
+    short = "".join(chr(0x4E00 + i) for i in range(40)) + "。"
+    assert S.repeats(spark, spark.createDataFrame([(1, short), (2, short)], "doc_id long, text string")).count() == 0
