@@ -7,9 +7,10 @@ with themselves: the trie of all fingerprints, its bits taken in an order of its
 below its first ``w`` bits into subtries, and in each subtrie pairs of nodes are traversed together; the
 differing bits of a node pair are accumulated on the way down and a pair is dropped as soon as they
 exceed the budget. Pairs that reach the leaves are within the budget exactly. A near copy whose bits
-differ in share p meets its partner in one subtrie with probability (1-p)^w; the number of tables makes
-the chance of missing it in all of them less than ``miss`` at p = ``differ``. ``w`` is six bits less than the
-logarithm of the number of fingerprints, so subtries hold about 64 at any corpus size: more would cost more
+differ in share p meets its partner in one subtrie with a probability of about (1-p)^w; the number of tables makes
+the chance of missing it in all of them less than ``miss`` at p = ``differ``, by default the budget itself, so it
+holds for every pair within the budget at every corpus size. ``w`` is nine bits less than the
+logarithm of the number of fingerprints, so subtries hold about 512 at any corpus size: more would cost more
 pairs, fewer more tables, and every table ships each fingerprint once.
 
 Groups are the connected components of the pairs; the smallest doc_id of a group stays.
@@ -33,7 +34,7 @@ from braidwell.llm.common import Scratch, Words, drop_ids, mix, read_table, slic
 WORDS = 4  # 64-bit words of a fingerprint
 BITS = 64 * WORDS
 BUDGET = 50
-DIFFER = 0.13
+DIFFER = BUDGET / BITS
 MISS = 0.03
 _COLUMNS = [f"f{i}" for i in range(WORDS)]
 _U = np.uint64
@@ -80,8 +81,10 @@ def sign(docs: DataFrame) -> DataFrame:
 
 def layout(count: int, differ: float = DIFFER, miss: float = MISS) -> tuple[int, int]:
     """Bits above the cut and number of tables for ``count`` fingerprints."""
-    w = min(40, max(4, math.ceil(math.log2(max(count, 2))) - 6))
-    return w, math.ceil(math.log(miss) / math.log(1 - (1 - differ) ** w))
+    w = min(40, max(4, math.ceil(math.log2(max(count, 2))) - 9))
+    bits = min(round(differ * BITS), BITS - w)
+    meet = math.comb(BITS - bits, w) / math.comb(BITS, w)  # none of the w bits is one that differs
+    return w, math.ceil(math.log(miss) / math.log1p(-meet)) if meet < 1 else 1
 
 
 def bit_order(table: int) -> np.ndarray:
@@ -280,12 +283,12 @@ def connected(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame
         scratch.drop(f"{name}{turn - 1}")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, budget: int = BUDGET, differ: float = DIFFER, miss: float = MISS) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, budget: int = BUDGET, differ: float | None = None, miss: float = MISS) -> DataFrame:
     """(doc_id, kept_doc_id) of each document that goes and the one of its group that stays."""
     scratch = Scratch(spark)
     prints = scratch.table(sign(docs), "prints")
     exact = scratch.table(prints.groupBy(*_COLUMNS).agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "exact")
-    w, tables = layout(exact.count(), differ, miss)
+    w, tables = layout(exact.count(), budget / BITS if differ is None else differ, miss)
     spread = exact.select(F.col("low").alias("doc_id"), *_COLUMNS).mapInArrow(_spread(w, tables), "key long, doc_id long, " + ", ".join(f"{c} long" for c in _COLUMNS))
     pairs = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(w, tables, budget), "a long, b long")
     copies = prints.join(exact.where("n > 1"), _COLUMNS).where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))

@@ -106,3 +106,19 @@ def test_near_copies_in_scripts_without_spaces(spark):
     got = {x.doc_id: x.kept_doc_id for x in S.near_duplicates(spark, docs).collect()}
     assert all(got.get(100 + i) is not None for i in range(15))
     assert not {i for i in range(0, 15, 3)} & set(got)
+
+
+@pytest.mark.parametrize("count", [1_000, 15_000_000, 10**8])
+def test_pairs_at_the_budget_are_met_at_every_corpus_size(count):
+    """Pairs of fingerprints that differ in exactly the budget's bits, cut as a corpus of ``count`` is; 1.5e7 is about 30 GB."""
+    rng, n = np.random.default_rng(6), 300
+    bits = rng.integers(0, 2, (n, S.BITS), dtype=np.uint8)
+    near = bits.copy()
+    for row in near:
+        row[rng.choice(S.BITS, S.BUDGET, replace=False)] ^= 1
+    prints = np.packbits(np.concatenate([bits, near]), axis=1).view(np.uint64)
+    w, tables = S.layout(count)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2 * n)), *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(S.WORDS))], names=["doc_id", *S._COLUMNS])
+    rows = pa.Table.from_batches(list(S._spread(w, tables)([batch]))).sort_by("key").combine_chunks().to_batches()
+    met = {(a, b) for out in S._joined(w, tables, S.BUDGET)(rows) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    assert sum((n + i, i) in met for i in range(n)) >= 0.94 * n
