@@ -1,17 +1,27 @@
-"""Removal of passages that other documents already have, by hashing lines cut into sentences.
+"""Removal of passages that other documents already have, by hashing lines and passages.
 
-A text is cut into units at line ends, at sentence ends and where a capitalised word follows one that isn't
-(a passage pasted into the middle of a sentence begins its own unit there). Stops of other scripts count as well,
-and a space between words of a script written without spaces, such as Thai, ends a sentence. A unit's words, without case,
-punctuation and spacing, are hashed to 96 bits; digests are grouped over the whole table and the earliest
-document, by doc_id, keeps each unit; inside one document the first occurrence stays. A run of consecutive
-units that are all held earlier goes if it has at least ``min_words`` words, so single short sentences that
-happen to recur stay; two letters of Han or Kana, or three of Thai and the like, count as a word (rounded up by unit). It is less than the 50 words of a passage worth removing, since a passage pasted between
-words may lose a sentence to the text around it at either end. Removed spans are character offsets [start, stop) of the original text.
+Two kinds of units are hashed to 96 bits over their words, without case, punctuation and spacing:
+
+* lines of at least ``line_words`` words (about a sentence; shorter ones, such as headings, greetings and licence
+  notices, recur by form and stay);
+* passages of at least ``min_words`` words, for what is pasted into the middle of lines or runs over several. They begin
+  and end at cuts that the words themselves decide: every line and sentence begins with one, and of any ``GAP`` words
+  between two of those the one whose hash (with the word after it) is smallest. Every cut begins one passage, which ends at
+  the first cut that leaves it ``min_words`` words; every line end ends one, which begins at the last such cut. A repeat of ``min_words`` + 3 ``GAP`` words therefore holds a whole
+  passage wherever it begins, and nothing shorter than ``min_words`` in a row is taken, however many sentences it shares.
+
+Digests are grouped over the whole table and the earliest document, by doc_id, keeps each unit; the units of later
+documents go, and inside one document all but the first occurrence (one that overlaps it isn't another). A removed span is
+the union of adjoining units that the same document keeps; it ends where the keeping document changes, and carries
+the original character offsets [start, stop). Stops of other scripts end sentences as well, and so does a space between
+words of a script written without spaces, such as Thai; two letters of Han or Kana, or three of Thai and the like, count
+as a word and ``GAP`` is doubled there.
 
 Defined cases: null and empty texts stay as they are. Rows with a null doc_id stay as they are and take no
 part. Rows that share a doc_id are one document: what they share with one another stays. A document of
-which nothing remains goes from ``cleaned`` and has an empty text in ``repeats``. Other columns are carried.
+which nothing remains goes from ``cleaned`` and has an empty text in ``repeats``. Texts of any length are hashed whole.
+Equal digests are settled by doc_id alone, so there are no ties. Other columns are carried by ``cleaned``, whatever
+their names, and don't matter to ``repeats``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,89 +31,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwell.llm.common import HAN, THAI, Scratch, Words, char_positions, fresh, mix, read_table, slices, text_buffers
+from braidwell.llm.common import HAN, THAI, Scratch, Words, _powers, char_positions, fresh, mix, read_table, slices, text_buffers
 
 MIN_WORDS = 30
+LINE_WORDS = 15
+GAP = 8
 _U = np.uint64
-_UNITS = "doc_id long, version int, ord int, start int, stop int, words int, again boolean, h1 long, h2 int"
-
-
-def _upper(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether a capital begins at each of these bytes: ASCII, Latin-1, Greek and Cyrillic."""
-    b = raw[at]
-    c = raw[np.minimum(at + 1, len(raw) - 1)]
-    wide = ((b == 0xC3) & (c >= 0x80) & (c <= 0x9E)) | ((b == 0xD0) & (c >= 0x90) & (c <= 0xAF)) | ((b == 0xCE) & (c >= 0x91) & (c <= 0xA9))
-    return ((b >= 65) & (b <= 90)) | wide
+_UNITS = "doc_id long, version int, start int, stop int, again boolean, h1 long, h2 int"
+_WEIGHT = np.zeros(8, np.int64)
+_WEIGHT[[1, HAN, THAI]] = 6, 3, 2  # sixths of a word
+
+
+def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
+    """op over a[i : i + width] of each i that has so many after it."""
+    size = 1
+    while 2 * size <= width:
+        a, size = op(a[:-size], a[size:]), 2 * size
+    return a if size == width else op(a[: len(a) - (width - size)], a[width - size :])
+
+
+def cuts(h: np.ndarray, border: np.ndarray, spaced: np.ndarray, gap: int = GAP) -> np.ndarray:
+    """Which words begin a passage: those at a border and, of any ``gap`` words between borders, the one of the smallest
+    hash; of twice as many in scripts without spaces."""
+    key = mix(h * _U(0xD6E8FEB86659FD93) + np.append(h[1:], _U(0)), 3) | _U(1)
+    key[border] = 0
+    out = border.copy()
+    for wide, own in ((gap, spaced), (2 * gap, ~spaced)):
+        if own.any():
+            pad = np.zeros(wide - 1, np.uint64)  # what is outside the batch is a border
+            least = _sliding(np.minimum, np.concatenate([pad, key, pad]), wide)  # of the windows that end at each word and after
+            out |= (key == _sliding(np.maximum, least, wide)) & own
+    return out
 
 
-def units(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Units of a batch of texts: doc, ord in the doc, char offsets, words, repetition in the doc, digests."""
+def units(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> dict[str, np.ndarray]:
+    """Lines and passages of a batch of texts: doc, char offsets, repetition in the doc, digests."""
     w = Words(raw, offsets, by_class=True)
-    if not len(w):
-        return {k: np.zeros(0, np.int64) for k in ("doc", "ord", "start", "stop", "words", "again", "h1", "h2")}
-    new = np.ones(len(w), bool)
-    gap = slice(1, None)
-    line = np.concatenate([[0], np.cumsum(raw == 10, dtype=np.int32)])
-    is_stop = (raw == 46) | (raw == 33) | (raw == 63)
-    is_stop[w.stops] = True
-    stops = np.concatenate([[0], np.cumsum(is_stop, dtype=np.int32)])
-    phrase = (w.kind[1:] == THAI) & (w.kind[:-1] == THAI) & (w.starts[1:] > w.ends[:-1])
+    n = len(w)
+    if not n:
+        return {k: np.zeros(0, np.int64) for k in ("doc", "start", "stop", "again", "h1", "h2")}
+    ends = np.flatnonzero(raw == 10)
+    stop_at = (raw == 46) | (raw == 33) | (raw == 63)
+    stop_at[w.stops] = True
+    stops = np.concatenate([[0], np.cumsum(stop_at, dtype=np.int32)])
     lo, hi = w.ends[:-1], w.starts[1:]
-    upper = _upper(raw, w.starts)
-    new[gap] = (w.doc[1:] != w.doc[:-1]) | (line[hi] > line[lo]) | ((stops[hi] > stops[lo]) & (hi - lo > 1)) | (upper[1:] & ~upper[:-1]) | phrase
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(w)))
-    doc = w.doc[at]
-    han, thai = (np.add.reduceat((w.kind == kind).astype(np.int64), at) for kind in (HAN, THAI))
-    words = count - han - thai + -(-han // 2) + -(-thai // 3)
+    line, border = np.ones(n, bool), np.ones(n, bool)
+    line[1:] = (w.doc[1:] != w.doc[:-1]) | (np.searchsorted(ends, hi) > np.searchsorted(ends, lo))
+    phrase = (w.kind[1:] == THAI) & (w.kind[:-1] == THAI) & (hi > lo)
+    border[1:] = line[1:] | ((stops[hi] > stops[lo]) & (hi - lo > 1)) | phrase
     h = w.hashes()
-    place = np.arange(len(w)) - np.repeat(at, count)
-    power = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(int(count.max()), 0xA0761D6478BD642F, np.uint64)]))[place]
-    h1 = mix(np.add.reduceat(h * power, at), 1)
-    h2 = mix(np.add.reduceat(mix(h, 5) * power, at) + count.astype(np.uint64), 2)
+    at = np.flatnonzero(cuts(h, border, w.kind == 1))
+    weight = np.concatenate([[0], np.cumsum(_WEIGHT[w.kind])])
+    ways = np.append(at, n)  # a text ends where the next begins, which is a cut
+    until = np.searchsorted(weight[ways], weight[at] + 6 * min_words)
+    enough = (until < len(ways)) & (ways[np.minimum(until, len(ways) - 1)] <= w.first[w.doc[at] + 1])
+    first = np.flatnonzero(line)
+    last = np.append(first[1:], n)
+    long = weight[last] - weight[first] >= 6 * line_words
+    tail = np.searchsorted(weight[at], weight[last] - 6 * min_words, side="right") - 1
+    closed = (tail >= 0) & (at[tail] >= w.first[w.doc[first]]) & (ways[np.minimum(until[tail], len(ways) - 1)] != last)
+    passages = int(enough.sum() + closed.sum())
+    a = np.concatenate([at[enough], at[tail[closed]], first[long]])
+    b = np.concatenate([ways[until[enough]], last[closed], last[long]])
+    up, down = _powers(n)
+    sums = lambda x: np.concatenate([[_U(0)], np.cumsum(x * up[:n])])
+    one, two = sums(h), sums(mix(h, 5))
+    salt = np.repeat(np.array([0, 0x5851F42D4C957F2D], np.uint64), [passages, len(a) - passages])
+    h1 = mix((one[b] - one[a]) * down[a] + salt, 1)
+    h2 = mix((two[b] - two[a]) * down[a] + (b - a).astype(np.uint64) + salt, 2) >> _U(32)
+    doc = w.doc[a]
     chars = char_positions(raw)
-    base = chars[offsets[:-1]]
-    start = chars[w.starts[at]] - base[doc]
-    last = np.append(doc[1:] != doc[:-1], True)
-    stop = np.append(start[1:], 0)
-    stop[last] = (chars[offsets[1:]] - base)[doc[last]]
-    order = np.lexsort((np.arange(len(at)), h1, doc))
-    again = np.zeros(len(at), bool)
-    again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-    begin = np.searchsorted(doc, np.arange(len(offsets) - 1))
-    return {"doc": doc, "ord": np.arange(len(at)) - begin[doc], "start": start, "stop": stop, "words": words, "again": again, "h1": h1.view(np.int64), "h2": (h2 >> _U(32)).astype(np.uint32).view(np.int32)}
-
-
-def _units(batches):
-    for batch in batches:
-        for part in slices(batch, "text"):
-            raw, offsets, _ = text_buffers(part.column(2))
-            u = units(raw, offsets)
-            rows = pa.array(u["doc"])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(rows), part.column(1).take(rows), *(pa.array(u[k].astype(np.int32)) for k in ("ord", "start", "stop", "words")), pa.array(u["again"].astype(bool)), pa.array(u["h1"].astype(np.int64)), pa.array(u["h2"].astype(np.int32))],
-                names=[x.split()[0] for x in _UNITS.split(", ")],
-            )
-
-
-def spans(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, version, removed): spans that go, in order, each with the document that keeps its first unit.
+    begin_byte, stop_byte = w.starts[a], np.where(b < w.first[doc + 1], w.starts[np.minimum(b, n - 1)], offsets[doc + 1])
+    if len(ends):  # a line goes from its first character to its line end
+        p = slice(passages, None)
+        i = np.searchsorted(ends, w.starts[a[p]]) - 1
+        begin_byte[p] = np.maximum(np.where(i >= 0, ends[i] + 1, 0), offsets[doc[p]])
+        i = np.searchsorted(ends, w.ends[b[p] - 1])
+        stop_byte[p] = np.minimum(np.where(i < len(ends), ends[np.minimum(i, len(ends) - 1)] + 1, len(raw)), offsets[doc[p] + 1])
+    else:
+        begin_byte[passages:] = offsets[doc[passages:]]
+        stop_byte[passages:] = offsets[doc[passages:] + 1]
+    base = chars[offsets[:-1]][doc]
+    start, stop = chars[begin_byte] - base, chars[stop_byte] - base
+    order = np.lexsort((start, h2, h1, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (doc, h1, h2)], axis=0)
+    again = np.zeros(len(order), bool)
+    again[order] = start[order] >= stop[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return {"doc": doc, "start": start, "stop": stop, "again": again, "h1": h1.view(np.int64), "h2": h2.astype(np.uint32).view(np.int32)}
+
+
+def _units(min_words: int, line_words: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                raw, offsets, _ = text_buffers(part.column(2))
+                u = units(raw, offsets, min_words, line_words)
+                rows = pa.array(u["doc"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(rows), part.column(1).take(rows), *(pa.array(u[k].astype(np.int32)) for k in ("start", "stop")), pa.array(u["again"].astype(bool)), pa.array(u["h1"].astype(np.int64)), pa.array(u["h2"].astype(np.int32))],
+                    names=[x.split()[0] for x in _UNITS.split(", ")],
+                )
+
+    return run
+
+
+def spans(scratch: Scratch, docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
+    """(doc_id, version, removed): spans that go, in order, each with the document that keeps it.
 
     ``version`` tells rows of one doc_id with different texts apart.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    cut = scratch.table(narrow.mapInArrow(_units, _UNITS), "units")
-    held = cut.where("NOT again").groupBy("h1", "h2").agg(F.min("doc_id").alias("kept_doc_id"), F.max("doc_id").alias("last")).where("kept_doc_id < last").drop("last")
-    later = cut.where("NOT again").join(held, ["h1", "h2"]).where("doc_id > kept_doc_id")
-    columns = ["doc_id", "version", "ord", "start", "stop", "words", "kept_doc_id"]
-    inside = cut.where("again").withColumn("kept_doc_id", F.col("doc_id"))
-    # one shuffle by document serves the distinct, the window and the runs
-    gone = later.select(columns).unionByName(inside.select(columns)).repartition("doc_id", "version").dropDuplicates(["doc_id", "version", "ord"])
-    row = Window.partitionBy("doc_id", "version").orderBy("ord")
-    runs = gone.withColumn("island", F.col("ord") - F.row_number().over(row)).groupBy("doc_id", "version", "island").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.min("kept_doc_id").alias("kept_doc_id")
-    )
-    removed = runs.where(F.col("words") >= min_words).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kept_doc_id"))).alias("removed"))
+    cut = scratch.table(narrow.mapInArrow(_units(min_words, line_words), _UNITS), "units")
+    held = cut.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("again").alias("within")).where("low < high OR within").select("h1", "h2", "low")
+    gone = cut.join(held, ["h1", "h2"]).where("again OR doc_id > low").select("doc_id", "version", "start", "stop", F.col("low").alias("kept_doc_id"))
+    row = Window.partitionBy("doc_id", "version").orderBy("start", F.desc("stop"), "kept_doc_id")
+    before = F.coalesce(F.max("stop").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = gone.repartition("doc_id", "version").withColumn("before", before).where("stop > before").withColumn("start", F.greatest("start", "before"))
+    other = (F.col("start") > F.lag("stop", 1, -1).over(row)) | (F.col("kept_doc_id") != F.lag("kept_doc_id").over(row))
+    runs = parts.withColumn("island", F.sum(other.cast("int")).over(row)).groupBy("doc_id", "version", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("kept_doc_id").alias("kept_doc_id"))
+    removed = runs.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kept_doc_id"))).alias("removed"))
     out = scratch.table(removed, "removed")
     scratch.drop("units")
     return out
@@ -124,17 +171,17 @@ def _marked(docs: DataFrame, removed: DataFrame, how: str) -> tuple[DataFrame, s
     return docs.join(right, (docs["doc_id"] == F.col(a)) & (F.hash(docs["text"]) == F.col(b)), how).drop(a, b), c
 
 
-def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """(doc_id, text, removed) of the documents that lose something: what remains, and the spans that went."""
     scratch = Scratch(spark)
-    marked, c = _marked(docs.select("doc_id", "text"), spans(scratch, docs, min_words), "inner")
+    marked, c = _marked(docs.select("doc_id", "text"), spans(scratch, docs, min_words, line_words), "inner")
     return marked.select("doc_id", _remaining("text", c).alias("text"), F.col(c).alias("removed"))
 
 
-def cleaned(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def cleaned(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """``docs`` without what others hold earlier. n_chars, where there is one, follows the text."""
     scratch = Scratch(spark)
-    marked, c = _marked(docs, spans(scratch, docs, min_words), "left")
+    marked, c = _marked(docs, spans(scratch, docs, min_words, line_words), "left")
     text = F.when(F.col(c).isNull(), F.col("text")).otherwise(_remaining("text", c))
     out = marked.withColumn("text", text).where(F.col(c).isNull() | F.col("text").rlike(r"[\p{L}\p{Nd}]"))
     if "n_chars" in docs.columns:

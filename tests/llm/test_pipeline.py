@@ -23,11 +23,11 @@ def test_stages_against_brute_force(spark):
     assert set(after) == set(before) - gone
     assert len(set(after.values())) == len(after)  # no exact copies are left
     cut = stages["substring_dedup"](spark, one, SMALL).cache()
-    spans = brute_spans(after, 30)
+    spans = brute_spans(after)
     want = {}
     for i, t in after.items():
         left, p = "", 0
-        for a, b in spans.get(i, []):
+        for a, b, _ in spans.get(i, []):
             left, p = left + t[p:a], b
         if left + t[p:]:
             want[i] = left + t[p:]
