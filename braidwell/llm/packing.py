@@ -1,15 +1,16 @@
 """Packing of token sequences into bins of fixed capacity by minimum bin slack.
 
 A document of n tokens gives n // capacity pieces that fill a bin each, and a rest. Rests are packed in
-shards of about ``SHARD_TOKENS`` tokens, chosen by a hash of doc_id, so any number of executors work side by
+shards of about ``SHARD_TOKENS`` tokens, chosen by a hash of doc_id and text, so any number of executors work side by
 side and a shard fits one task at every corpus size. Within a shard each bin takes the longest rest left and,
 beside it, the fullest feasible combination of the lengths still available: a bitset (one big integer) of
 reachable sums is extended by each length, as often as there are rests of it, until the capacity is reached
 or the lengths end. The combination is removed, as many times as the counts allow at once.
 
 Defined cases: null and empty texts have no tokens and are in no bin. Rows with a null doc_id are packed,
-with a null doc_id. Repeated rows are packed one by one. Equal lengths are taken by doc_id. Other columns
-don't matter. An empty table gives no bins.
+with a null doc_id; they are dealt out by their texts. Repeated rows are packed one by one. Equal lengths are taken by
+doc_id, null ids last. Texts of any length are packed whole. Other columns, whatever their names, don't matter. An
+empty table gives no bins.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,17 +71,17 @@ def patterns(counts: dict[int, int], capacity: int):
 
 
 def _pack(capacity: int):
-    def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id"], kind="stable", na_position="last")
-        base = int(pdf["shard"].iloc[0]) << 40
-        ids, n = pdf["doc_id"].to_numpy(dtype=object), pdf["n_tokens"].to_numpy(np.int64)
+    names = [x.split()[0] for x in _OUT.split(", ")]
+
+    def shard(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n_tokens", "ascending"), ("doc_id", "ascending")])  # null ids come last
+        base = table.column("shard")[0].as_py() << 40
+        n = table.column("n_tokens").to_numpy()
         full = n // capacity
         rows = np.repeat(np.arange(len(n)), full)
         step = np.arange(len(rows)) - np.repeat(np.cumsum(full) - full, full)
-        out = [pd.DataFrame({"bin_id": base + np.arange(len(rows)), "position": 0, "row": rows, "token_start": step * capacity, "n_tokens": capacity, "bin_offset": 0})]
-        rest, at = n % capacity, np.arange(len(n))
-        queue = {}
-        for i in at[rest > 0]:
+        rest, queue = n % capacity, {}
+        for i in np.flatnonzero(rest):
             queue.setdefault(int(rest[i]), []).append(int(i))
         next_of = dict.fromkeys(queue, 0)
         bins, places, members, sizes, offsets = [], [], [], [], []
@@ -98,11 +99,17 @@ def _pack(capacity: int):
                         offsets.append(offset)
                         place, offset = place + 1, offset + size
                 number += 1
-        members = np.array(members, dtype=np.int64)
-        out.append(pd.DataFrame({"bin_id": bins, "position": places, "row": members, "token_start": full[members] * capacity, "n_tokens": sizes, "bin_offset": offsets}))
-        done = pd.concat(out).astype({"row": "int64"})
-        done["doc_id"] = pd.array(ids[done["row"].to_numpy()], dtype="Int64")
-        return done[["bin_id", "position", "doc_id", "token_start", "n_tokens", "bin_offset"]]
+        long = lambda *x: np.concatenate([np.asarray(v, np.int64) for v in x])
+        none, of = np.zeros(len(rows), np.int64), np.array(members, np.int64)
+        out = [
+            pa.array(long(base + np.arange(len(rows)), bins)),
+            pa.array(long(none, places), pa.int64()).cast(pa.int32()),
+            table.column("doc_id").combine_chunks().take(pa.array(long(rows, members))),  # by row number: ids stay as they are
+            pa.array(long(step * capacity, full[of] * capacity)),
+            pa.array(long(none + capacity, sizes)),
+            pa.array(long(none, offsets)),
+        ]
+        return pa.Table.from_arrays(out, names=names)
 
     return shard
 
@@ -110,12 +117,12 @@ def _pack(capacity: int):
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per piece: its bin, place in the bin, document, first token in the document and length."""
     scratch = Scratch(spark)
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = scratch.table(with_lengths(sized, ["doc_id"], vocabulary).where("n_tokens > 0"), "sized")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text", F.lit(29)).alias("place"), "text")
+    sized = scratch.table(with_lengths(sized, ["doc_id", "place"], vocabulary).where("n_tokens > 0"), "sized")
     total = sized.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(1, math.ceil(total / shard_tokens))
-    placed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(shards)))
-    return placed.groupBy("shard").applyInPandas(_pack(capacity), _OUT)
+    placed = sized.select("doc_id", "n_tokens", F.pmod("place", F.lit(shards)).alias("shard"))
+    return placed.groupBy("shard").applyInArrow(_pack(capacity), _OUT)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,19 @@ def test_packing_covers_each_token_once(spark):
     assert len(bins) <= sum(size.values()) // 512 + 1 + 10  # at most one bin in each of ten shards is far from full
 
 
+def test_ids_stay_as_they_are_beside_null_ids(spark):
+    ids = [9007199254740993, 9007199254740995, None, None, -(2**63), 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text number {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    assert Counter(r.doc_id for r in packing.pack(spark, docs, capacity=8).collect() if r.token_start == 0) == Counter(ids)
+
+
+def test_rows_without_ids_are_dealt_out_to_all_shards(spark):
+    docs = spark.createDataFrame([(None, f"text number {k} and some more words") for k in range(400)], "doc_id long, text string")
+    rows = packing.pack(spark, docs, capacity=64, shard_tokens=400).collect()
+    shards = Counter(r.bin_id >> 40 for r in rows)
+    assert sum(r.n_tokens for r in rows) == sum(len(encode(r.text)) for r in docs.collect()) and len(shards) > 5 and max(shards.values()) < 150
+
+
 def test_selection_fits_budgets_and_is_seeded(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     one = {r.doc_id: r for r in mixing.select(spark, docs).collect()}
