@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder. Where none is named (tests, one machine) a fresh one is set."""
+    """The session's shared folder. On one machine, where none is named (tests), a fresh one is set; on a cluster a
+    folder of the driver's machine would be no shared one, so there it has to be named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="braidwell-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
