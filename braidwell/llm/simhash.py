@@ -4,9 +4,10 @@ Every document gets a 256-bit SimHash of its distinct words and word pairs; in s
 every letter is a word, so they are letters and letter pairs. Copies of one fingerprint
 collapse first, so a group of thousands of exact copies is one trie entry. Fingerprints are then joined
 with themselves: the trie of all fingerprints, its bits taken in an order of its own per table, is cut
-below its first ``w`` bits into subtries, and in each subtrie pairs of nodes are traversed together; the
-differing bits of a node pair are accumulated on the way down and a pair is dropped as soon as they
-exceed the budget. Pairs that reach the leaves are within the budget exactly. A near copy whose bits
+below its first ``w`` bits into subtries, and in each subtrie pairs of nodes are traversed together, down to the last
+bit; the differing bits of a node pair are accumulated on the way down and a pair is dropped as soon as they
+exceed the budget. Pairs that reach the leaves are within the budget exactly. They are joined to components as they
+come, and node pairs within one component are passed over, so a group of thousands of near copies isn't enumerated. A near copy whose bits
 differ in share p meets its partner in one subtrie with a probability of about (1-p)^w; the number of tables makes
 the chance of missing it in all of them less than ``miss`` at p = ``differ``, by default the budget itself, so it
 holds for every pair within the budget at every corpus size. ``w`` is nine bits less than the
@@ -16,8 +17,9 @@ pairs, fewer more tables, and every table ships each fingerprint once.
 Groups are the connected components of the pairs; the smallest doc_id of a group stays.
 
 Defined cases: a null or empty text, or one without any word, is in no group. Rows with a null doc_id are
-in no group. Rows that share a doc_id are one document: they stay or go together. Columns besides doc_id
-and text don't matter. An empty table gives an empty result.
+in no group. Rows that share a doc_id are one document: they stay or go together. Texts of any length are
+fingerprinted whole. Of equal fingerprints, and in every group, the smallest doc_id stays, so there are no ties. Columns
+besides doc_id and text, whatever their names, don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,55 +121,108 @@ def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
 
 
-def trie_join(prints: np.ndarray, group: np.ndarray, skip: int, budget: int, step: int = 8, most: int = 1 << 20):
+class Components:
+    """Connected components of 0..n-1 as pairs come in; ``label`` is the smallest member of each one's component."""
+
+    def __init__(self, n: int):
+        self.label, self.turn = np.arange(n), 0
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        label = self.label
+        left, right = label[left], label[right]
+        live = left != right
+        if not live.any():
+            return
+        self.turn += 1
+        while True:
+            left, right = left[live], right[live]
+            if not len(left):
+                return
+            low = np.minimum(label[left], label[right])
+            np.minimum.at(label, label[left], low)
+            np.minimum.at(label, label[right], low)
+            while True:
+                up = label[label]
+                if (up == label).all():
+                    break
+                label[:] = up
+            live = label[left] != label[right]
+
+
+def trie_join(prints: np.ndarray, group: np.ndarray, skip: int, budget: int, most: int = 1 << 18, joined: Components | None = None, seen: dict | None = None):
     """Pairs (i, j, differing bits), i < j, of one group within the budget. Rows are sorted by group and bits.
 
-    A node is a run of rows with equal leading bits; ``step`` binary levels are walked at once. The first ``skip``
-    bits are those the group shares. Paths are compressed: a pair of nodes of one row each goes straight to its
-    leaves. Node pairs wait on a stack in blocks of at most ``most`` children, so memory is bounded however large a
-    subtrie is.
+    A node is a run of rows with equal leading bits; eight binary levels are walked at once, down to the last bit or
+    until every node is one row. The first ``skip`` bits are those the group shares. Paths are compressed: a pair of
+    nodes of one row each goes straight to its leaves, by words of 64 bits. Both ways add up the differing bits and drop a
+    pair as soon as they exceed the budget. Node pairs wait on a stack in blocks of at most ``most`` children, so memory is
+    bounded however large a subtrie is.
+
+    With ``joined``, kept by whoever takes the pairs, node pairs all of whose rows are in one component already are
+    dropped too, so a large group of near copies costs little more than a pair a row. ``seen`` counts node pairs met and
+    pruned above the leaves, leaf pairs and those pruned.
     """
     n = len(prints)
     if n < 2:
         return
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    # nodes by level: depth -> (begin, end, chunk value); children of a node are consecutive
-    depths = [*range(skip, 64, step), 64]
-    tree = [(edge, np.append(edge[1:], n), None, None)]
-    for above, below in zip(depths, depths[1:]):
-        begin, end, _, _ = tree[-1]
-        value = (prints[:, 0] << _U(above)) >> _U(64 - (below - above))
+    small = np.int32 if n < 1 << 31 else np.int64
+    octets = np.ascontiguousarray(prints.astype(">u8")).view(np.uint8).reshape(n, -1)
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).astype(small)
+    # nodes by level: begin, end, bits since the level above, and the first child of each node of the level above
+    tree = [(edge, np.append(edge[1:], small(n)), None, None)]
+    for above in (skip, *range(skip // 8 * 8 + 8, BITS, 8)):
+        begin = tree[-1][0]
+        if len(begin) == n:
+            break
+        value = octets[:, above // 8] & np.uint8(255 >> above % 8)
         new = np.zeros(n, bool)
         new[begin] = True
         new[1:] |= value[1:] != value[:-1]
-        child = np.flatnonzero(new)
-        tree.append((child, np.append(child[1:], n), value[child], np.searchsorted(child, np.append(begin, n))))
+        child = np.flatnonzero(new).astype(small)
+        tree.append((child, np.append(child[1:], small(n)), value[child], np.searchsorted(child, np.append(begin, small(n))).astype(small)))
     last = len(tree) - 1
     words = [np.ascontiguousarray(prints[:, i]) for i in range(WORDS)]
+    labels: dict = {}
+    seen = {} if seen is None else seen
+
+    def count(what: str, x) -> None:
+        seen[what] = seen.get(what, 0) + int(x)
+
+    def apart(lv, a, b):
+        """Which node pairs aren't in one component as a whole."""
+        if labels.get(lv, (-1,))[0] != joined.turn:
+            labels[lv] = joined.turn, np.minimum.reduceat(joined.label, tree[lv][0]), np.maximum.reduceat(joined.label, tree[lv][0])
+        _, low, high = labels[lv]
+        return (low[a] != high[b]) | (low[b] != high[a])
 
     def pairs(lv, a, b, err):
         """Children of node pairs (below the last level: rows), in blocks of about ``most``."""
         kids = tree[lv][0] if lv == last else tree[lv + 1][3]
         stop = tree[lv][1] if lv == last else kids[1:]
-        na, nb = stop[a] - kids[a], stop[b] - kids[b]
-        count = na * nb
-        if len(a) == 1 and count[0] > most:  # one huge pair: some children of the left at a time
+        na, nb = (stop[a] - kids[a]).astype(np.int64), (stop[b] - kids[b]).astype(np.int64)
+        times = na * nb
+        if len(a) == 1 and times[0] > most:  # one huge pair: some children of the left at a time
             right = np.arange(kids[b[0]], stop[b[0]])
             some = max(1, most // len(right))
             for lo in range(int(kids[a[0]]), int(stop[a[0]]), some):
                 left = np.repeat(np.arange(lo, min(lo + some, int(stop[a[0]]))), len(right))
                 yield left, np.tile(right, len(left) // len(right)), np.repeat(err, len(left)), np.repeat(a == b, len(left))
             return
-        inner, wide = _ranges(np.zeros(len(a), np.int64), count), np.repeat(nb, count)
-        yield np.repeat(kids[a], count) + inner // wide, np.repeat(kids[b], count) + inner % wide, np.repeat(err, count), np.repeat(a == b, count)
+        inner, wide = _ranges(np.zeros(len(a), np.int64), times), np.repeat(nb, times)
+        yield np.repeat(kids[a], times) + inner // wide, np.repeat(kids[b], times) + inner % wide, np.repeat(err, times), np.repeat(a == b, times)
 
-    roots = np.arange(len(edge))
-    stack = [(0, roots, roots, np.zeros(len(edge), np.int32))]
+    roots = np.arange(len(edge), dtype=small)
+    stack = [(0, roots, roots, np.zeros(len(edge), np.int16))]
     while stack:
         lv, a, b, err = stack.pop()
+        if joined is not None and joined.turn:
+            ok = apart(lv, a, b)
+            a, b, err = a[ok], b[ok], err[ok]
+            if not len(a):
+                continue
         kids = tree[lv][0] if lv == last else tree[lv + 1][3]
         stop = tree[lv][1] if lv == last else kids[1:]
-        if len(a) > 1 and int(((stop[a] - kids[a]) * (stop[b] - kids[b])).sum()) > most:
+        if len(a) > 1 and int(((stop[a] - kids[a]).astype(np.int64) * (stop[b] - kids[b])).sum()) > most:
             half = len(a) // 2
             stack += [(lv, a[:half], b[:half], err[:half]), (lv, a[half:], b[half:], err[half:])]
             continue
@@ -177,43 +232,27 @@ def trie_join(prints: np.ndarray, group: np.ndarray, skip: int, budget: int, ste
             if lv < last:
                 chunk, begin, end = tree[lv + 1][2], tree[lv + 1][0], tree[lv + 1][1]
                 e = e + np.bitwise_count(chunk[left] ^ chunk[right])
-                lone = (end[left] - begin[left] == 1) & (end[right] - begin[right] == 1) & (left != right)
-                ok = (e <= budget) & ~lone
-                if ok.any():
-                    stack.append((lv + 1, left[ok], right[ok], e[ok]))
-                ok = (e <= budget) & lone
-                left, right = begin[left[ok]], begin[right[ok]]
-                e = np.bitwise_count(words[0][left] ^ words[0][right]).astype(np.int32)
-                ok = e <= budget
-                left, right, e = left[ok], right[ok], e[ok]
-            for i in range(1, WORDS):
-                e = e + np.bitwise_count(words[i][left] ^ words[i][right])
                 ok = e <= budget
+                count("met", len(ok))
+                count("pruned", len(ok) - ok.sum())
                 left, right, e = left[ok], right[ok], e[ok]
+                lone = (end[left] - begin[left] == 1) & (end[right] - begin[right] == 1)
+                down = ~lone
+                if down.any():
+                    stack.append((lv + 1, left[down].astype(small), right[down].astype(small), e[down].astype(np.int16)))
+                lone &= left != right
+                left, right = begin[left[lone]], begin[right[lone]]
+                count("leaves", len(left))
+                e = np.zeros(len(left), np.int32)
+                for w in words:
+                    e = e + np.bitwise_count(w[left] ^ w[right])
+                    ok = e <= budget
+                    left, right, e = left[ok], right[ok], e[ok]
+                count("leaves pruned", lone.sum() - len(left))
             if len(left):
                 yield left, right, e
 
 
-def components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest member of each of 0..n-1's connected component."""
-    label = np.arange(n)
-    while len(left):
-        low = np.minimum(label[left], label[right])
-        before = label.copy()
-        np.minimum.at(label, label[left], low)
-        np.minimum.at(label, label[right], low)
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-        if (label == before).all():
-            break
-        live = label[left] != label[right]
-        left, right = left[live], right[live]
-    return label
-
-
 def _joined(w: int, tables: int, budget: int, block: int = 1 << 16):
     """Sorted rows to edges (member, smallest member of its component in the subtrie)."""
 
@@ -226,12 +265,13 @@ def _joined(w: int, tables: int, budget: int, block: int = 1 << 16):
         key, ids, prints = key[shared], ids[shared], prints[shared]
         if not len(key):
             return
-        order = np.lexsort((prints[:, 0], key))
+        order = np.lexsort((*(prints[:, i] for i in reversed(range(WORDS))), key))
         key, ids, prints = key[order], ids[order], prints[order]
-        found = [(a, b) for a, b, _ in trie_join(prints, key, w, budget)]
-        if found:
-            left, right = (np.concatenate(x) for x in zip(*found))
-            root = components(len(ids), left, right)
+        joined = Components(len(ids))
+        for left, right, _ in trie_join(prints, key, w, budget, joined=joined):
+            joined.join(left, right)
+        if joined.turn:
+            root = joined.label
             low = ids.copy()
             np.minimum.at(low, root, ids)
             low = low[root]

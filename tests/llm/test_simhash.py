@@ -30,7 +30,7 @@ def test_trie_join_equals_brute_force(budget, most):
             row[bit // 64] ^= np.uint64(1) << np.uint64(63 - bit % 64)
     prints = np.concatenate([base, near, near[:5]])
     group = (prints[:, 0] >> np.uint64(56)).astype(np.int64)
-    order = np.lexsort((prints[:, 0], group))
+    order = np.lexsort((*(prints[:, i] for i in (3, 2, 1, 0)), group))
     prints, group = prints[order], group[order]
     got = {(int(i), int(j), int(e)) for a, b, d in S.trie_join(prints, group, 8, budget, most=most) for i, j, e in zip(a, b, d)}
     bits = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
@@ -39,8 +39,54 @@ def test_trie_join_equals_brute_force(budget, most):
 
 
 def test_components():
-    left, right = np.array([5, 3, 8, 1]), np.array([3, 4, 9, 8])
-    assert list(S.components(10, left, right)) == [0, 1, 2, 3, 3, 3, 6, 7, 1, 1]
+    c = S.Components(10)
+    c.join(np.array([5, 3]), np.array([3, 4]))
+    c.join(np.array([8, 1]), np.array([9, 8]))
+    assert list(c.label) == [0, 1, 2, 3, 3, 3, 6, 7, 1, 1]
+    before = c.turn
+    c.join(np.array([9]), np.array([1]))
+    assert c.turn == before
+
+
+def clusters(sizes, flips, seed=1, shared=20):
+    """Fingerprints of one subtrie: near copies of centres that have their first bits in common."""
+    rng = np.random.default_rng(seed)
+    top, rows = rng.integers(0, 2, shared), []
+    for n in sizes:
+        centre = np.concatenate([top, rng.integers(0, 2, S.BITS - shared)])
+        bits = np.tile(centre.astype(np.uint8), (n, 1))
+        for _ in range(flips):
+            bits[np.arange(n), rng.integers(shared, S.BITS, n)] ^= 1
+        rows.append(bits)
+    prints = np.packbits(np.concatenate(rows), axis=1).view(">u8").astype(np.uint64)
+    return np.unique(prints, axis=0)
+
+
+def test_budget_prunes_node_pairs_above_the_leaves():
+    prints, seen = clusters([300] * 6, 12), {}
+    group = np.zeros(len(prints), np.int64)
+    got = {(int(i), int(j)) for a, b, _ in S.trie_join(prints, group, 20, S.BUDGET, seen=seen) for i, j in zip(a, b)}
+    bits = np.concatenate([np.bitwise_count(row ^ prints).sum(1)[None] for row in prints])
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(np.triu(bits <= S.BUDGET, 1)))))
+    assert seen["pruned"] > 1000 and seen["leaves"] < len(prints) ** 2 / 2
+    joined, some = S.Components(len(prints)), {}
+    for a, b, _ in S.trie_join(prints, group, 20, S.BUDGET, joined=joined, seen=some):
+        joined.join(a, b)
+    want = S.Components(len(prints))
+    want.join(*(np.array(x) for x in zip(*got)))
+    assert (joined.label == want.label).all() and len(set(joined.label)) == 6 and some["met"] <= seen["met"]
+
+
+def test_a_large_group_of_near_copies_takes_little_memory():
+    import tracemalloc
+
+    prints = clusters([30_000], 14)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(prints), np.int64)), pa.array(np.arange(len(prints))), *(pa.array(np.ascontiguousarray(prints[:, i]).view(np.int64)) for i in range(S.WORDS))], names=["key", "doc_id", *S._COLUMNS])
+    tracemalloc.start()
+    edges = [(a, b) for out in S._joined(20, 1, S.BUDGET)([batch]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert sorted(edges) == [(i, 0) for i in range(1, len(prints))]
 
 
 def test_connected_long_chain(spark):
