@@ -5,19 +5,21 @@ s s' (c . c') differs from the inner product by at most |s c| e' + e |x'|, so an
 and an upper bound of every squared distance of the block pair. (Tiles are float32 matrix products of the
 codes: sums of int8 products stay below 2^24, where float32 is exact, for up to 1,040 dimensions; longer
 vectors are summed in parts.) A first pass joins each block with itself and gives every query an upper bound
-of its k-th distance. Then each unordered block pair is visited once, for both directions: pairs whose lower
-bound exceeds the query's limit are dropped, the survivors' distances are recomputed in float64, and per
-query a heap of k keeps the nearest over all tiles. Nothing is dropped that could be among the k nearest, so
-the result equals brute force.
+of its k-th distance. Then each unordered block pair is visited once, for both directions, in cells of block
+groups (see ``vectors``): pairs whose lower bound exceeds both limits are dropped, the survivors' distances are
+recomputed in float64, limits fall with what a cell has found, and per query a heap merges the cells' lists to the k
+nearest. Nothing is dropped that could be among the k nearest, so the result equals brute force.
 
 Every row is a query and isn't its own neighbour. Distances are rounded to six decimals; ties go to the
-smaller id. Defined cases: see ``vectors``; vectors that don't count are neither queries nor neighbours. With
-fewer than k others a query has fewer rows. An empty table gives no rows.
+smaller id. Defined cases: see ``vectors``; vectors that don't count are neither queries nor neighbours. Vectors of any
+dimension are compared whole. With fewer than k others a query has fewer rows. Other columns, whatever their names, don't
+matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwell.llm.common import Scratch, read_table
-from braidwell.llm.vectors import BLOCK, best, packed, unpack, usable
+from braidwell.llm.vectors import BLOCK, Lists, best, cell_pairs, grouped, in_cells, packed, unpack, usable
 
 K = 10
 RUN = 1024
@@ -97,45 +99,64 @@ def _seed(k: int):
                 ids, vectors = unpack(r["ids"], r["vectors"])
                 q = Quantised(vectors)
                 (a, b, d), limit = nearest(ids, q, ids, q, np.full(len(ids), np.inf), k)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]]), "ids": [r["ids"]], "vectors": [r["vectors"]], "limits": [limit.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]]), "ids": [r["ids"]], "vectors": [r["vectors"]], "limits": [limit.tobytes()], "g": pa.array([r["g"]])})
 
     return run
 
 
-def _search(k: int):
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                qid, q = unpack(r["ids"], r["vectors"])
-                xid, x = unpack(r["x_ids"], r["x_vectors"])
-                left, right = Quantised(q), Quantised(x)
-                ways = [(qid, left, xid, right, r["limits"])]
-                if r["block"] != r["x_block"]:
-                    ways.append((xid, right, qid, left, r["x_limits"]))
-                for aid, a, bid, b, limit in ways:
-                    (u, v, d), _ = nearest(aid, a, bid, b, np.frombuffer(limit, np.float64), k)
-                    yield pa.RecordBatch.from_arrays([pa.array(aid[u]), pa.array(bid[v]), pa.array(d)], names=["vec_id", "neighbour_id", "distance"])
+def near_pairs(q: Quantised, x: Quantised, q_limit: np.ndarray, x_limit: np.ndarray):
+    """(q position, x position, distance) of the pairs of two blocks that either side's limit of the squared distance allows."""
+    for at in range(0, len(x.scale), RUN):
+        middle, error = bounds(q, x.take(slice(at, at + RUN)))
+        middle -= error
+        hit = middle <= q_limit[:, None].astype(np.float32)
+        hit |= middle <= x_limit[None, at : at + RUN].astype(np.float32)
+        a, b = np.nonzero(hit)
+        b += at
+        d = np.concatenate([((q.x[a[i : i + (1 << 16)]] - x.x[b[i : i + (1 << 16)]]) ** 2).sum(1) for i in range(0, len(a), 1 << 16)] or [np.zeros(0)])
+        yield a, b, np.round(np.sqrt(d), 6)
+
+
+def _search(groups: int, k: int):
+    def run(table: pa.Table) -> pa.Table:
+        of, cell = table.column("g").to_pylist(), table.column("cell")[0].as_py()
+        ids, vectors = zip(*(unpack(i, v) for i, v in zip(table.column("ids").to_pylist(), table.column("vectors").to_pylist())))
+        held = [Quantised(v) for v in vectors]
+        limits = [np.frombuffer(x, np.float64) * (1 + 1e-6) + 1e-6 for x in table.column("limits").to_pylist()]  # above their float32
+        lists = [Lists(len(i), k) for i in ids]
+        for i, j in cell_pairs(of, cell, groups):
+            for a, b, d in near_pairs(held[i], held[j], limits[i], limits[j]):
+                for me, query, other, there in ((i, a, b, j), (j, b, a, i))[: 1 + (i != j)]:
+                    near = (d * d <= limits[me][query] + 1e-5) & (ids[me][query] != ids[there][other])
+                    full, worst = lists[me].add(query[near], ids[there][other[near]], d[near])
+                    limits[me][full] = np.minimum(limits[me][full], (worst + 1e-6) ** 2 * (1 + 1e-6) + 1e-6)
+        return pa.table({"vec_id": np.concatenate([i[x.query] for i, x in zip(ids, lists)]), "neighbour_id": np.concatenate([x.other for x in lists]), "distance": np.concatenate([x.cost for x in lists])})
 
     return run
 
 
 def _heaps(k: int):
-    """Per query a heap of its k nearest so far; the root is the farthest of them."""
+    """Rows sorted by query to the k nearest of each, by a heap."""
+
+    def merged(q: np.ndarray, x: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        rows, ds, xs = [], d.tolist(), x.tolist()
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(q)]):
+            rows += [(a, n, other, i) for i, (n, other) in enumerate(heapq.nsmallest(k, zip(ds[a:b], xs[a:b])), 1)]
+        at, n, other, i = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(q[list(at)]), pa.array(other, pa.int64()), pa.array(n, pa.float64()), pa.array(i, pa.int32())], names=["vec_id", "neighbour_id", "distance", "rank"])
 
     def run(batches):
-        heaps: dict[int, list] = {}
+        left = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for batch in batches:
-            for q, x, d in zip(*(c.to_numpy().tolist() for c in batch.columns)):
-                heap, item = heaps.setdefault(q, []), (-d, -x)
-                if len(heap) < k:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-        rows = [(q, -x, -d, i) for q, heap in heaps.items() for i, (d, x) in enumerate(sorted(heap, reverse=True), 1)]
-        if rows:
-            q, x, d, i = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64()), pa.array(d, pa.float64()), pa.array(i, pa.int32())], names=["vec_id", "neighbour_id", "distance", "rank"])
+            left = tuple(np.concatenate([a, c.to_numpy()]) for a, c in zip(left, batch.columns))
+            if len(left[0]):
+                cut = int(np.searchsorted(left[0], left[0][-1]))  # the last query may go on
+                if cut:
+                    yield merged(*(x[:cut] for x in left))
+                    left = tuple(x[cut:] for x in left)
+        if len(left[0]):
+            yield merged(*left)
 
     return run
 
@@ -148,13 +169,10 @@ def neighbours(spark: SparkSession, table: DataFrame, k: int = K, block: int = B
     count = rows.count()
     if not count:
         return rows.selectExpr("vec_id", "vec_id AS neighbour_id", "double(0) AS distance", "int(0) AS rank").limit(0)
-    blocks = scratch.table(packed(rows, dimension, count, size=block), "blocks")
-    parts = blocks.count()
-    seeded = scratch.table(blocks.repartition(parts, "block").mapInArrow(_seed(k), "block long, ids binary, vectors binary, limits binary"), "seeded")
-    right = seeded.select(*(F.col(c).alias(f"x_{c}") for c in seeded.columns))
-    pairs = seeded.repartition(parts, "block").join(right.repartition(parts, "x_block"), F.col("block") <= F.col("x_block"))
-    found = pairs.mapInArrow(_search(k), "vec_id long, neighbour_id long, distance double")
-    return found.repartition("vec_id").mapInArrow(_heaps(k), "vec_id long, neighbour_id long, distance double, rank int")
+    blocks, groups = grouped(scratch.table(packed(rows, dimension, count, size=block), "blocks"), count, block)
+    limited = blocks.repartition(max(1, math.ceil(count / block)), "block").mapInArrow(_seed(k), "block long, ids binary, vectors binary, limits binary, g long")
+    found = in_cells(scratch.table(limited, "seeded"), groups, _search(groups, k), "vec_id long, neighbour_id long, distance double")
+    return found.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(_heaps(k), "vec_id long, neighbour_id long, distance double, rank int")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
