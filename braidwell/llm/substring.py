@@ -4,11 +4,14 @@ Two kinds of units are hashed to 96 bits over their words, without case, punctua
 
 * lines of at least ``line_words`` words (about a sentence; shorter ones, such as headings, greetings and licence
   notices, recur by form and stay);
-* passages of at least ``min_words`` words, for what is pasted into the middle of lines or runs over several. They begin
-  and end at cuts that the words themselves decide: every line and sentence begins with one, and of any ``GAP`` words
-  between two of those the one whose hash (with the word after it) is smallest. Every cut begins one passage, which ends at
-  the first cut that leaves it ``min_words`` words; every line end ends one, which begins at the last such cut. A repeat of ``min_words`` + 3 ``GAP`` words therefore holds a whole
-  passage wherever it begins, and nothing shorter than ``min_words`` in a row is taken, however many sentences it shares.
+* passages of at least ``min_words`` words, for what is pasted into the middle of lines or runs over several. Where they
+  begin and end is decided by the words themselves. One begins at every line's first word and, of any ``GAP`` words of a
+  line, at the one whose hash (with the word after it) is smallest, first words of sentences before others; it ends at
+  the first border that leaves it ``min_words`` words: a line's or a sentence's end or, in sentences, the smallest hash of
+  any ``GAP`` / 2 words. Every line end ends one more, which begins at the last such place. A repeat of ``min_words`` + 2
+  ``GAP`` words therefore holds a whole passage wherever it begins (one that begins with a line, of ``min_words`` + ``GAP``),
+  and nothing shorter than ``min_words`` in a row is taken, however many sentences it shares. At the ends of a repeat
+  fewer than 1.5 ``GAP`` words may stay.
 
 Digests are grouped over the whole table and the earliest document, by doc_id, keeps each unit; the units of later
 documents go, and inside one document all but the first occurrence (one that overlaps it isn't another). A removed span is
@@ -35,7 +38,7 @@ from braidwell.llm.common import HAN, THAI, Scratch, Words, _powers, char_positi
 
 MIN_WORDS = 30
 LINE_WORDS = 15
-GAP = 8
+GAP = 16
 _U = np.uint64
 _UNITS = "doc_id long, version int, start int, stop int, again boolean, h1 long, h2 int"
 _WEIGHT = np.zeros(8, np.int64)
@@ -50,15 +53,16 @@ def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     return a if size == width else op(a[: len(a) - (width - size)], a[width - size :])
 
 
-def cuts(h: np.ndarray, border: np.ndarray, spaced: np.ndarray, gap: int = GAP) -> np.ndarray:
-    """Which words begin a passage: those at a border and, of any ``gap`` words between borders, the one of the smallest
-    hash; of twice as many in scripts without spaces."""
-    key = mix(h * _U(0xD6E8FEB86659FD93) + np.append(h[1:], _U(0)), 3) | _U(1)
-    key[border] = 0
-    out = border.copy()
+def cuts(h: np.ndarray, forced: np.ndarray, preferred: np.ndarray, spaced: np.ndarray, gap: int) -> np.ndarray:
+    """Some of the words: all ``forced`` ones and, of any ``gap`` words without one, the one of the smallest hash, ``preferred``
+    ones before others; of twice as many in scripts without spaces."""
+    key = mix(h * _U(0xD6E8FEB86659FD93) + np.append(h[1:], _U(0)), 3) >> _U(1) | _U(1)
+    key[~preferred] |= _U(1 << 63)
+    key[forced] = 0
+    out = forced.copy()
     for wide, own in ((gap, spaced), (2 * gap, ~spaced)):
         if own.any():
-            pad = np.zeros(wide - 1, np.uint64)  # what is outside the batch is a border
+            pad = np.zeros(wide - 1, np.uint64)  # outside the batch all is forced
             least = _sliding(np.minimum, np.concatenate([pad, key, pad]), wide)  # of the windows that end at each word and after
             out |= (key == _sliding(np.maximum, least, wide)) & own
     return out
@@ -80,9 +84,9 @@ def units(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, line
     phrase = (w.kind[1:] == THAI) & (w.kind[:-1] == THAI) & (hi > lo)
     border[1:] = line[1:] | ((stops[hi] > stops[lo]) & (hi - lo > 1)) | phrase
     h = w.hashes()
-    at = np.flatnonzero(cuts(h, border, w.kind == 1))
+    at = np.flatnonzero(cuts(h, line, border, w.kind == 1, GAP))
     weight = np.concatenate([[0], np.cumsum(_WEIGHT[w.kind])])
-    ways = np.append(at, n)  # a text ends where the next begins, which is a cut
+    ways = np.append(np.flatnonzero(cuts(h, border, border, w.kind == 1, GAP // 2)), n)  # a text ends where the next begins
     until = np.searchsorted(weight[ways], weight[at] + 6 * min_words)
     enough = (until < len(ways)) & (ways[np.minimum(until, len(ways) - 1)] <= w.first[w.doc[at] + 1])
     first = np.flatnonzero(line)
