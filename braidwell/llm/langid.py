@@ -1,22 +1,25 @@
 """Language spans of mixed-language text: script ranges, per-word scores, Viterbi with a switching penalty.
 
-A word's script (by the range of its first letter) narrows its candidates: the trained languages written in
-that script or, where none is, the one label of the script. Candidates are scored by hashed character
+A word's script (by the range of its first letter; Kana where Han is followed by it) narrows its candidates before anything is scored: the trained
+languages written in that script or, where none is, the one label of the script; a word in Han may also be Japanese. It
+can't be in any other language, so one word of another script ends a span. Candidates are scored by hashed character
 trigrams and whole words of a naive Bayes model, trained here on a bounded sample of labelled rows
 (``TRAIN_ROWS``, chosen by a hash of doc_id over the whole table). Viterbi over the words of a text, with
 ``PENALTY`` per change of language, gives the spans. Texts are cut into blocks that are solved side by side
 and joined by their max-plus transfer matrices, so a text of any length costs the same per word and the
 result is that of one pass.
 
-A document's label is the language of most of its words. It is rejected where no word has a letter, or where
-its language explains it worse than random letters would: the log-probability of a trigram, averaged in each
-word and then over the words, is below log(1/26^3). Texts with fewer than ``LEAST`` lettered words say too
-little for that and are kept.
+A document's label is the language of most of its words; of equally many, the first in the order of trained
+languages by name, then scripts. It is rejected where no word has a letter, or where its language surely explains it worse
+than random letters would: the log-probability of a trigram, averaged in each word and then over the n words, is below
+log(1/26^3) by more than ``SURE`` / sqrt(n), so the fewer words, the clearer it has to be. A text whose label is that of a
+script without a trained language can't be tested so and is kept.
 
 Defined cases: a null, empty or wordless text has lang NULL, no spans and is rejected. Words without letters
 take the language around them. Null labels aren't trained on; without any labelled row, scripts alone decide
 and Latin text has lang 'und' and is kept. Rows with a null doc_id are labelled like others. Repeated rows
-are labelled each. Other columns are carried by ``keep_identified``.
+are labelled each. Texts of any length are labelled whole. Other columns, whatever their names, are carried by
+``keep_identified`` and don't matter to ``identify``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +36,12 @@ from braidwell.llm.common import _WORD, Words, char_positions, folded, read_tabl
 TRAIN_ROWS = 20_000
 PENALTY = 14.0
 FLOOR = -3 * math.log(26)
-LEAST = 8
+SURE = 4.0  # twice the deviation of one word
 CLIP = 9.0
+NEVER = -1e6
 BLOCK = 512
 SCRIPTS = ("latin", "greek", "cyrillic", "hebrew", "arabic", "devanagari", "thai", "hangul", "kana", "han", "other")
+_HAN, _KANA = SCRIPTS.index("han"), SCRIPTS.index("kana")
 SCRIPT_LANGUAGE = {"latin": "und", "greek": "el", "cyrillic": "ru", "hebrew": "he", "arabic": "ar", "devanagari": "hi", "thai": "th", "hangul": "ko", "kana": "ja", "han": "zh", "other": "und"}
 _U = np.uint64
 _SPANS = "array<struct<start:int,stop:int,lang:string>>"
@@ -82,10 +87,15 @@ class Features:
         self.word = ((self.words.hashes() >> _U(48)).astype(np.int32)) + 65537
         nxt = np.minimum(at + 1, max(len(raw) - 1, 0))
         self.script = _SCRIPT[raw[at], raw[nxt]] if len(at) else np.zeros(0, np.uint8)
+        kana = (raw[:-1] == 0xE3) & (raw[1:] >= 0x81) & (raw[1:] <= 0x83)
+        if kana.any():  # a run of letters that begins in Han may go on in Kana
+            self.script[(self.script == _HAN) & np.logical_or.reduceat(np.append(kana, False), at)] = _KANA
 
-    def sums(self, row: np.ndarray) -> np.ndarray:
-        """Per word, the sum of a weight row over its features."""
-        return np.add.reduceat(row[self.gram], self.words.starts) + row[self.word]
+    def grams_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the trigrams of some words, and where each word's begin."""
+        starts, length = self.words.starts[words], self.words.ends[words] - self.words.starts[words]
+        begin = np.cumsum(length) - length
+        return self.gram[np.arange(int(length.sum())) - np.repeat(begin, length) + np.repeat(starts, length)], begin
 
 
 class Model:
@@ -194,57 +204,77 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float, block: int =
     return np.take_along_axis(path, chosen[:, None], 1)[:, 0]
 
 
+class Labels:
+    """What a batch of texts is written in: ``best`` (-1: no letter), ``score``, ``accepted``, and the spans' ends as characters."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, model: Model, penalty: float = PENALTY, spans: bool = True):
+        f = Features(raw, offsets)
+        w, n = f.words, len(offsets) - 1
+        lettered = f.script < 255
+        alone = [int(s) for s in np.unique(f.script[lettered]) if s not in model.scripts]
+        self.names = model.languages + [SCRIPT_LANGUAGE[SCRIPTS[s]] for s in alone]
+        self.trained, self.best = len(model.languages), np.full(n, -1)
+        self.score, self.known, self.accepted = np.zeros(n), np.zeros(n, bool), np.zeros(n, bool)
+        self.cut, self.start, self.stop, self.state = np.zeros(n + 1, np.int32), *(np.zeros(0, np.int32) for _ in range(3))
+        if not len(w) or not self.names:
+            return
+        scripts = np.array(model.scripts + alone)
+        rel = np.full((len(w), len(scripts)), NEVER, np.float32)
+        mean = np.zeros((len(w), self.trained), np.float32)  # of a word's trigrams
+        rel[~lettered] = 0
+        for s in np.unique(f.script[lettered]):
+            words = np.flatnonzero(f.script == s)
+            may = [i for i, t in enumerate(scripts) if t == s or (s == _HAN and t == _KANA)]
+            gram, begin = f.grams_of(words)
+            count = np.maximum(np.add.reduceat((gram > 0).astype(np.int64), begin), 1)
+            scores = np.zeros((len(words), len(may)), np.float32)
+            for j, i in enumerate(may):
+                if i < self.trained:
+                    part = np.add.reduceat(model.weights[i][gram], begin)
+                    mean[words, i] = part / count
+                    scores[:, j] = part + model.weights[i][f.word[words]]
+            like = [j for j, i in enumerate(may) if i < self.trained]
+            if like:
+                scores[:, like] -= scores[:, like].max(1, keepdims=True)
+            for j, i in enumerate(may):
+                if i >= self.trained:  # a script's label beside trained languages, and Japanese beside Chinese
+                    scores[:, j] = -CLIP if like else -float(scripts[i] != s)
+            rel[words[:, None], may] = np.maximum(scores, -CLIP)
+        state = viterbi(rel, w.first, penalty).astype(np.int64)
+        count = np.zeros((n, len(self.names)))
+        np.add.at(count, (w.doc[lettered], state[lettered]), 1)
+        some = count.any(1)
+        self.best[some] = count[some].argmax(1)
+        own = np.flatnonzero(lettered & (state < self.trained))  # how well the path's language explains the trigrams
+        total, many = np.bincount(w.doc[own], mean[own, state[own]], n), np.bincount(w.doc[own], minlength=n)
+        self.score = total / np.maximum(many, 1)
+        self.known = some & (self.best < self.trained)
+        self.accepted = some & (~self.known | (many == 0) | (self.score >= FLOOR - SURE / np.sqrt(np.maximum(many, 1))))
+        if not spans:
+            return
+        change = np.ones(len(w), bool)
+        change[1:] = (state[1:] != state[:-1]) | (w.doc[1:] != w.doc[:-1])
+        at = np.flatnonzero(change)
+        at = at[some[w.doc[at]]]
+        ends = np.append(np.flatnonzero(change)[1:], len(w)) - 1
+        ends = ends[some[w.doc[np.flatnonzero(change)]]]
+        chars = char_positions(raw)
+        base = chars[offsets[:-1]][w.doc[at]]
+        self.start, self.stop, self.state = (chars[w.starts[at]] - base).astype(np.int32), (chars[w.ends[ends]] - base).astype(np.int32), state[at]
+        self.cut = np.searchsorted(w.doc[at], np.arange(n + 1)).astype(np.int32)
+
+    def columns(self) -> list[pa.Array]:
+        """lang, score, accepted and spans."""
+        names = pa.array([*self.names, None], pa.string())
+        spans = pa.StructArray.from_arrays([pa.array(self.start), pa.array(self.stop), names.take(pa.array(self.state.astype(np.int64)))], names=["start", "stop", "lang"])
+        lang = names.take(pa.array(np.where(self.best < 0, len(self.names), self.best).astype(np.int64)))
+        return [lang, pa.array(self.score, pa.float64(), mask=~self.known), pa.array(self.accepted), pa.ListArray.from_arrays(pa.array(self.cut), spans)]
+
+
 def label(raw: np.ndarray, offsets: np.ndarray, model: Model, penalty: float = PENALTY):
     """For each text: (lang or None, score, accepted, spans as (start, stop, lang) in characters)."""
-    f = Features(raw, offsets)
-    w, n = f.words, len(offsets) - 1
-    lettered = f.script < 255
-    present = [int(s) for s in np.unique(f.script[lettered])]
-    alone = [s for s in present if s not in model.scripts]
-    names = model.languages + [SCRIPT_LANGUAGE[SCRIPTS[s]] for s in alone]
-    if not len(w) or not names:
-        return [(None, None, False, [])] * n
-    scores = np.zeros((len(w), len(names)), np.float32)
-    for i, row in enumerate(model.weights):
-        scores[:, i] = f.sums(row)
-    scripts = np.array(model.scripts + alone)
-    trained = len(model.languages)
-    fits = f.script[:, None] == scripts[None, :]
-    like = np.where(fits[:, :trained], scores[:, :trained], -1e9).max(1) if trained else np.full(len(w), -1e9)
-    rel = np.where(fits, scores - np.where(like > -1e8, like, 0)[:, None], -CLIP)
-    rel[~lettered] = 0
-    np.maximum(rel, -CLIP, out=rel)
-    state = viterbi(rel.astype(np.float32), w.first, penalty)
-    count = np.zeros((n, len(names)))
-    np.add.at(count, (w.doc[lettered], state[lettered]), 1)
-    # how well the path's language explains the trigrams
-    grams = np.add.reduceat((f.gram > 0).astype(np.int64), w.starts)
-    known = lettered & (state < trained)
-    own = scores[np.arange(len(w)), state]
-    word_part = np.zeros(len(w), np.float32)
-    for i, row in enumerate(model.weights):
-        mine = state == i
-        word_part[mine] = row[f.word[mine]]
-    total = np.bincount(w.doc[known], ((own - word_part) / np.maximum(grams, 1))[known], minlength=n)
-    many = np.bincount(w.doc[known], minlength=n)
-    score = np.where(many > 0, total / np.maximum(many, 1), 0.0)
-    change = np.ones(len(w), bool)
-    change[1:] = (state[1:] != state[:-1]) | (w.doc[1:] != w.doc[:-1])
-    at = np.flatnonzero(change)
-    to = np.append(at[1:], len(w)) - 1
-    chars = char_positions(raw)
-    base = chars[offsets[:-1]][w.doc[at]]
-    start, stop = chars[w.starts[at]] - base, chars[w.ends[to]] - base
-    cut = np.searchsorted(w.doc[at], np.arange(n + 1))
-    out = []
-    for d in range(n):
-        if not count[d].any():
-            out.append((None, None, False, []))
-            continue
-        best = int(count[d].argmax())
-        spans = [(int(start[i]), int(stop[i]), names[state[at[i]]]) for i in range(cut[d], cut[d + 1])]
-        out.append((names[best], float(score[d]) if best < trained else None, bool(best >= trained or many[d] < LEAST or score[d] >= FLOOR), spans))
-    return out
+    lang, score, accepted, spans = (c.to_pylist() for c in Labels(raw, offsets, model, penalty).columns())
+    return [(a, b, c, [(x["start"], x["stop"], x["lang"]) for x in d]) for a, b, c, d in zip(lang, score, accepted, spans)]
 
 
 def identify(docs: DataFrame, rows: int = TRAIN_ROWS, penalty: float = PENALTY) -> DataFrame:
@@ -252,14 +282,10 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS, penalty: float = PENALTY)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, rows))  # bounded by the slots: about 2 MB
 
     def run(batches):
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets, _ = text_buffers(part.column(1))
-                rows = label(raw, offsets, model.value, penalty)
-                lang, score, accepted, spans = zip(*rows) if rows else ((), (), (), ())
-                spans = [[{"start": a, "stop": b, "lang": c} for a, b, c in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_()), pa.array(spans, kind)], names=["doc_id", "lang", "score", "accepted", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *Labels(raw, offsets, model.value, penalty).columns()], names=["doc_id", "lang", "score", "accepted", "spans"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, lang string, score double, accepted boolean, spans {_SPANS}")
 
@@ -273,7 +299,7 @@ def keep_identified(docs: DataFrame, rows: int = TRAIN_ROWS, penalty: float = PE
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets, _ = text_buffers(part.column(place))
-                yield part.filter(pa.array([ok for _, _, ok, _ in label(raw, offsets, model.value, penalty)], pa.bool_()))
+                yield part.filter(pa.array(Labels(raw, offsets, model.value, penalty, spans=False).accepted))
 
     return docs.mapInArrow(run, docs.schema)
 
