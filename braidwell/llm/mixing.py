@@ -13,7 +13,8 @@ distinct lengths, however large the corpus. Only one row per source reaches the
 
 Defined cases: null and empty texts have no tokens and aren't selected; nor are rows with a null doc_id or a
 null source (it has no weight) or a source without weight. Rows that share a doc_id are one document with
-all their tokens, of the smallest of their sources. Ties of the hash go by doc_id. An empty table or a zero
+all their tokens, of the smallest of their sources. Ties of the hash go by doc_id. Texts of any length are counted
+whole. Other columns, whatever their names, are carried by ``mixed`` and don't matter to ``select``. An empty table or a zero
 budget selects nothing.
 """
 
