@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from braidwell.streaming import appends
+
 RECORD = """schema int, id string, kind string, event_time string, observed_at string, system string, ref string, correlation string,
     title string, body string, text string, actor string, revision string"""
 MOST_BYTES = 1 << 20
@@ -24,30 +28,52 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, failed lines) of all files of a log. Lines that don't parse are counted and don't fail the rest."""
-    lines = spark.read.text(path).where("value <> ''").withColumn("file", F.input_file_name())
-    p = parsed(lines)
-    return p.where("ok").drop("ok"), p.where("NOT ok").select("file", "id")
+def read(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records, failed lines) of all files of a log, with their place in it. Lines that don't parse are counted and don't
+    fail the rest."""
+    p = parsed(appends.read_lines(spark, path).where("value <> ''"))
+    return p.where("ok").drop("ok"), p.where("NOT ok").select("file", "position", "id")
+
+
+def _cursor(spark: SparkSession, checkpoint: str) -> dict[str, int]:
+    """Bytes of each file that the last run of a checkpoint took in."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/offsets")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    runs = [int(f.getPath().getName()) for f in system.listStatus(folder) if f.getPath().getName().isdigit()] if system.exists(folder) else []
+    if not runs:
+        return {}
+    stored = spark.read.text(f"{checkpoint}/offsets/{max(runs)}", wholetext=True).first()[0]
+    return json.loads(stored.strip().split("\n")[-1])
 
 
-def catch_up(spark: SparkSession, path: str, table: str, checkpoint: str) -> dict:
-    """Take in what was appended since the last call, in one bounded run, and stop.
+def catch_up(spark: SparkSession, path: str | list[str], table: str, checkpoint: str) -> dict:
+    """Take in the lines that were appended since the last call, in one bounded run, and stop.
 
-    The checkpoint is the durable cursor: a file is read once, also if the run is repeated after a failure. Late
-    events are kept, whatever their time. Returns the run's numbers of rows and its generation.
+    The checkpoint is the durable cursor, a byte position per file: a line is taken in once, also if the run is repeated
+    after a failure, and an unfinished last line waits. Late events are kept, whatever their time. A file that is shorter
+    than its cursor, or gone, was rewritten: then table and cursor are dropped and the log is read from its beginning.
+    Returns the run's number of lines, its generation and whether the log was rewritten.
     """
-    stream = parsed(spark.readStream.text(path).where("value <> ''"))
+    now = appends.sizes(path)
+    rewritten = any(now.get(file, 0) < taken for file, taken in _cursor(spark, checkpoint).items() if taken)
+    if rewritten:
+        for folder in (table, checkpoint):
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    stream = parsed(appends.stream_lines(spark, path).where("value <> ''"))
     q = stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     done = q.recentProgress
-    return {"rows": sum(p.numInputRows for p in done), "generation": max((p.batchId for p in done), default=-1) + 1}
+    return {"rows": sum(p.numInputRows for p in done), "generation": max((p.batchId for p in done), default=-1) + 1, "rewritten": rewritten}
 
 
-def latest(records: DataFrame, by: str = "id", *order: str) -> DataFrame:
-    """The last of each id in log order; a log keeps all, a lookup wants the last."""
-    w = Window.partitionBy(by).orderBy(*(F.desc(c) for c in order or ("event_time",)))
-    return records.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def latest(records: DataFrame, by: tuple[str, ...] = ("schema", "id"), order: tuple[str, ...] = ("part", "file", "position")) -> DataFrame:
+    """The last of each identity in log order; a log keeps all, a lookup wants the last. An identity is schema and id, so
+    lines of both schemas with one id are two records; the later line counts, whatever its event time."""
+    rest = [c for c in records.columns if c not in by]
+    last = records.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
+    return last.select(*by, "__last.*").select(records.columns)
 
 
 def snapshot(records: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from braidwell.sources import connectors as C
 from braidwell.sources import corpus as S
+from braidwell.streaming import appends
 from braidwell.streaming import events as W
 
 
@@ -99,15 +100,38 @@ def test_log(spark, tmp_path):
     assert {r.id: (r.text, r.actor) for r in good.collect()} == {"a": ("b1", None), "b": ("t2", "ann")} and bad.count() == 4
     take = lambda: W.catch_up(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cursor"))
     assert take()["rows"] == 6 and take()["rows"] == 0
-    (tmp_path / "in" / "2.jsonl").write_text(json.dumps({**LOG[0], "event_time": "2020-01-01T00:00:00Z", "title": "late"}) + "\n")
-    assert take() == {"rows": 1, "generation": 2}
+    with open(tmp_path / "in" / "1.jsonl", "a") as f:  # a log grows at its end
+        f.write(json.dumps({**LOG[0], "event_time": "2020-01-01T00:00:00Z", "title": "late"}) + "\n" + json.dumps({**LOG[0], "schema": 2, "title": "other"}) + "\n" + '{"schema": 1, "id": "e",')
+    assert take() == {"rows": 2, "generation": 2, "rewritten": False} and take()["rows"] == 0  # the unfinished line waits
+    with open(tmp_path / "in" / "1.jsonl", "a") as f:
+        f.write(' "event_time": "2023-01-01T00:00:00Z", "title": "end"}\n')
+    (tmp_path / "in" / "2.jsonl").write_text(json.dumps({**LOG[1], "title": "two again"}) + "\n")
+    assert take()["rows"] == 2
     taken = spark.read.parquet(str(tmp_path / "out")).where("ok")
-    assert taken.count() == 3 and W.snapshot(taken).first().label == "records=3 latest=2024-01-02T00:00:00Z"
-    assert {r.id: r.title for r in W.latest(taken).collect()} == {"a": "one", "b": "two"}
-    up = {r.id: list(r.derived_from) for r in W.upstream(taken, {"tasks": "u-tasks"}).where("title <> 'late'").collect()}
+    assert taken.count() == 6 and W.snapshot(taken).first().label == "records=6 latest=2024-01-02T00:00:00Z"
+    assert {(r.schema, r.id): r.title for r in W.latest(taken).collect()} == {(1, "a"): "late", (2, "a"): "other", (2, "b"): "two again", (1, "e"): "end"}
+    assert W.latest(taken).columns == taken.columns
+    (tmp_path / "in" / "1.jsonl").write_text(json.dumps(LOG[0]) + "\n")  # shorter than the cursor: rewritten
+    assert take() == {"rows": 2, "generation": 1, "rewritten": True}
+    taken = spark.read.parquet(str(tmp_path / "out")).where("ok").withColumn("n", F.lit(1))
+    assert sorted(r.title for r in taken.collect()) == ["one", "two again"]
+    taken = W.read(spark, [str(tmp_path / "in")])[0]
+    up = {r.id: list(r.derived_from) for r in W.upstream(taken, {"tasks": "u-tasks"}).collect()}
     assert up == {"a": ["u-tasks:7"], "b": []}
 
 
+def test_ranges_of_a_log_own_each_line_once(spark, tmp_path):
+    want = [f"line {i} " + "x" * (i % 7 * 11) for i in range(300)]
+    (tmp_path / "a.log").write_text("\n".join(want) + "\nunfinished")
+    for split in (1, 7, 64, 1000, 1 << 20):
+        if split >= 1000:
+            rows = appends.read_lines(spark, str(tmp_path / "a.log"), split).orderBy("position").collect()
+            assert [r.value for r in rows] == want
+        ranges = appends._ranges({"f": 0}, {}, {"f": appends._end(str(tmp_path / "a.log"))}, split)
+        got = [v.decode() for r in ranges for _, values in appends.lines(str(tmp_path / "a.log"), *r.value[2:]) for v in values]
+        assert got == want
+
+
 def test_states(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c.alias("x")).first().x
