@@ -1,7 +1,8 @@
 """Lexical retrieval over chunks: inverted index, BM25 with coverage, aboutness, identifiers, local order.
 
-All operators work on a batch of queries at once. The index is three tables; a search touches only the
-postings of the spellings asked for. Corpus counts (number of chunks, document frequencies, mean length) are
+All operators work on a batch of queries at once. Texts are tokenised once, into postings that carry their chunk's
+length; the other tables of an index are counted from those. A stored index has its postings ranged and sorted by term, and a
+search reads terms, frequencies and lengths of it, never a text. Corpus counts (number of chunks, document frequencies, mean length) are
 over all chunks: a filter decides who is scored, never what a term weighs.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwell.functions import text as X
+from braidwell.schema import CANDIDATE, CLASS_IDENTIFIER, CLASS_NATURAL, conform
 from braidwell.shared import saved
 
 K1, B = 1.2, 0.75
@@ -21,25 +23,28 @@ VARIANT_WEIGHT = 0.5
 
 @dataclass
 class Index:
+    postings: DataFrame  # term, chunk_id, length (of the chunk), tf; a chunk without a token has one row without a term
     lengths: DataFrame  # chunk_id, length
-    postings: DataFrame  # term, chunk_id, tf
     vocabulary: DataFrame  # term, df
     stats: DataFrame  # n, avg_len: one row
 
     def saved(self) -> Index:
         """The index as tables of the shared folder, for several searches."""
-        postings = saved(self.postings)
-        return Index(saved(self.lengths), postings, saved(postings.groupBy("term").agg(F.count("*").alias("df"))), saved(self.stats))
+        return index_of(saved(self.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")), saved)
+
+
+def index_of(postings: DataFrame, keep=lambda df: df) -> Index:
+    """An index from its postings; ``keep`` stores what searches read again and again."""
+    lengths = postings.groupBy("chunk_id").agg(F.first("length").alias("length"))
+    held = postings.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
+    return Index(postings, lengths, keep(held), keep(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))))
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Index:
-    """One pass over the tokens; counting is combined before it is shuffled."""
+    """Counting is combined before it is shuffled."""
     tokenised = chunks.select(F.col(key).alias("chunk_id"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    lengths = tokenised.select("chunk_id", F.size("tokens").alias("length"))
-    postings = tokenised.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    vocabulary = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("avg_len"))
-    return Index(lengths, postings, vocabulary, stats)
+    rows = tokenised.select("chunk_id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+    return index_of(rows.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -47,13 +52,23 @@ def idf(df: Column, n: Column) -> Column:
     return F.log((n + 1) / (df + 0.5))
 
 
+def analysed(queries: DataFrame) -> DataFrame:
+    """Adds query_class ('' without words, identifier or natural language) and stable_identifiers."""
+    stable = X.stable_identifiers(F.coalesce("query", F.lit("")))
+    words = F.regexp_count(F.coalesce("query", F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
+    kind = F.when(words == 0, F.lit("")).when((words == 1) | (F.size(stable) > 0), F.lit(CLASS_IDENTIFIER)).otherwise(F.lit(CLASS_NATURAL))
+    return queries.withColumns({"query_class": kind, "stable_identifiers": stable})
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, content, normalized): distinct terms; content ones count for coverage."""
-    q = queries.select("query_id", F.array_distinct(X.tokens("query")).alias("raw"))
-    q = q.withColumn("kept", F.filter("raw", lambda t: ~t.isin(*X.FUNCTION_WORDS)))
+    """(query_id, term, content, normalized): distinct terms; content ones count for coverage. Function words have no content
+    unless they stand in double quotes, or nothing else would be left."""
+    inside = lambda s, i: F.transform(X.tokens(s), lambda t: F.struct(t.alias("term"), ((i % 2 == 1) | ~t.isin(*X.FUNCTION_WORDS)).alias("content")))
+    q = queries.select("query_id", F.flatten(F.transform(F.split("query", '"'), inside)).alias("raw"))
+    q = q.withColumn("kept", F.filter("raw", lambda t: t["content"]))
     q = q.withColumn("normalized", (F.size("kept") > 0) & (F.size("kept") < F.size("raw")))
-    q = q.select("query_id", "normalized", F.explode("raw").alias("term"))
-    return q.select("query_id", "term", "normalized", (~F.col("normalized") | ~F.col("term").isin(*X.FUNCTION_WORDS)).alias("content"))
+    q = q.select("query_id", "normalized", F.col("kept.term").alias("kept"), F.explode(F.array_distinct(F.col("raw.term"))).alias("term"))
+    return q.select("query_id", "term", "normalized", (~F.col("normalized") | F.array_contains("kept", F.col("term"))).alias("content"))
 
 
 def resolve_variants(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -88,7 +103,7 @@ def score(index: Index, spelled: DataFrame, allowed: DataFrame | None = None) ->
     hits = index.postings.withColumnRenamed("term", "spelling").join(weighed, "spelling")
     if allowed is not None:
         hits = hits.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    hits = hits.join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats))  # stats: one row
+    hits = hits.crossJoin(F.broadcast(index.stats))  # stats: one row
     part = F.col("weight") * idf(F.col("df"), F.col("n")) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_len")))
     hits = hits.select("query_id", "chunk_id", "term", "content", "scores", "length", "tf", "weight", F.when(F.col("scores"), part).otherwise(0.0).alias("part"))
     keys = ["query_id", "chunk_id", "term", "content", "scores", "length"]
@@ -108,7 +123,7 @@ def search(index: Index, queries: DataFrame, k: int = 20, allowed: DataFrame | N
     terms = saved(query_terms(queries))
     vocabulary = index.vocabulary
     if allowed is not None:
-        vocabulary = index.postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("term").distinct()
+        vocabulary = index.postings.where("term IS NOT NULL").join(allowed.select("chunk_id"), "chunk_id", "left_semi").select("term").distinct()
     spelled = saved(spellings(terms, vocabulary))
     groups = terms.groupBy("query_id").agg(F.count_if("content").alias("groups"), F.max("normalized").alias("normalized"))
     found = score(index, spelled, allowed).join(groups, "query_id").where("scored = 1")
@@ -192,3 +207,55 @@ def candidates(ranked: DataFrame, chunks: DataFrame, source_uid: str, source_id:
         col("revision", "string").alias("source_revision"), F.coalesce(col("sensitivity", "int"), F.lit(1)).alias("sensitivity"),
         X.fingerprint(F.col("text")).alias("content_fingerprint"),
     )
+
+
+def of_types(candidates: DataFrame, record_types: list[str] | None) -> DataFrame:
+    """Candidates of the record types asked for; all where none is."""
+    return candidates.where(F.col("record_type").isin(list(record_types))) if record_types else candidates
+
+
+def record_candidates(found: DataFrame, records: DataFrame, source_uid: str, source_id: str, record_type: str, title: Column, excerpt: Column, by: str = "id", **more: Column) -> DataFrame:
+    """Ranked records (query_id, ``by``, rank, and where there are: score, relevance, signals, mention) as candidates of a
+    source whose records aren't cut into chunks, so record, candidate and locator are one id. ``more``: further columns of
+    a candidate, from ``records``."""
+    have = lambda name, default: F.col(name) if name in found.columns else default
+    exact = have("mention", F.lit(None)).isNotNull() | F.coalesce(have("exact", F.lit(False)), F.lit(False))
+    signals = F.coalesce(have("signals", F.array(F.lit("lexical"))), F.array().cast("array<string>"))
+    ranks = found.select(
+        "query_id", F.col(by).alias("__id"), F.col("rank").alias("local_rank"), have("score", F.lit(None)).cast("double").alias("local_score"), have("relevance", F.lit(None)).cast("double").alias("relevance"),
+        F.concat(F.when(exact, F.array(F.lit("exact_identifier"))).otherwise(F.array().cast("array<string>")), signals).alias("match_signals"),
+    )
+    local = F.col(by).cast("string")
+    shown = records.select(F.col(by).alias("__id"), local.alias("local"), title.alias("title"), X.bounded(excerpt, 400).alias("excerpt"), *(c.alias(n) for n, c in more.items()))
+    out = ranks.join(shown, "__id").withColumns({"source_uid": F.lit(source_uid), "source_id": F.lit(source_id), "candidate_id": F.col("local"), "source_record_id": F.col("local"), "record_type": F.lit(record_type), "derived_from": F.array().cast("array<string>"), "excerpt_kind": F.lit("preview")})
+    return conform(out, CANDIDATE)
+
+
+def task_candidates(found: DataFrame, tasks: DataFrame, source_uid: str, source_id: str) -> DataFrame:
+    """tasks: id, title, headline, notes, at, closed, and optionally revision, sensitivity, metadata."""
+    first = F.when(F.size("notes") > 0, F.concat(F.lit(" \u2014 "), F.get("notes", F.lit(0)))).otherwise("")
+    own = {n: F.col(c) for n, c in {"source_revision": "revision", "sensitivity": "sensitivity", "metadata": "metadata"}.items() if c in tasks.columns}
+    text = F.concat(F.when(F.coalesce("headline", F.lit("")) != "", F.col("headline")).otherwise(F.col("title")), first)
+    return record_candidates(found, tasks, source_uid, source_id, "task", F.col("title"), text, event_time=F.col("at"), valid_to=F.col("closed"), **own)
+
+
+def issue_candidates(found: DataFrame, issues: DataFrame, source_uid: str, source_id: str, store: str) -> DataFrame:
+    """issues: id, title, description, created_at, updated_at, closed_at. Two sources that read one store hand over one
+    fingerprint for one issue, so it is one piece of evidence."""
+    from braidwell.operators.records import issue_fingerprint
+
+    text = F.concat_ws(" \u2014 ", F.col("title"), F.when(F.coalesce("description", F.lit("")) != "", F.col("description")))
+    return record_candidates(found, issues, source_uid, source_id, "task", F.col("title"), text, event_time=F.col("updated_at"), valid_from=F.col("created_at"), valid_to=F.col("closed_at"), content_fingerprint=issue_fingerprint(F.lit(store), F.col("id").cast("string"), F.col("updated_at").cast("string")))
+
+
+def thread_candidates(found: DataFrame, threads: DataFrame, source_uid: str, source_id: str) -> DataFrame:
+    """threads: id, subject, sender, at (null where the store's date can't be read)."""
+    text = F.concat_ws(" \u2014 ", "sender", "subject")
+    return record_candidates(found, threads, source_uid, source_id, "message", F.col("subject"), text, event_time=F.col("at"))
+
+
+def semantic_candidates(found: DataFrame, hits: DataFrame, source_uid: str, source_id: str) -> DataFrame:
+    """hits: id, file, title, body (the matched span). They are documents with the excerpt that matched."""
+    named = F.create_map(F.lit("path"), F.col("file"))
+    signals = found.withColumn("signals", F.array(F.lit("semantic")))
+    return record_candidates(signals, hits, source_uid, source_id, "document", F.col("title"), F.col("body"), metadata=named).withColumn("excerpt_kind", F.lit("matched"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwell.functions import text as X
+from braidwell.operators.documents import Index, index_of
 
 MOST_BYTES = 1 << 20
 SUFFIXES = ("md", "markdown")
@@ -109,6 +110,30 @@ class Generations:
         return tables, trailer["header"]
 
 
+def mark_of(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of a table's files: what an index was built from."""
+    from hashlib import sha256
+
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sha256(json.dumps(sorted([f.getPath().getName(), f.getLen(), f.getModificationTime()] for f in files)).encode()).hexdigest()[:16]
+
+
+def stored_index(spark: SparkSession, root: str, mark: str, build) -> tuple[Index, bool]:
+    """The index below ``root``, and whether it had to be built: a new generation is written where the current one wasn't
+    made from ``mark``, and all but the last two are deleted. Searches of any session then read the same tables."""
+    kept = Generations(spark, root)
+    if kept.current() is not None:
+        tables, header = kept.load()
+        if header.get("mark") == mark:
+            return Index(tables["postings"], index_of(tables["postings"]).lengths, tables["vocabulary"], tables["stats"]), False
+    made = build().saved()
+    kept.write({"postings": made.postings, "vocabulary": made.vocabulary, "stats": made.stats}, {"mark": mark})
+    kept.prune(2)
+    return stored_index(spark, root, mark, build)[0], True
+
+
 def notes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sections, refused) of notes: ``key: value`` lines, a blank line, a body cut at ``## `` headings.
 
