@@ -15,8 +15,9 @@ def canonical(ranked: DataFrame, judgments: DataFrame, aliases: DataFrame) -> tu
 
     ranked: case_id, position, root; judgments: case_id, root, grade, required, forbidden; aliases: case_id, root, fused_into.
     """
-    a = aliases.select("case_id", F.col("root").alias("__root"), "fused_into").dropDuplicates(["case_id", "__root"])
-    swap = lambda df: df.join(a, (df["case_id"] == a["case_id"]) & (df["root"] == a["__root"]), "left").select(*(F.coalesce("fused_into", df["root"]).alias("root") if c == "root" else df[c] for c in df.columns))
+    a = aliases.select(F.col("case_id").alias("__case"), F.col("root").alias("__root"), F.col("fused_into").alias("__into")).dropDuplicates(["__case", "__root"])
+    at = (F.col("case_id") == F.col("__case")) & (F.col("root") == F.col("__root"))
+    swap = lambda df: df.join(a, at, "left").withColumn("root", F.coalesce("__into", "root")).select(df.columns)
     firsts = swap(ranked).groupBy("case_id", "root").agg(F.min("position").alias("position"))
     renumbered = firsts.withColumn("position", F.row_number().over(Window.partitionBy("case_id").orderBy("position")))
     graded = swap(judgments).groupBy("case_id", "root").agg(F.max("grade").alias("grade"), F.max("required").alias("required"), F.max("forbidden").alias("forbidden"))
