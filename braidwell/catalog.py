@@ -8,6 +8,7 @@ judgments; ``benchmark`` gives the batch of queries.
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from braidwell.functions import markdown as M
 from braidwell.functions import text as X
 from braidwell.operators import documents as D
+from braidwell.operators.documents import Index
 from braidwell.operators import expand as E
 from braidwell.operators import fusion as U
 from braidwell.operators import lineage as L
@@ -24,6 +26,7 @@ from braidwell.plans import planning as P
 from braidwell.plans import shape as H
 from braidwell.schema import CANDIDATE, QUERY, SOURCE, conform
 from braidwell.shared import saved, shared_dir, spread
+from braidwell.sources import corpus as C
 from braidwell.streaming import events as S
 
 QUERIES: dict = {}
@@ -229,7 +232,7 @@ def batch(spark, d):
 
 @query(f"WITH {INDEX_SQL} SELECT term, chunk_id, tf FROM postings")
 def postings(spark, d):
-    return D.build_index(chunks(spark, d)).postings
+    return D.build_index(chunks(spark, d)).postings.where("term IS NOT NULL").select("term", "chunk_id", "tf")
 
 
 @query(f"WITH {INDEX_SQL} SELECT n, round(avg_len, 6) AS avg_len, (SELECT count(*) FROM vocabulary) AS terms, (SELECT max(length) FROM lengths) AS longest FROM stats")
@@ -284,7 +287,7 @@ def filtered_search(spark, d):
     allowed = D.document_filter(chunks(spark, d), project="SRC0", of="source").select("chunk_id")
     q = values(spark, [(1, "the apache")], "query_id long, query string")
     i = D.build_index(chunks(spark, d))
-    found = D.score(i, D.spellings(D.query_terms(q), i.postings.join(allowed, "chunk_id", "left_semi").select("term").distinct()), allowed)
+    found = D.score(i, D.spellings(D.query_terms(q), i.postings.where("term IS NOT NULL").join(allowed, "chunk_id", "left_semi").select("term").distinct()), allowed)
     return found.where("covered >= 1").select("chunk_id", "bm25")
 
 
@@ -472,15 +475,15 @@ def locator_resolution(spark, d):
 
 def pool(spark, d):
     """A pool of candidates: orders found by three sources with ranks, relevances and shared records."""
-    o = table(spark, d, "orders").where("o_orderkey < 4000")
+    o = table(spark, d, "orders")
     part = lambda n, r: o.where(F.col("o_orderkey") % n == r).select((F.col("o_custkey") % 20).alias("query_id"), F.lit(f"s{n}").alias("source_uid"), F.col("o_orderkey").alias("key"))
     c = P.pooled([part(2, 0), part(3, 0), part(5, 1)])
     c = c.withColumn("local_rank", F.row_number().over(Window.partitionBy("query_id", "source_uid").orderBy("key")))
     return c.withColumn("relevance", F.when(F.col("key") % 7 == 0, F.lit(None)).otherwise((F.col("key") % 11) / 8.0 - 0.2).cast("double")).withColumn("root", F.concat(F.lit("r"), (F.col("key") / 2).cast("long")))
 
 
-POOL_SQL = """c0 AS (SELECT o_custkey % 20 AS query_id, 's2' AS source_uid, o_orderkey AS key FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 2 = 0 UNION ALL SELECT o_custkey % 20, 's3', o_orderkey FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 3 = 0
-        UNION ALL SELECT o_custkey % 20, 's5', o_orderkey FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 5 = 1),
+POOL_SQL = """c0 AS (SELECT o_custkey % 20 AS query_id, 's2' AS source_uid, o_orderkey AS key FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey % 20, 's3', o_orderkey FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT o_custkey % 20, 's5', o_orderkey FROM orders WHERE o_orderkey % 5 = 1),
     pool AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_uid ORDER BY key) AS local_rank, CASE WHEN key % 7 = 0 THEN NULL ELSE (key % 11) / 8.0::DOUBLE - 0.2::DOUBLE END AS relevance, 'r' || (key // 2) AS root FROM c0),
     best AS (SELECT *, row_number() OVER (PARTITION BY query_id, root, source_uid ORDER BY local_rank, key::VARCHAR) AS nth, CASE WHEN relevance IS NULL THEN 1 WHEN relevance < 0 THEN 0 WHEN relevance > 1 THEN 1 ELSE relevance END AS rel,
         CASE source_uid WHEN 's2' THEN 1.5 WHEN 's3' THEN 1.0 ELSE 0.5 END::DOUBLE AS prior FROM pool)"""
@@ -496,15 +499,6 @@ def group_score(spark, d):
     return U.group_scores(c, pool_sources(spark), query_class="natural_language").withColumn("score", F.round("score", 9))
 
 
-@query(f"""WITH {POOL_SQL}, g AS (SELECT query_id, root, max(prior * rel / (60 + local_rank)) AS score FROM best WHERE nth = 1 GROUP BY query_id, root)
-    SELECT query_id, substr(root, 1, 3) AS cluster, round(least(sum(score), 2 * max(score)), 9) AS score, round(sum(score), 9) > round(2 * max(score), 9) AS cap_applied FROM g GROUP BY ALL""")
-def corroboration_cap(spark, d):
-    c = pool(spark, d).withColumn("local", F.col("key").cast("string")).withColumn("candidate_id", F.col("key").cast("string"))
-    units = U.group_scores(c, pool_sources(spark), query_class="natural_language").withColumn("cluster", F.substring("root", 1, 3))
-    out = units.groupBy("query_id", "cluster").agg(F.sum("score").alias("t"), (F.max("score") * 2).alias("m"))
-    return out.select("query_id", "cluster", F.round(F.least("t", "m"), 9).alias("score"), (F.round("t", 9) > F.round("m", 9)).alias("cap_applied"))
-
-
 @query(f"WITH {POOL_SQL} SELECT source_uid, local_rank, count(*) AS n, round(avg(rel), 9) AS relevance FROM best WHERE nth = 1 GROUP BY ALL")
 def best_rank_relevance(spark, d):
     c = pool(spark, d).withColumn("local", F.col("key").cast("string")).withColumn("candidate_id", F.col("key").cast("string"))
@@ -514,16 +508,16 @@ def best_rank_relevance(spark, d):
 
 @query("""WITH names AS (SELECT p_partkey, 'name' || lower(p_name) AS key FROM part UNION ALL SELECT p_partkey, 'brand' || p_brand || p_size FROM part WHERE p_size < 3)
     SELECT key, min(p_partkey) AS first_id, count(*) AS n FROM names GROUP BY key HAVING count(*) > 1""")
-def entity_clusters(spark, d):
+def entity_names(spark, d):
     p = table(spark, d, "part")
     keys = F.array_compact(F.array(F.concat(F.lit("name"), X.normalized_name(F.col("p_name"))), F.when(F.col("p_size") < 3, F.concat(F.lit("brand"), "p_brand", "p_size"))))
     return p.select("p_partkey", F.explode(keys).alias("key")).groupBy("key").agg(F.min("p_partkey").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
-@query("""WITH RECURSIVE link AS (SELECT DISTINCT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment WHERE a.c_custkey < 120 AND b.c_custkey < 120),
+@query("""WITH RECURSIVE link AS (SELECT DISTINCT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment),
     reach AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x) SELECT x AS node, min(y) AS component FROM reach GROUP BY x""")
 def connected_components(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 120")
+    c = table(spark, d, "customer")
     links = c.select(F.col("c_custkey").alias("node"), F.concat_ws("|", "c_nationkey", "c_mktsegment").alias("key"))
     shared_dir(spark)
     return U.components(links)
@@ -532,37 +526,6 @@ def connected_components(spark, d):
 # selection
 
 
-@query(f"""WITH {POOL_SQL}, g AS (SELECT query_id, root, max(rel) AS top, count(*) AS n FROM best GROUP BY ALL), k AS (SELECT *, count(*) FILTER (top >= 0.1) OVER (PARTITION BY query_id) AS kept FROM g)
-    SELECT query_id, root, n FROM k WHERE top < 0.1 AND kept > 0""")
-def relevance_floor(spark, d):
-    """Groups below the floor; where it would leave a query nothing it stands down."""
-    g = pool(spark, d).groupBy("query_id", "root").agg(F.max(U.floor_relevance(F.col("relevance"))).alias("top"), F.count("*").alias("n"))
-    kept = F.count_if(F.col("top") >= 0.1).over(Window.partitionBy("query_id"))
-    return g.withColumn("kept", kept).where("top < 0.1 AND kept > 0").select("query_id", "root", "n")
-
-
-@query(f"""WITH f AS (SELECT doc_id, source, {fp('text')} AS p FROM documents) SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source, p ORDER BY doc_id) AS n FROM f) WHERE n > 1""")
-def near_duplicate(spark, d):
-    f = table(spark, d, "documents").select("doc_id", "source", X.fingerprint(F.col("text")).alias("p"))
-    return f.withColumn("n", F.row_number().over(Window.partitionBy("source", "p").orderBy("doc_id"))).where("n > 1").select("doc_id", "source")
-
-
-@query(f"""WITH {POOL_SQL}, o AS (SELECT query_id, source_uid, key, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, key, source_uid) AS pos FROM best), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_uid ORDER BY pos) > 5 AS demoted FROM o),
-    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY demoted, pos)::INTEGER AS final FROM b) SELECT query_id, source_uid, key, demoted, final FROM f WHERE final <= 12""")
-def diversity_cap(spark, d):
-    c = pool(spark, d).withColumn("rel", U.effective_relevance(F.col("relevance")))
-    c = c.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "key", "source_uid")))
-    c = c.withColumn("demoted", F.row_number().over(Window.partitionBy("query_id", "source_uid").orderBy("pos")) > 5)
-    return c.withColumn("final", F.row_number().over(Window.partitionBy("query_id").orderBy("demoted", "pos"))).where("final <= 12").select("query_id", "source_uid", "key", "demoted", "final")
-
-
-@query(f"WITH {POOL_SQL} SELECT query_id, count(DISTINCT root) AS roots, count(*) AS n FROM best WHERE root NOT IN (SELECT DISTINCT root FROM pool WHERE key % 100 < 10) GROUP BY query_id")
-def lineage_suppression(spark, d):
-    c = pool(spark, d)
-    seen = c.where("key % 100 < 10").select("root").distinct()
-    return c.join(seen, "root", "left_anti").groupBy("query_id").agg(F.countDistinct("root").alias("roots"), F.count("*").alias("n"))
-
-
 # shaping, expansion
 
 COST_SQL = """r AS (SELECT doc_id % 10 AS query_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id)::INTEGER AS position, (least(length(text), 400) + 3) // 4 AS whole, 12 AS small FROM documents WHERE doc_id < 200),
@@ -736,14 +699,42 @@ def stream_catchup(spark, d):
 # the whole way
 
 
+def parts_as_tasks(spark, d):
+    """Parts read as tasks: their names are titles, brand and type what they are filed under."""
+    p = table(spark, d, "part")
+    none = F.lit(None)
+    return p.select(
+        F.concat(F.lit("part-"), "p_partkey").alias("id"), F.col("p_name").alias("title"), F.lower(F.concat_ws(" ", "p_brand", "p_type")).alias("fields"), F.lit("TODO").alias("state"), none.cast("timestamp").alias("at"), none.cast("timestamp").alias("closed"),
+        F.lit("B").alias("priority"), F.concat_ws(" ", "p_name", "p_brand").alias("headline"), F.array("p_type").alias("notes"), F.create_map(F.lit("name"), F.col("p_name")).alias("metadata"),
+    )
+
+
+def sourced(spark, d) -> dict[str, tuple[DataFrame, Index, bool]]:
+    """Chunks and stored index of each source that is searched as documents, and whether the index had to be built now."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("record_id"), X.bounded(F.col("text"), 60).alias("title"), "text")
+    mail = E.threads(table(spark, d, "conversations")).select(F.col("conv_id").alias("chunk_id"), F.col("conv_id").alias("record_id"), X.bounded(F.col("text"), 60).alias("title"), "text")
+    out = {}
+    for name, of, chunks_ in (("docs", "documents", docs), ("mail", "conversations", mail)):
+        at = f"{d}/{of}.parquet"
+        root = f"{shared_dir(spark)}/index-{zlib.crc32(at.encode()):08x}-{name}"
+        out[name] = chunks_, *C.stored_index(spark, root, C.mark_of(spark, at), lambda c=chunks_: D.build_index(c))
+    return out
+
+
+@query("SELECT 'docs' AS source, count(*) AS chunks FROM documents UNION ALL SELECT 'mail', count(DISTINCT conv_id) FROM conversations")
+def index_refresh(spark, d):
+    """Bring the stored indexes up to date: sources whose files are as they were cost a look at their names."""
+    rows = [index.stats.select(F.lit(name).alias("source"), F.col("n").alias("chunks")) for name, (_, index, _) in sourced(spark, d).items()]
+    return rows[0].unionByName(rows[1])
+
+
 def federated(spark, d, queries: DataFrame):
     """Candidates of four kinds of sources for a batch of queries, with the sources' configuration."""
-    docs = table(spark, d, "documents")
-    c = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("record_id"), X.bounded(F.col("text"), 60).alias("title"), "text")
-    found = D.search(D.build_index(c).saved(), queries)
-    first = D.candidates(found, c, "u-docs", "docs")
-    m = E.threads(table(spark, d, "conversations")).select(F.col("conv_id").alias("chunk_id"), F.col("conv_id").alias("record_id"), X.bounded(F.col("text"), 60).alias("title"), "text")
-    second = D.candidates(D.search(D.build_index(m).saved(), queries), m, "u-mail", "mail").withColumn("record_type", F.lit("message"))
+    held = sourced(spark, d)
+    docs, index, _ = held["docs"]
+    first = D.candidates(D.search(index, queries), docs, "u-docs", "docs")
+    mail, index, _ = held["mail"]
+    second = D.candidates(D.search(index, queries), mail, "u-mail", "mail").withColumn("record_type", F.lit("message"))
     e = table(spark, d, "events").withColumnRenamed("ts", "event_time")
     hits = R.search_fields(e, queries, "event_id", stream_fields(), [F.col("event_id")], "event_time").join(e.drop("event_time"), "event_id")
     third = hits.select(
@@ -751,20 +742,24 @@ def federated(spark, d, queries: DataFrame):
         F.lit("event").alias("record_type"), F.concat_ws(" ", "event_type", "user_id").alias("title"), F.col("props").alias("excerpt"), F.col("rank").alias("local_rank"), F.col("score").alias("local_score"), F.col("score").alias("relevance"),
         F.when(F.col("exact"), F.array(F.lit("exact_identifier"))).otherwise(F.array(F.lit("lexical"))).alias("match_signals"), "event_time",
     )
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_partkey").alias("record_id"), F.concat_ws(" ", "p_name", "p_partkey").alias("title"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
-    fourth = D.candidates(D.search(D.build_index(p).saved(), queries), p, "u-parts", "parts").withColumn("record_type", F.lit("task"))
+    t = parts_as_tasks(spark, d)
+    fourth = D.task_candidates(R.task_order(R.task_match(t, queries), R.exact_ids(queries, "part-[0-9]+"), t), t, "u-parts", "parts")
     candidates = P.pooled([conform(x, CANDIDATE) for x in (first, second, third, fourth)])
     sources = conform(values(spark, [("u-docs", "docs", "docs", "a", True, 1.0, 1), ("u-mail", "mail", "mail", "b", True, 1.1, 1), ("u-stream", "stream", "stream", "c", True, 0.9, 1), ("u-parts", "parts", "tasks", "d", True, 1.0, 1)], "source_uid string, source_id string, adapter string, location string, enabled boolean, base_prior double, sensitivity int"), SOURCE)
     return candidates, sources
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Federated search: retrieve from four sources, admit, group by lineage, cluster, corroborate, select; one answer per query."""
-    extra = values(spark, [(9001, "purchase error"), (9002, "small ring"), (9003, "licensed under the apache license")], "query_id long, query string")
-    queries = saved(batch(spark, d).unionByName(extra))
+    """Federated search over four sources; one answer per query."""
+    extra = values(spark, [(9001, "purchase error"), (9002, "small ring"), (9003, "licensed under the apache license"), (9004, "part-17")], "query_id long, query string")
+    return answered(spark, d, saved(batch(spark, d).unionByName(extra)))
+
+
+def answered(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    """Retrieve from four sources, admit, group by lineage, cluster, corroborate, select."""
     candidates, sources = federated(spark, d, queries)
     admitted, _ = P.permitted(P.raised(saved(candidates), sources), 2)  # at most queries x sources x 20 rows
-    asked = conform(queries.withColumn("query_class", F.lit("natural_language")).withColumn("stable_identifiers", F.array().cast("array<string>")), QUERY)
+    asked = conform(D.analysed(queries), QUERY)
     results, _ = U.fuse(admitted.select(CANDIDATE.names), sources, asked)
     return H.pointer(results)
 
@@ -772,3 +767,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def federated_search(spark, d):
     return flagship(spark, d)
+
+
+@query()
+def federated_one(spark, d):
+    """One query alone, over the stored indexes."""
+    return answered(spark, d, values(spark, [(1, "licensed under the apache license")], "query_id long, query string"))

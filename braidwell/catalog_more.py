@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from braidwell.catalog import JUDGED_SQL, POOL_SQL, batch, federated, judged, pool, query, scored, table, tok, values
+from braidwell.catalog import JUDGED_SQL, POOL_SQL, WORDS_SQL, batch, federated, judged, pool, query, scored, table, tok, values
 from braidwell.functions import text as X
+from braidwell.operators import documents as D
 from braidwell.operators import expand as E
 from braidwell.operators import fusion as U
 from braidwell.operators import lineage as L
@@ -15,7 +18,8 @@ from braidwell.plans import evaluate as V
 from braidwell.plans import planning as P
 from braidwell.plans import shape as H
 from braidwell.schema import CANDIDATE, QUERY, conform
-from braidwell.shared import saved
+from braidwell.shared import saved, shared_dir
+from braidwell.streaming import appends
 from braidwell.streaming import events as S
 
 # text and queries
@@ -105,6 +109,72 @@ def scope_problems(spark, d):
     return P.unsatisfiable(asked, sources, values(spark, [("src0",), ("src1",)], "source_id string")).withColumnRenamed("source_id", "id")
 
 
+# the way of a query
+
+
+QUOTED_SQL = """q AS (SELECT item_id AS query_id, array_to_string(list_slice(w, 1, 3), ' ') || ' what "' || array_to_string(list_slice(w, 4, 6), ' ') || ' the who" is the' AS query FROM (SELECT item_id, regexp_split_to_array(text, '\\s+') AS w FROM benchmark))"""
+
+
+def quoted(spark, d):
+    w = F.split("text", r"\s+")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.array_join(F.slice(w, 1, 3), " "), F.lit(' what "'), F.array_join(F.slice(w, 4, 3), " "), F.lit(' the who" is the')).alias("query"))
+
+
+@query(f"""WITH {QUOTED_SQL}, s AS (SELECT query_id, unnest(string_split(query, '"')) AS part, generate_subscripts(string_split(query, '"'), 1) AS i FROM q), t AS (SELECT query_id, i % 2 = 0 AS inside, unnest({tok('part')}) AS term FROM s),
+    k AS (SELECT query_id, term, bool_or(inside OR term NOT IN {WORDS_SQL}) AS content FROM t GROUP BY ALL), n AS (SELECT query_id, bool_or(NOT (inside OR term NOT IN {WORDS_SQL})) AND bool_or(inside OR term NOT IN {WORDS_SQL}) AS normalized FROM t GROUP BY query_id)
+    SELECT query_id, term, normalized, NOT normalized OR content AS content FROM k JOIN n USING (query_id)""")
+def quoted_query_terms(spark, d):
+    """Function words in double quotes are content."""
+    return D.query_terms(quoted(spark, d))
+
+
+@query(r"""SELECT page_id, CASE WHEN n = 0 THEN '' WHEN n = 1 OR stable THEN 'identifier_query' ELSE 'natural_language' END AS query_class FROM (SELECT page_id, len(regexp_extract_all(u, '[\p{L}\p{N}]+')) AS n, regexp_matches(u, '[:.]') OR len(list_filter(string_split(u, ' '), lambda x: contains(x, '-') AND regexp_matches(x, '\p{L}') AND regexp_matches(x, '\p{Nd}')
+        OR regexp_matches(x, '^[\p{L}\p{Nd}-]+(_[\p{L}\p{Nd}-]+)+$') OR regexp_matches(x, '[\\@#]') OR (length(x) >= 8 AND length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 2 AND length(regexp_replace(x, '[^\p{Nd}]', '', 'g')) >= 2))) > 0 AS stable
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'where is page ' || page_id WHEN 1 THEN '?' WHEN 2 THEN 'one' || page_id ELSE replace(replace(url, '/', ' '), '?', ' ') END AS u FROM pages))""")
+def query_classes(spark, d):
+    p, n = table(spark, d, "pages"), F.col("page_id") % 4
+    text = F.when(n == 0, F.concat(F.lit("where is page "), "page_id")).when(n == 1, F.lit("?")).when(n == 2, F.concat(F.lit("one"), "page_id")).otherwise(F.translate("url", "/?", "  "))
+    return D.analysed(p.select("page_id", text.alias("query"))).select("page_id", "query_class")
+
+
+def ranked_orders(spark, d):
+    o = table(spark, d, "orders")
+    return o, o.select((F.col("o_custkey") % 5).alias("query_id"), F.col("o_orderkey").alias("id"), F.row_number().over(Window.partitionBy(F.col("o_custkey") % 5).orderBy("o_orderkey")).alias("rank"), F.when(F.col("o_orderkey") % 9 == 0, 1).alias("mention"), F.lit(0.5).alias("relevance")).where("rank <= 20")
+
+
+@query("""SELECT o_custkey % 5 AS query_id, o_orderkey::VARCHAR AS local, 'task' AS record_type, rank::INTEGER AS local_rank, CASE WHEN o_orderkey % 2 = 0 THEN 'head ' || o_orderkey ELSE o_orderpriority END || CASE WHEN o_orderkey % 3 = 0 THEN ' \u2014 note' ELSE '' END AS excerpt, CASE WHEN o_orderkey % 9 = 0 THEN 'exact_identifier,lexical' ELSE 'lexical' END AS signals, o_orderstatus = 'F' AS closed
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 20""")
+def task_candidates(spark, d):
+    o, found = ranked_orders(spark, d)
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    t = o.select(k.alias("id"), F.col("o_orderpriority").alias("title"), F.when(k % 2 == 0, F.concat(F.lit("head "), k)).alias("headline"), F.when(k % 3 == 0, F.array(F.lit("note"))).otherwise(F.array().cast("array<string>")).alias("notes"), at.alias("at"), F.when(F.col("o_orderstatus") == "F", at).alias("closed"))
+    c = D.of_types(D.task_candidates(found, t, "u-tasks", "tasks"), ["task"])
+    return c.select("query_id", "local", "record_type", "local_rank", "excerpt", F.array_join("match_signals", ",").alias("signals"), F.col("valid_to").isNotNull().alias("closed"))
+
+
+@query("""SELECT o_custkey % 5 AS query_id, o_orderkey::VARCHAR AS source_record_id, o_orderpriority || CASE WHEN o_orderkey % 4 = 0 THEN ' \u2014 ' || o_orderstatus ELSE '' END AS excerpt, substr(sha256('store' || chr(0) || o_orderkey || chr(0) || strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S')), 1, 16) AS content_fingerprint
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 20""")
+def issue_candidates(spark, d):
+    o, found = ranked_orders(spark, d)
+    at = F.col("o_orderdate").cast("timestamp")
+    i = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).alias("description"), at.alias("created_at"), at.alias("updated_at"), F.lit(None).cast("timestamp").alias("closed_at"))
+    return D.issue_candidates(found, i, "u-issues", "issues", "store").select("query_id", "source_record_id", "excerpt", "content_fingerprint")
+
+
+@query("""SELECT o_custkey % 5 AS query_id, o_orderkey::VARCHAR AS local, 'message' AS record_type, 'c' || o_custkey || ' \u2014 ' || o_orderpriority AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 20""")
+def thread_candidates(spark, d):
+    o, found = ranked_orders(spark, d)
+    t = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("subject"), F.concat(F.lit("c"), "o_custkey").alias("sender"), F.lit(None).cast("timestamp").alias("at"))
+    return D.thread_candidates(found, t, "u-mail", "mail").select("query_id", "local", "record_type", "excerpt")
+
+
+@query("""SELECT o_custkey % 5 AS query_id, o_orderkey::VARCHAR AS local, 'matched' AS excerpt_kind, o_orderpriority AS excerpt, 'f' || o_orderkey AS path, CASE WHEN o_orderkey % 9 = 0 THEN 'exact_identifier,semantic' ELSE 'semantic' END AS signals FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) AS rank FROM orders) WHERE rank <= 20""")
+def semantic_candidates(spark, d):
+    o, found = ranked_orders(spark, d)
+    h = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), "o_orderkey").alias("file"), F.lit("t").alias("title"), F.col("o_orderpriority").alias("body"))
+    return D.semantic_candidates(found, h, "u-sem", "sem").select("query_id", "local", "excerpt_kind", "excerpt", F.col("metadata")["path"].alias("path"), F.array_join("match_signals", ",").alias("signals"))
+
+
 # lineage and fusion
 
 
@@ -132,42 +202,6 @@ def intent_prior(spark, d):
     return p.select("p_partkey", U.prior(F.col("p_size") / 10.0, F.col("intents"), F.lit("natural_language")).alias("prior"))
 
 
-@query(f"""WITH {POOL_SQL}, s AS (SELECT query_id, root, max(prior * rel / (60 + local_rank)) AS score, bool_or(key % 37 = 0) AS exact, min(local_rank) AS local_rank FROM best WHERE nth = 1 GROUP BY ALL)
-    SELECT query_id, root, exact, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, round(score, 9) DESC, CASE WHEN round(score, 9) = 0 THEN local_rank ELSE 0 END, root)::INTEGER AS position FROM s) WHERE position <= 10""")
-def exact_promotion(spark, d):
-    c = pool(spark, d).withColumn("local", F.col("key").cast("string")).withColumn("candidate_id", F.col("key").cast("string"))
-    sources = values(spark, [("s2", 1.0, {"natural_language": 1.5}), ("s3", 1.0, {}), ("s5", 0.2, None)], "source_uid string, base_prior double, intent_priors map<string,double>")
-    best = U.best_by_source(c, ["query_id", "root"]).groupBy("query_id", "root").agg(F.max(F.col("key") % 37 == 0).alias("exact"), F.min("local_rank").alias("local_rank"))
-    s = U.group_scores(c, sources, query_class="natural_language").withColumn("score", F.round("score", 9)).join(best, ["query_id", "root"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("score"), F.when(F.col("score") == 0, F.col("local_rank")).otherwise(0), "root")
-    return s.withColumn("position", F.row_number().over(order)).where("position <= 10").select("query_id", "root", "exact", "position")
-
-
-@query(f"WITH {POOL_SQL} SELECT query_id, root, source_uid, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id, root ORDER BY prior DESC, local_rank, key::VARCHAR) AS n FROM best) WHERE n = 1")
-def group_primary(spark, d):
-    """Of a group's candidates, the first by prior, rank and locator."""
-    p = F.when(F.col("source_uid") == "s2", 1.5).when(F.col("source_uid") == "s3", 1.0).otherwise(0.5)
-    order = F.struct(-p, F.col("local_rank"), F.col("key").cast("string"))
-    return pool(spark, d).groupBy("query_id", "root").agg(F.min_by(F.struct("source_uid", "key"), order).alias("x")).select("query_id", "root", "x.*")
-
-
-@query(f"WITH {POOL_SQL} SELECT query_id, root, fused_into FROM (SELECT query_id, root || '/' || source_uid AS root, first_value(root || '/' || source_uid) OVER w AS fused_into, row_number() OVER w AS n FROM best WHERE nth = 1 WINDOW w AS (PARTITION BY query_id, root ORDER BY round(prior * rel, 9) DESC, source_uid)) WHERE n > 1")
-def duplicate_view(spark, d):
-    """Views of one record through several sources: the strongest stays, the others are folded into it."""
-    c = pool(spark, d).withColumn("local", F.col("key").cast("string")).withColumn("candidate_id", F.col("key").cast("string"))
-    p = F.when(F.col("source_uid") == "s2", 1.5).when(F.col("source_uid") == "s3", 1.0).otherwise(0.5)
-    w = Window.partitionBy("query_id", "root").orderBy(F.desc(F.round(p * U.effective_relevance(F.col("relevance")), 9)), "source_uid")
-    view = F.concat_ws("/", "root", "source_uid")
-    b = U.best_by_source(c, ["query_id", "root"]).withColumns({"fused_into": F.first(view).over(w), "n": F.row_number().over(w), "view": view})
-    return b.where("n > 1").select("query_id", F.col("view").alias("root"), "fused_into")
-
-
-@query(f"WITH {POOL_SQL} SELECT query_id, count(*) AS n, greatest(count(*) - 20, 0) AS dropped FROM (SELECT DISTINCT query_id, root FROM pool) GROUP BY query_id")
-def limit_ledger(spark, d):
-    g = pool(spark, d).select("query_id", "root").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
-    return g.withColumn("dropped", F.greatest(F.col("n") - 20, F.lit(0)))
-
-
 @query()
 def fused_ledger(spark, d):
     """What the selection of the federated search withheld, and why."""
@@ -279,9 +313,33 @@ def log_records(spark, d):
     return S.parsed(log_lines(spark, d)).groupBy("ok", "text").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
+def appended(spark, d, rounds):
+    """A log that grows in rounds, each taken in before the next is appended; what the table then holds."""
+    root = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for rows in rounds:
+        appends.append_lines(rows, f"{root}/in", "event_id", 4)
+        S.catch_up(spark, f"{root}/in", f"{root}/out", f"{root}/cursor")
+    return spark.read.parquet(f"{root}/out")
+
+
+def event_lines(spark, d, schema, title, days=0):
+    e = table(spark, d, "events")
+    at = F.date_format(F.col("ts") + F.make_dt_interval(F.lit(days)), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return e.select("event_id", F.to_json(F.struct(F.lit(schema).alias("schema"), F.col("event_id").cast("string").alias("id"), at.alias("event_time"), title.alias("title"), F.lit("t").alias("body"), F.lit("t").alias("text"))).alias("value"))
+
+
+@query("SELECT schema, count(*) AS n, sum(event_id)::BIGINT AS ids, max(ts)::TIMESTAMP AS latest FROM (SELECT 1 AS schema, event_id, date_trunc('second', ts) AS ts FROM events WHERE event_id % 3 > 0 UNION ALL SELECT 1, event_id, date_trunc('second', ts) FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 2, event_id, date_trunc('second', ts) - INTERVAL 1 DAY FROM events WHERE event_id % 5 = 0) GROUP BY schema")
+def log_append(spark, d):
+    first = event_lines(spark, d, 1, F.lit("first"))
+    taken = appended(spark, d, [first.where("event_id % 3 > 0"), first.where("event_id % 3 = 0"), event_lines(spark, d, 2, F.lit("second"), -1).where("event_id % 5 = 0")])
+    return taken.where("ok").groupBy("schema").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"), F.max("event_time").cast("timestamp_ntz").alias("latest"))
+
+
+@query("""SELECT 1 AS schema, event_id::VARCHAR AS id, CASE WHEN event_id % 4 = 0 THEN 'again' ELSE 'first' END AS title FROM events UNION ALL SELECT 2, event_id::VARCHAR, 'second' FROM events WHERE event_id % 5 = 0""")
 def log_latest(spark, d):
-    return S.latest(table(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
+    """Lines of two schemas with one id are two records; a later line of one identity counts, though it is dated earlier."""
+    first, again, second = event_lines(spark, d, 1, F.lit("first")), event_lines(spark, d, 1, F.lit("again"), -9).where("event_id % 4 = 0"), event_lines(spark, d, 2, F.lit("second"), -5).where("event_id % 5 = 0")
+    return S.latest(appended(spark, d, [first, second, again]).where("ok")).select("schema", "id", "title")
 
 
 @query("SELECT count(*) AS records, 'records=' || count(*) || ' latest=' || strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS label FROM events")

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from braidwell import catalog, catalog_more  # noqa: F401
+from braidwell import catalog, catalog_fusion, catalog_more, catalog_rules  # noqa: F401
 from tests.conftest import SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
