@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from braidwell.catalog import QUERIES_SQL, WORDS_SQL, batch, query, rel, table, tok, values
 from braidwell.operators import documents as D
+from braidwell.operators import expand as E
 from braidwell.operators import records as R
 from braidwell.plans import evaluate as V
 from braidwell.plans import planning as P
@@ -116,3 +117,52 @@ def carried_suppressions(spark, d):
     view = k % 3 > 0
     s = o.select(F.col("o_custkey").alias("query_id"), F.when(view, "duplicate_view").otherwise("duplicate").alias("reason"), F.concat(F.lit("r"), k).alias("lineage_root"), F.when(view, F.concat(F.lit("r"), k - k % 2)).alias("fused_into"))
     return H.carried(s, o.where(k % 4 == 0).select(F.col("o_custkey").alias("query_id"), F.concat(F.lit("r"), k).alias("lineage_root")))
+
+
+@query("""SELECT o_custkey AS query_id, 's' || o_orderkey AS source_id, CASE o_orderkey % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'failed' WHEN 2 THEN 'success' ELSE 'skipped' END AS outcome, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'not_applicable' ELSE 'unstated_skip' END WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'timeout' ELSE 'failed' END WHEN 3 THEN 'disabled' END AS reason,
+    CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 9 ELSE 0 END AS candidates FROM orders""")
+def source_reports(spark, d):
+    """One report for every source of a query, asked or not, with a reason of the known ones."""
+    k, o = F.col("k"), orders(spark, d)
+    q, s = F.col("o_custkey").alias("query_id"), F.concat(F.lit("s"), k).alias("source_id")
+    asked = o.where(k % 4 < 3).select(
+        q, s, F.when(k % 4 == 0, "skipped").when(k % 4 == 1, "failed").otherwise("success").alias("outcome"), F.when(k % 3 == 0, "not_applicable").otherwise("because").alias("stated"),
+        F.when(k % 4 == 1, F.when(k % 3 == 0, "deadline").otherwise("boom")).alias("error"), (k % 9).alias("candidates"), F.lit(5).cast("long").alias("elapsed_ms"),
+    )
+    return P.reports(asked, o.where(k % 4 == 3).select(q, s, F.lit("disabled").alias("reason"))).select("query_id", "source_id", "outcome", "reason", "candidates")
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'indexed' WHEN 1 THEN 'live' END AS mode, CASE o_orderkey % 3 WHEN 0 THEN 'rev' END AS revision, CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'exact' END AS as_of FROM orders""")
+def freshness(spark, d):
+    r = orders(spark, d).select(F.col("k").alias("id"), F.concat(F.lit("u"), F.col("k") % 3).alias("source_uid"))
+    s = values(spark, [("u0", "indexed", "none"), ("u1", "live", "exact")], "source_uid string, freshness_mode string, as_of_support string")
+    out = P.annotated(r, s, values(spark, [("u0", "rev", "gen-000001")], "source_uid string, revision string, generation string"))
+    return out.select("id", "freshness.mode", "freshness.revision", F.col("freshness.as_of_honored").alias("as_of"))
+
+
+EXPANDED_SQL = """b AS (SELECT doc_id, lang, text, string_split(text, chr(10)) AS l, 2 + doc_id % 3 AS a, CASE doc_id % 4 WHEN 0 THEN 'summary' WHEN 1 THEN 'excerpt' WHEN 2 THEN 'full' ELSE 'context' END AS detail FROM documents),
+    c AS (SELECT *, least(a + 40, len(l)) AS z FROM b), e AS (SELECT *, CASE WHEN detail = 'context' THEN greatest(a - 20, 1) ELSE a END AS f, CASE WHEN detail = 'context' THEN least(z + 20, len(l)) ELSE z END AS t0 FROM c),
+    g AS (SELECT *, detail = 'excerpt' AND t0 - f >= 12 AS long FROM e), h AS (SELECT *, CASE WHEN long THEN f + 11 ELSE t0 END AS t FROM g), i AS (SELECT *, CASE WHEN t >= f THEN l[f:t] ELSE [] END AS part FROM h),
+    j AS (SELECT *, list_filter(list_transform(part, lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#'))[1] AS said FROM i), k AS (SELECT *, CASE WHEN detail = 'summary' THEN lang || coalesce(chr(10) || said, '') ELSE array_to_string(part, chr(10)) END AS body FROM j),
+    m AS (SELECT *, detail = 'summary' AND length(body) > 400 AS cut FROM k)"""
+
+
+@query(f"WITH {EXPANDED_SQL} SELECT doc_id, CASE WHEN cut THEN left(body, 400) ELSE body END || CASE WHEN cut THEN chr(10) || '\u2026 [truncated: summary_runes]' WHEN long THEN chr(10) || '\u2026 [truncated: excerpt_lines]' ELSE '' END AS content, CASE WHEN cut THEN 'summary_runes' WHEN long THEN 'excerpt_lines' END AS boundary, 'd/' || doc_id || '#L' || f || '-L' || t AS provenance FROM m")
+def expanded_details(spark, d):
+    """Lines of documents at four levels of detail."""
+    i = F.col("doc_id")
+    c = table(spark, d, "documents").select("doc_id", F.col("lang").alias("title"), "text", F.concat(F.lit("d/"), i, F.lit("#L"), 2 + i % 3, F.lit("-L"), 42 + i % 3).alias("locator"))
+    detail = F.when(i % 4 == 0, "summary").when(i % 4 == 1, "excerpt").when(i % 4 == 2, "full").otherwise("context")
+    return E.rendered(c, detail).select("doc_id", "content", "boundary", "provenance")
+
+
+@query("""WITH t AS (SELECT doc_id, 'd/' || doc_id || '#L1-L' || len(string_split(text, chr(10))) AS provenance, text, CASE WHEN doc_id % 5 = 0 THEN 60 ELSE 64 + doc_id % 400 END AS budget FROM documents)
+    SELECT doc_id, CASE WHEN budget < 64 THEN NULL WHEN strlen(text) > budget THEN 'budget_bytes' END AS boundary, CASE WHEN budget < 64 THEN 'budget_exceeded' END AS error, budget >= 64 AS fits FROM t""")
+def expanded_budget(spark, d):
+    """A budget of bytes is kept, at a character's end, or refused."""
+    i = F.col("doc_id")
+    c = table(spark, d, "documents").select("doc_id", F.lit("t").alias("title"), "text", F.concat(F.lit("d/"), i).alias("locator"), F.when(i % 5 == 0, 60).otherwise(64 + i % 400).cast("long").alias("budget"))
+    out = E.rendered(c, F.lit("full"), F.col("budget"))
+    plain = F.col("content") == F.col("text")
+    head = F.expr("octet_length(content) <= budget AND octet_length(content) > budget - 4 AND is_valid_utf8(content) AND startswith(text, replace(content, '\n\u2026 [truncated: budget_bytes]', ''))")
+    return out.select("doc_id", "boundary", "error", (F.coalesce(plain | head, F.lit(False)) & F.col("error").isNull()).alias("fits"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 EPISODE_SECONDS = 900
 AROUND = 20
 EXCERPT_LINES = 12
+SUMMARY_CHARS = 400
 LEAST_BYTES = 64
 MOST_BYTES = 64 << 10
 
@@ -37,6 +38,40 @@ def byte_budget(requested: Column) -> Column:
     return F.greatest(F.lit(LEAST_BYTES), F.least(F.coalesce(requested, F.lit(MOST_BYTES)), F.lit(MOST_BYTES)))
 
 
+def rendered(chunks: DataFrame, detail: Column, budget: Column | None = None, title: str = "title", text: str = "text", locator: str = "locator") -> DataFrame:
+    """Adds content, boundary (why it was cut, else null), provenance (the locator of the lines that are served) and error.
+
+    A summary is the title and the range's first line that is neither empty nor a heading, 400 characters at most; an excerpt the
+    range's first twelve lines; full the range; context the range with twenty lines around. What was cut ends in a marker. A
+    budget of bytes cuts at a character, leaving room for the marker; below ``LEAST_BYTES`` it is an error.
+    """
+    path, first, last = line_range(F.col(locator))
+    c = chunks.withColumns({"__lines": F.split(F.col(text), "\n"), "__path": path, "__first": first, "__last": last, "__detail": F.coalesce(detail, F.lit("excerpt")), "__budget": (F.lit(None) if budget is None else budget).cast("long")})
+    n, context = F.size("__lines"), F.col("__detail") == "context"
+    lo, hi = F.greatest(F.coalesce("__first", F.lit(1)), F.lit(1)), F.least(F.coalesce("__last", n), n)
+    c = c.withColumns({"__lo": lo, "__hi": hi}).withColumns({"__from": F.when(context, F.greatest(F.col("__lo") - AROUND, F.lit(1))).otherwise(F.col("__lo")), "__to": F.when(context, F.least(F.col("__hi") + AROUND, n)).otherwise(F.col("__hi"))})
+    long = (F.col("__detail") == "excerpt") & (F.col("__to") - F.col("__from") >= EXCERPT_LINES)
+    c = c.withColumns({"__to": F.when(long, F.col("__from") + EXCERPT_LINES - 1).otherwise(F.col("__to")), "boundary": F.when(long, F.lit("excerpt_lines"))})
+    part = F.when(F.col("__to") >= F.col("__from"), F.slice("__lines", F.col("__from"), F.col("__to") - F.col("__from") + 1)).otherwise(F.array().cast("array<string>"))
+    said = F.get(F.filter(F.transform(part, F.trim), lambda x: (x != "") & ~x.startswith("#")), F.lit(0))
+    short = F.concat_ws("\n", F.col(title), said)
+    c = c.withColumn("content", F.when(F.col("__detail") == "summary", short).otherwise(F.array_join(part, "\n")))
+    cut = (F.col("__detail") == "summary") & (F.length("content") > SUMMARY_CHARS)
+    c = c.withColumns({"boundary": F.when(cut, F.lit("summary_runes")).otherwise(F.col("boundary")), "content": F.when(cut, F.substring("content", 1, SUMMARY_CHARS)).otherwise(F.col("content"))})
+    marked = lambda why: F.concat(F.lit("\n\u2026 [truncated: "), why, F.lit("]"))
+    c = c.withColumn("content", F.when(F.col("boundary").isNotNull(), F.concat("content", marked(F.col("boundary")))).otherwise(F.col("content")))
+    over, mark = F.col("__budget").isNotNull() & (F.octet_length("content") > F.col("__budget")), marked(F.lit("budget_bytes"))
+    keep = (F.greatest(F.col("__budget") - F.octet_length(mark), F.lit(0))).cast("int")
+    raw = F.encode("content", "UTF-8")
+    heads = [F.substring(raw, F.lit(1), keep - i).cast("string") for i in range(4)]
+    whole = F.coalesce(*(F.when(F.is_valid_utf8(h), h) for h in heads), F.lit(""))
+    bad = F.coalesce(F.col("__budget") < LEAST_BYTES, F.lit(False))
+    c = c.withColumns({"content": F.when(over, F.concat(whole, mark)).otherwise(F.col("content")), "boundary": F.when(over, F.lit("budget_bytes")).otherwise(F.col("boundary"))})
+    served = F.concat(F.col("__path"), F.lit("#L"), F.col("__from"), F.lit("-L"), F.col("__to"))
+    out = c.withColumns({"error": F.when(bad, F.lit("budget_exceeded")), "provenance": F.when(~bad, served), "content": F.when(~bad, F.col("content")), "boundary": F.when(~bad, F.col("boundary"))})
+    return out.select(*chunks.columns, "content", "boundary", "provenance", "error")
+
+
 def episodes(anchors: DataFrame, events: DataFrame, key: str, time: str, seconds: int = EPISODE_SECONDS) -> DataFrame:
     """Pairs (anchor key, event key) at most ``seconds`` apart, both ends included.
 

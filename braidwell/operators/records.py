@@ -183,11 +183,13 @@ def issue_order(merged: DataFrame, exact: DataFrame, issues: DataFrame, k: int =
     return ranked(both, F.col("mention").asc_nulls_last(), F.desc("probes"), F.desc("native"), F.col("priority").asc_nulls_last(), F.desc("updated_at"), F.col("id"), k=k)
 
 
-def issue_relevance(issues: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, relevance) by how often the terms occur in id, title, description and acceptance."""
+def issue_relevance(issues: DataFrame, queries: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, relevance) by how often the terms occur in id, title, description and acceptance: of the pairs
+    ``found`` (query_id, id), which a search hands over; without it every query meets every issue."""
     terms = queries.select("query_id", X.ascii_terms(F.col("query"), 3).alias("want"))
     text = X.searchable(F.col("id"), F.col("title"), F.col("description"), F.col("acceptance"))
-    pairs = issues.select("id", text.alias("text"), X.count_terms(text).alias("length")).crossJoin(terms)
+    pairs = issues.select("id", text.alias("text"), X.count_terms(text).alias("length"))
+    pairs = pairs.crossJoin(terms) if found is None else pairs.join(found.select("query_id", "id").distinct(), "id").join(terms, "query_id")
     counts = F.transform("want", lambda t: X.occurrences(F.col("text"), t))
     covered, hits = F.size(F.filter(counts, lambda n: n > 0)), F.aggregate(counts, F.lit(0), lambda a, n: a + n)
     return pairs.select("query_id", "id", F.round(X.relevance(covered, F.size("want"), hits, F.col("length")), 6).alias("relevance"))

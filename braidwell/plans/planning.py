@@ -95,6 +95,26 @@ def degraded_list(reports: DataFrame) -> DataFrame:
     return reports.where(degrades(F.col("outcome"), F.col("reason"))).select("query_id", "source_id", text.alias("text"))
 
 
+def reports(searches: DataFrame, excluded: DataFrame) -> DataFrame:
+    """One row per query and source, asked or not: outcome, reason, candidates, elapsed_ms.
+
+    searches: query_id, source_id, outcome, stated (a reason of the source's own), error (a code), candidates, elapsed_ms.
+    A source that skips without a reason of the known ones gets one that degrades. excluded: query_id, source_id, reason.
+    """
+    known = ("not_applicable", "unapplied_filter", "record_type_mismatch", "as_of_unsupported")
+    skip = F.when(F.col("outcome") == "skipped", F.when(F.col("stated").isin(*known), F.col("stated")).otherwise(F.lit("unstated_skip")))
+    asked = searches.select("query_id", "source_id", "outcome", F.coalesce(skip, F.when(F.col("error").isNotNull(), classify_error(F.col("error"))[1])).alias("reason"), "candidates", "elapsed_ms")
+    return asked.unionByName(excluded.select("query_id", "source_id", F.lit("skipped").alias("outcome"), "reason", F.lit(0).cast("long").alias("candidates"), F.lit(None).cast("long").alias("elapsed_ms")))
+
+
+def annotated(results: DataFrame, sources: DataFrame, states: DataFrame) -> DataFrame:
+    """Results with the freshness of their source: how it is kept fresh, which state and index answered, how it honours as_of.
+    sources: source_uid, freshness_mode, as_of_support; states: source_uid, revision, generation."""
+    s = sources.select("source_uid", F.col("freshness_mode").alias("__mode"), F.col("as_of_support").alias("__as_of")).join(states.select("source_uid", "revision", "generation"), "source_uid", "left")
+    fresh = F.struct(F.col("__mode").alias("mode"), "revision", "generation", F.col("__as_of").alias("as_of_honored"))
+    return results.join(F.broadcast(s), "source_uid", "left").withColumn("freshness", fresh).select(*results.columns, "freshness")  # configured sources
+
+
 def classify_error(code: Column) -> tuple[Column, Column]:
     """(outcome, reason) of an error code."""
     outcome_ = F.when(code == "deadline", F.lit("timeout")).when(code == "denied", F.lit("denied")).when(code.isin("unavailable", "unreachable"), F.lit("unavailable")).when(code.isin("as_of_unsupported", "filter_unsupported"), F.lit("skipped")).otherwise(F.lit("failed"))
