@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwell.functions.analyze import classify, stable_identifiers
+from braidwell.operators.expand import rendered
 from braidwell.plans import evaluate as V
 from braidwell.schema import QUERY, conform
 from braidwell.shared import saved
@@ -81,8 +82,12 @@ def queries(spark: SparkSession, pack: Pack) -> DataFrame:
     return conform(spark.createDataFrame(rows, "query_id long, query string, query_class string, stable_identifiers array<string>, mode string, suppress_lineages array<string>"), QUERY)
 
 
-def run(spark: SparkSession, pack: Pack, search: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(scores per case, gates). ``search`` takes the batch of queries and returns results and suppressions, as ``fuse`` does."""
+def run(spark: SparkSession, pack: Pack, search: Callable[[DataFrame], tuple[DataFrame, DataFrame]], chunks: DataFrame | None = None, detail: str = "excerpt") -> tuple[DataFrame, DataFrame]:
+    """(scores per case, gates). ``search`` takes the batch of queries and returns results and suppressions, as ``fuse`` does.
+
+    With ``chunks`` (source_uid, local, title, text, locator) every result is expanded: locator_success is the share of a
+    case's results that gave some content.
+    """
     results, ledger = search(queries(spark, pack))
     cases = spark.createDataFrame([(i, c["case_id"], c.get("tags") or [], c.get("expected_behavior")) for i, c in enumerate(pack.cases)], "query_id long, case_id string, tags array<string>, expected_behavior string")
     judged = spark.createDataFrame([(j["case_id"], j["lineage_root"], int(j["relevance"]), bool(j.get("required")), bool(j.get("forbidden"))) for j in pack.judgments], "case_id string, root string, grade int, required boolean, forbidden boolean")
@@ -90,6 +95,10 @@ def run(spark: SparkSession, pack: Pack, search: Callable[[DataFrame], tuple[Dat
     aliases = ledger.where("reason = 'duplicate_view'").join(cases, "query_id").select("case_id", F.col("lineage_root").alias("root"), "fused_into")
     answered = ranked.select("case_id").distinct().withColumn("__some", F.lit(True))
     outcomes = cases.join(answered, "case_id", "left").select("case_id", F.when(F.col("__some"), "answer").otherwise("abstain").alias("behavior"))
+    if chunks is not None:
+        held = results.select("query_id", "source_uid", "local").join(chunks, ["source_uid", "local"], "left").join(cases.select("query_id", "case_id"), "query_id")
+        got = rendered(held, F.lit(detail)).groupBy("case_id").agg(F.avg(F.coalesce(F.col("content") != "", F.lit(False)).cast("double")).alias("locator_success"))
+        outcomes = outcomes.join(got, "case_id", "left")
     scores = saved(V.score_cases(cases.drop("query_id"), *map(saved, V.canonical(ranked, judged, aliases)), outcomes))
     return scores, V.gates(scores, pack.thresholds, (pack.manifest.get("budgets") or {}).get("p95_latency_ms"))
 

@@ -29,10 +29,12 @@ def test_run(spark, tmp_path):
         found = D.candidates(D.search(D.build_index(docs), queries), docs, "u", "docs")
         return U.fuse(conform(found, CANDIDATE), sources, queries)
 
-    scores, gates = K.run(spark, pack, search)
+    chunks = docs.where("chunk_id <> 4").select(F.lit("u").alias("source_uid"), F.col("chunk_id").cast("string").alias("local"), "title", "text", F.concat(F.lit("d#L"), F.lit(1)).alias("locator"))
+    scores, gates = K.run(spark, pack, search, chunks)
     by = {r.case_id: r for r in scores.collect()}
     assert by["c1"].mrr_at_10 == 1.0 and by["c1"].ndcg_at_10 == 1.0 and by["c1"].required_at_5 == 1.0
     assert by["c2"].abstention_accuracy == 1.0 and by["c2"].ndcg_at_10 is None
+    assert by["c1"].locator_success == 1.0 and by["c2"].locator_success is None and 0 < by["c3"].locator_success < 1  # one document is gone
     assert by["c3"].required_at_5 == 1.0 and by["c3"].forbidden_at_5 == 1.0
     status = {r.gate: r.status for r in gates.collect()}
     assert status["abstention"] == "pass" and status["forbidden"] == "fail"
