@@ -8,9 +8,11 @@ per-source limits keep small (sources x limit), so each query's pool is one call
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from braidwell.functions import text as X
 from braidwell.operators.lineage import independent, parent_edges, roots, self_root, source_derivation
@@ -231,24 +233,16 @@ def select_results(clusters: list[dict], suppress: set[str], floor: float, limit
     return final, sorted(ledger, key=lambda x: (x[0], x[2].encode())), dropped
 
 
-def _plain(x):
-    """Rows, arrays and numpy values as Python ones."""
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    if hasattr(x, "tolist") and not isinstance(x, (str, bytes)):
-        x = x.tolist()
-    if isinstance(x, (list, tuple)):
-        return [_plain(v) for v in x]
-    return None if x is pd.NaT else x
-
-
 def fuse(candidates: DataFrame, sources: DataFrame, queries: DataFrame, floor: float = RELEVANCE_FLOOR, cap: float = CORROBORATION_CAP, limit: int = LIMIT, per_source: int = 0) -> tuple[DataFrame, DataFrame]:
     """(results, suppressions) of all queries. Candidates with a local rank below 1 or without locator fail the job."""
     checked = candidates.withColumn("local_rank", F.when((F.col("local_rank") < 1) | F.col("local_rank").isNull() | (F.coalesce("local", F.lit("")) == ""), F.raise_error(F.concat(F.lit("bad candidate "), F.coalesce("candidate_id", F.lit("?"))))).otherwise(F.col("local_rank")))
     groups = lineage_groups(checked, sources, queries)
 
-    def per_query(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [_plain(r) for r in pdf.to_dict("records")]
+    schema = T.StructType([*RESULT.fields, *ddl("kind string, reason string, count int, fused_into string").fields])
+    arrow = to_arrow_schema(schema)
+
+    def per_query(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
         q = rows[0]
         found = ordered(clusters_of(rows, cap), q["query_class"] or "", q["stable"])
         final, ledger, _ = select_results(found, set(q["suppress"] or []) if q["pre_reply"] else set(), floor, q["limit"] or limit, per_source)
@@ -257,12 +251,9 @@ def fuse(candidates: DataFrame, sources: DataFrame, queries: DataFrame, floor: f
             p = c["primary"]
             out.append({"query_id": q["query_id"], "position": i, "lineage_root": c["root"], **{k: p[k] for k in ("source_uid", "source_id", "local", "candidate_id", "title", "excerpt", "excerpt_kind")}, "score": c["score"], "exact_promoted": promotable(c, q["query_class"] or "", q["stable"]), "independent_units": c["independent"], "cap_applied": c["cap_applied"], **{k: c["basis"][k] for k in ("local_rank", "pool_size", "prior", "relevance")}, "members": c["members"], "sources": c["sources"], "kind": "result"})
         out += [{"query_id": q["query_id"], "kind": "suppression", "reason": r, "count": n, "lineage_root": root, "fused_into": into} for r, n, root, into in ledger]
-        return pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in out], dtype=object) for f in schema.fields})
-
-    from pyspark.sql import types as T
+        return pa.Table.from_pylist(out, schema=arrow)
 
-    schema = T.StructType([*RESULT.fields, *ddl("kind string, reason string, count int, fused_into string").fields])
-    both = saved(groups.groupBy("query_id").applyInPandas(per_query, schema))  # a few rows per query, read for both tables
+    both = saved(groups.groupBy("query_id").applyInArrow(per_query, schema))  # a few rows per query, read for both tables
     return both.where("kind = 'result'").select(*RESULT.names), both.where("kind = 'suppression'").select(*SUPPRESSION.names)
 
 
