@@ -90,7 +90,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFra
     return docs.join(ids.select(F.col(column).alias(key)).hint("shuffle_hash"), docs[column] == F.col(key), "left_semi")
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 22):
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 21):
     """The batch in slices of whole rows with about ``most`` bytes of text: bounds what numpy holds."""
     column = batch.column(batch.schema.get_field_index(text))
     _, offsets, _ = text_buffers(column)
