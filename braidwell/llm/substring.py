@@ -6,7 +6,7 @@ Two kinds of units are hashed to 96 bits over their words, without case, punctua
   notices, recur by form and stay);
 * passages of at least ``min_words`` words, for what is pasted into the middle of lines or runs over several. Where they
   begin and end is decided by the words themselves. One begins at every line's first word and, of any ``GAP`` words of a
-  line, at the one whose hash (with the word after it) is smallest, first words of sentences before others; it ends at
+  line, at the one whose hash (with the word after it in the line) is smallest, first words of sentences before others; it ends at
   the first border that leaves it ``min_words`` words: a line's or a sentence's end or, in sentences, the smallest hash of
   any ``GAP`` / 2 words. Every line end ends one more, which begins at the last such place. A repeat of ``min_words`` + 2
   ``GAP`` words therefore holds a whole passage wherever it begins (one that begins with a line, of ``min_words`` + ``GAP``),
@@ -53,10 +53,10 @@ def _sliding(op, a: np.ndarray, width: int) -> np.ndarray:
     return a if size == width else op(a[: len(a) - (width - size)], a[width - size :])
 
 
-def cuts(h: np.ndarray, forced: np.ndarray, preferred: np.ndarray, spaced: np.ndarray, gap: int) -> np.ndarray:
-    """Some of the words: all ``forced`` ones and, of any ``gap`` words without one, the one of the smallest hash, ``preferred``
+def cuts(key: np.ndarray, forced: np.ndarray, preferred: np.ndarray, spaced: np.ndarray, gap: int) -> np.ndarray:
+    """Some of the words: all ``forced`` ones and, of any ``gap`` words without one, the one of the smallest key, ``preferred``
     ones before others; of twice as many in scripts without spaces."""
-    key = mix(h * _U(0xD6E8FEB86659FD93) + np.append(h[1:], _U(0)), 3) >> _U(1) | _U(1)
+    key = key >> _U(1) | _U(1)
     key[~preferred] |= _U(1 << 63)
     key[forced] = 0
     out = forced.copy()
@@ -84,9 +84,12 @@ def units(raw: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, line
     phrase = (w.kind[1:] == THAI) & (w.kind[:-1] == THAI) & (hi > lo)
     border[1:] = line[1:] | ((stops[hi] > stops[lo]) & (hi - lo > 1)) | phrase
     h = w.hashes()
-    at = np.flatnonzero(cuts(h, line, border, w.kind == 1, GAP))
+    after = np.append(h[1:], _U(0))
+    after[:-1][line[1:]] = 0  # what follows a line, perhaps another text, doesn't count
+    key = mix(h * _U(0xD6E8FEB86659FD93) + after, 3)
+    at = np.flatnonzero(cuts(key, line, border, w.kind == 1, GAP))
     weight = np.concatenate([[0], np.cumsum(_WEIGHT[w.kind])])
-    ways = np.append(np.flatnonzero(cuts(h, border, border, w.kind == 1, GAP // 2)), n)  # a text ends where the next begins
+    ways = np.append(np.flatnonzero(cuts(key, border, border, w.kind == 1, GAP // 2)), n)  # a text ends where the next begins
     until = np.searchsorted(weight[ways], weight[at] + 6 * min_words)
     enough = (until < len(ways)) & (ways[np.minimum(until, len(ways) - 1)] <= w.first[w.doc[at] + 1])
     first = np.flatnonzero(line)

@@ -22,8 +22,9 @@ def brute_units(text, min_words=S.MIN_WORDS, line_words=S.LINE_WORDS):
     border = [a or (len(g.encode()) > 1 and bool(re.search(r"[.!?]", g))) for a, g in zip(line, ["", *gaps])]
     plain = [w.group().lower() for w in words]
     h = Words(*text_buffers(pa.array([" ".join(plain)]))[:2]).hashes()
-    key = mix(h * np.uint64(0xD6E8FEB86659FD93) + np.append(h[1:], np.uint64(0)), 3) >> np.uint64(1)
     n = len(words)
+    after = np.array([h[k + 1] if k + 1 < n and not line[k + 1] else 0 for k in range(n)], np.uint64)
+    key = mix(h * np.uint64(0xD6E8FEB86659FD93) + after, 3) >> np.uint64(1)
 
     def chosen(forced, gap, rank):
         out = {k for k in range(n) if forced[k]}
@@ -119,6 +120,16 @@ def test_every_long_repeat_is_found_wherever_it_begins():
         assert both
 
 
+def test_units_do_not_depend_on_the_texts_beside():
+    r = random.Random(21)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randrange(500)) for _ in range(r.randrange(1, 120))) for _ in range(300)]
+    one = S.units(*text_buffers(pa.array(texts))[:2])
+    got = {i: sorted(zip(one["start"][one["doc"] == i], one["h1"][one["doc"] == i])) for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        u = S.units(*text_buffers(pa.array([t]))[:2])
+        assert sorted(zip(u["start"], u["h1"])) == got[i]
+
+
 def removed(spark, docs, **how):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     return {r.doc_id: (r.text, [(s.start, s.stop, s.kept_doc_id) for s in r.removed]) for r in S.repeats(spark, df, **how).collect()}
