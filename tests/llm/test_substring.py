@@ -6,7 +6,7 @@ import pyarrow as pa
 
 from braidwell.llm import substring as S
 from braidwell.llm.common import Words, mix, text_buffers
-from tests.conftest import SMALL
+from tests.conftest import MEDIUM, SMALL
 from tests.llm.cases import awkward_documents, passage, sentence
 
 WORD = re.compile(r"[0-9A-Za-z\u00aa-\u02ff\u0300-\u1fff\u3040-\U0010ffff]+")
@@ -108,6 +108,21 @@ def test_equals_brute_force_on_the_documents(spark):
     assert got == brute({r.doc_id: r.text for r in df.collect()})
 
 
+def test_no_passage_of_over_50_words_is_left_in_two_documents(spark):
+    df = spark.read.parquet(f"{MEDIUM}/documents.parquet").select("doc_id", "text")
+
+    def shared(rows, n=51):
+        seen, found = {}, 0
+        for r in sorted(rows, key=lambda r: r.doc_id):
+            words = [m.group().lower() for m in WORD.finditer(r.text)]
+            grams = {hash(tuple(words[i : i + n])) for i in range(len(words) - n + 1)}
+            found += sum(g in seen for g in grams)
+            seen |= dict.fromkeys(grams, r.doc_id)
+        return found
+
+    assert shared(df.collect()) > 1000 and shared(S.cleaned(spark, df).collect()) == 0
+
+
 def test_every_long_repeat_is_found_wherever_it_begins():
     """Passages without any stop or line end, in the middle of other words."""
     r = random.Random(12)
