@@ -732,9 +732,10 @@ def federated(spark, d, queries: DataFrame):
     """Candidates of four kinds of sources for a batch of queries, with the sources' configuration."""
     held = sourced(spark, d)
     docs, index, _ = held["docs"]
-    first = D.candidates(D.search(index, queries), docs, "u-docs", "docs")
+    terms = D.query_terms(queries)
+    first = D.candidates(D.search(index, queries), docs, "u-docs", "docs", terms)
     mail, index, _ = held["mail"]
-    second = D.candidates(D.search(index, queries), mail, "u-mail", "mail").withColumn("record_type", F.lit("message"))
+    second = D.candidates(D.search(index, queries), mail, "u-mail", "mail", terms).withColumn("record_type", F.lit("message"))
     e = table(spark, d, "events").withColumnRenamed("ts", "event_time")
     hits = R.search_fields(e, queries, "event_id", stream_fields(), [F.col("event_id")], "event_time").join(e.drop("event_time"), "event_id")
     third = hits.select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwell.functions import text as X
+from braidwell.functions.markdown import excerpt_udf
 from braidwell.schema import CANDIDATE, CLASS_IDENTIFIER, CLASS_NATURAL, conform
 from braidwell.shared import saved
 
@@ -188,20 +189,24 @@ def entity_filter(index: Index, entities: list[str]) -> DataFrame:
     return held.where(F.col("n") == len(want)).select("chunk_id")
 
 
-def candidates(ranked: DataFrame, chunks: DataFrame, source_uid: str, source_id: str) -> DataFrame:
-    """Hits as candidates. Texts are joined after the cut to k, so excerpts are made for results only.
+def candidates(ranked: DataFrame, chunks: DataFrame, source_uid: str, source_id: str, terms: DataFrame | None = None) -> DataFrame:
+    """Hits as candidates. Texts are joined after the cut to k, so excerpts are made for results only: with ``terms``
+    (``query_terms``) the lines that hold most content terms of the query, else, or where none does, the head of the text.
 
     chunks: chunk_id, record_id, title, text, and optionally event_time, revision, sensitivity.
     """
     have = set(chunks.columns)
     col = lambda name, kind: F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
-    joined = ranked.join(chunks, "chunk_id")
+    joined = ranked.join(chunks, "chunk_id").withColumn("__matched", F.lit(None).cast("string"))
+    if terms is not None:
+        wanted = terms.where("content").groupBy("query_id").agg(F.collect_set("term").alias("__terms"))
+        joined = joined.join(wanted, "query_id", "left").withColumn("__matched", excerpt_udf(F.col("text"), F.col("__terms")))
     return joined.select(
         "query_id", F.lit(source_uid).alias("source_uid"), F.lit(source_id).alias("source_id"),
         F.concat(F.lit(source_id + ":"), F.col("chunk_id").cast("string")).alias("candidate_id"),
         F.col("record_id").cast("string").alias("source_record_id"), F.col("chunk_id").cast("string").alias("local"),
         F.array().cast("array<string>").alias("derived_from"), F.lit("document").alias("record_type"),
-        "title", X.preview(F.col("text")).alias("excerpt"), F.lit("preview").alias("excerpt_kind"),
+        "title", F.coalesce("__matched", X.preview(F.col("text"))).alias("excerpt"), F.when(F.col("__matched").isNull(), "preview").otherwise("matched").alias("excerpt_kind"),
         F.col("rank").alias("local_rank"), F.col("score").alias("local_score"), "relevance",
         F.array(F.lit("lexical")).alias("match_signals"), col("event_time", "timestamp").alias("event_time"),
         col("revision", "string").alias("source_revision"), F.coalesce(col("sensitivity", "int"), F.lit(1)).alias("sensitivity"),

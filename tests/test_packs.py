@@ -42,6 +42,15 @@ def test_run(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "cases")).count() == 3
 
 
+def test_candidates_carry_the_lines_that_match(spark):
+    docs = spark.createDataFrame([(1, "long", "intro words here\n" * 40 + "the needle stands here\nend"), (2, "short", "nothing of it")], "chunk_id long, title string, text string").withColumn("record_id", F.col("chunk_id"))
+    queries = spark.createDataFrame([(1, "where is the needle"), (2, "nothing")], "query_id long, query string")
+    found = D.search(D.build_index(docs), queries)
+    got = {(r.query_id, r.local): (r.excerpt_kind, r.excerpt) for r in D.candidates(found, docs, "u", "docs", D.query_terms(queries)).collect()}
+    assert got[1, "1"][0] == "matched" and "needle" in got[1, "1"][1] and got[2, "2"][0] == "matched"
+    assert {r.excerpt_kind for r in D.candidates(found, docs, "u", "docs").collect()} == {"preview"}
+
+
 def test_every_problem_is_told_at_once(tmp_path):
     bad = save(tmp_path, [{"case_id": "a", "query": "", "colour": 1}, {"case_id": "a", "query": "x", "expected_behavior": "dance"}], [{"case_id": "z", "lineage_root": "nocolon", "relevance": 9, "required": True, "forbidden": True}])
     with pytest.raises(ValueError, match="unknown key colour.*query is required.*unknown expected_behavior dance.*named twice.*no case z.*uid:local.*0 to 3.*both required and forbidden"):
