@@ -44,14 +44,14 @@ def roots(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None, depth
     A single parent is followed while it is in the pool; several make the record composite: the walk stops there
     and they are its ancestors. A walk that returns to a node ends at the smallest node seen, past ``depth`` steps
     it is cut. One self-join per step, so the number of joins doesn't depend on the data. The nodes that have parents are
-    written once: their size is known to all steps, which broadcast them where they are few.
+    written once: their size is known to all steps, which broadcast them where they are few, and without any there are none.
     """
     by = by or []
     parents = edges.groupBy(*by, F.col("child").alias("__at")).agg(F.array_sort(F.collect_set("parent")).alias("__parents"))
     pool = saved(nodes.select(*by, F.col("node").alias("__at")).distinct().join(parents, [*by, "__at"]))
     walk = nodes.withColumn("root", F.col("node")).withColumn("depth", F.lit(0)).withColumn("reason", F.lit(None).cast("string"))
     walk = walk.withColumn("ancestors", F.array().cast("array<string>")).withColumn("__path", F.array("node")).withColumn("__on", F.lit(True))
-    for step in range(1, depth + 2):
+    for step in range(1, 1 if pool.isEmpty() else depth + 2):
         at = walk.withColumn("__at", F.when(F.col("__on"), F.col("root")))
         at = at.join(pool, [*by, "__at"], "left")
         n = F.coalesce(F.size("__parents"), F.lit(0))
