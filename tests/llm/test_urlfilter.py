@@ -93,3 +93,33 @@ def test_awkward_rows(spark):
     assert by[1].accepted and not by[2].accepted and by[None].score == by[1].score
     assert U.judge(pages.limit(0)).count() == 0
     assert all(r.accepted for r in U.judge(pages.where("page_id = 1")).collect())
+
+
+def test_models_count_every_labelled_row(spark):
+    host = F.concat(F.when(F.col("id") % 2 == 0, "news").otherwise("casino-"), F.col("id") % 97, F.lit(".example"))
+    pages = spark.range(50_000).select(F.concat(F.lit("http://"), host, F.lit("/"), F.col("id")).alias("url"))
+    accepted, rejected, _ = U.fit(pages)
+    known = U.labelled(pages).where("pmod(xxhash64(host, 43), 5) > 0").collect()
+    for model, kind in ((accepted, False), (rejected, True)):
+        want = U.Markov([r.url for r in known if r.rejected == kind])
+        assert all((x == y).all() for got, whole in zip(model.levels, want.levels) for x, y in zip(got, whole))
+        assert model.levels[0][1][0] == sum(len(r.url) for r in known if r.rejected == kind)
+
+
+def test_threshold_of_a_table_is_that_of_its_arrays(spark):
+    rng = np.random.default_rng(3)
+    for good, bad in ((rng.normal(1, 1, 300), rng.normal(-1, 1, 170)), (np.round(rng.normal(0, 1, 90), 1), np.round(rng.normal(0, 1, 130), 1)), (np.ones(2), np.zeros(3)), (np.zeros(3), np.ones(2))):
+        rows = [*((float(x), False) for x in good), *((float(x), True) for x in bad)]
+        assert abs(U.threshold(spark.createDataFrame(rows, "score double, rejected boolean").repartition(3)) - U.calibrate(good, bad)) < 1e-12
+
+
+def test_joins_judge_like_arrays(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    odd = [(1, "http://casino.example/b"), (3, None), (4, ""), (None, "HTTP://GOOD.example/a"), (1, "http://casino.example/b"), (5, "not a url é"), (6, "http://x.example/" + "y" * 3000)]
+    pages = pages.union(spark.createDataFrame(odd, pages.schema))
+    key = lambda r: (r.page_id is None, r.page_id, r.url or "")
+    want, got = (sorted(U.judge(pages, **most).collect(), key=key) for most in ({}, {"most": 0}))
+    assert len(want) == len(got) and {r.accepted for r in got} == {True, False}
+    for a, b in zip(want, got):
+        assert (a.page_id, a.url, a.accepted) == (b.page_id, b.url, b.accepted)
+        assert a.score == b.score or abs(a.score - b.score) < 1e-9
