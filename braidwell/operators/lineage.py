@@ -38,22 +38,35 @@ def parent_edges(candidates: DataFrame, sources: DataFrame) -> tuple[DataFrame,
     return resolved.where("root IS NOT NULL").select("query_id", "child", F.col("root").alias("parent"), "ord"), resolved.where("root IS NULL").select("query_id", "child", "locator")
 
 
+def parents_of(edges: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., __at, __parents): every child's distinct parents in order."""
+    return edges.groupBy(*by, F.col("child").alias("__at")).agg(F.array_sort(F.collect_set("parent")).alias("__parents"))
+
+
 def roots(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None, depth: int = MAX_DEPTH) -> DataFrame:
-    """Adds root, depth, reason and ancestors to nodes (by..., node).
+    """Adds root, depth, reason and ancestors to nodes (by..., node)."""
+    by = by or []
+    return walked(nodes, nodes.select(*by, F.col("node").alias("__at")).distinct().join(parents_of(edges, by), [*by, "__at"]), by, depth)
+
+
+def walked(nodes: DataFrame, pool: DataFrame, by: list[str], depth: int = MAX_DEPTH) -> DataFrame:
+    """``roots`` of nodes (with any further columns) over ``pool``: ``parents_of`` those of them that have parents.
 
     A single parent is followed while it is in the pool; several make the record composite: the walk stops there
     and they are its ancestors. A walk that returns to a node ends at the smallest node seen, past ``depth`` steps
-    it is cut. One self-join per step, so the number of joins doesn't depend on the data. The nodes that have parents are
-    written once: their size is known to all steps, which broadcast them where they are few, and without any there are none.
+    it is cut. One join per step. What a step may look up is written before it: first the nodes that have parents, then those
+    of them that were parents of the last. These tables shrink upwards and their size is known, so few hubs that many nodes lead
+    to are broadcast; without a node to look up the walk is over. A node that has stopped looks for a key of its own: stopped
+    nodes don't gather in one task.
     """
-    by = by or []
-    parents = edges.groupBy(*by, F.col("child").alias("__at")).agg(F.array_sort(F.collect_set("parent")).alias("__parents"))
-    pool = saved(nodes.select(*by, F.col("node").alias("__at")).distinct().join(parents, [*by, "__at"]))
+    reached = saved(pool)
     walk = nodes.withColumn("root", F.col("node")).withColumn("depth", F.lit(0)).withColumn("reason", F.lit(None).cast("string"))
     walk = walk.withColumn("ancestors", F.array().cast("array<string>")).withColumn("__path", F.array("node")).withColumn("__on", F.lit(True))
-    for step in range(1, 1 if pool.isEmpty() else depth + 2):
-        at = walk.withColumn("__at", F.when(F.col("__on"), F.col("root")))
-        at = at.join(pool, [*by, "__at"], "left")
+    for step in range(1, depth + 2):
+        if reached.isEmpty():
+            break
+        at = walk.withColumn("__at", F.when(F.col("__on"), F.col("root")).otherwise(F.concat(F.lit("\0"), "node")))
+        at = at.join(reached, [*by, "__at"], "left")
         n = F.coalesce(F.size("__parents"), F.lit(0))
         one = F.col("__on") & (n == 1)
         parent = F.get("__parents", F.lit(0))
@@ -70,6 +83,9 @@ def roots(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None, depth
             F.when(go, F.concat("__path", F.array(parent))).otherwise(F.col("__path")).alias("__path"),
             go.alias("__on"),
         )
+        if step <= depth:
+            up = reached.where(F.size("__parents") == 1).select(*by, F.get("__parents", F.lit(0)).alias("__at")).distinct()
+            reached = saved(reached.join(up, [*by, "__at"], "left_semi"))
     return walk.drop("__path", "__on")
 
 

@@ -160,3 +160,35 @@ def test_components(spark):
     links = spark.createDataFrame([(i, f"k{i // 2}") for i in range(40)] + [(i, f"j{(i + 1) // 2}") for i in range(39)] + [(100, "z"), (101, "z"), (200, "y")], "node long, key string")
     got = {x.node: x.component for x in U.components(links).collect()}
     assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100, 200: 200}
+
+
+def test_nodes_that_share_a_hub_or_have_stopped_stay_spread(spark):
+    """With shuffled joins no task gets all nodes, though they lead to one hub in three steps and have all stopped then."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # the hubs are less, all nodes more
+    try:
+        leaves = spark.range(20000).select(F.concat(F.lit("a:"), "id").alias("child"), F.concat(F.lit("b:"), F.col("id") % 10).alias("parent"))
+        edges = leaves.union(spark.range(10).select(F.concat(F.lit("b:"), "id"), F.lit("c:0"))).union(spark.createDataFrame([("c:0", "d:0")], leaves.schema))
+        walk = L.roots(edges.select(F.col("child").alias("node")), edges).withColumn("at", F.spark_partition_id())
+        tasks = walk.groupBy("at").agg(F.count("*").alias("n"), F.min("root").alias("root"), F.max("root").alias("last"), F.max("depth").alias("depth")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(t.n for t in tasks) == 20011 and max(t.n for t in tasks) < 10000
+    assert {(t.root, t.last, t.depth) for t in tasks} == {("d:0", "d:0", 3)}
+
+
+def test_batches_are_cut_between_queries():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    for _ in range(30):
+        ids = sorted(r.choices(range(9), k=r.randint(0, 40)))
+        rows, batches = list(ids), []
+        while rows:
+            n = r.randint(0, 7)
+            batches.append(pa.RecordBatch.from_pydict({"query_id": pa.array(rows[:n], pa.int64())}))
+            rows = rows[n:]
+        got = [t.column("query_id").to_pylist() for t in U.whole_queries(iter(batches))]
+        assert sum(got, []) == ids and sum(len(set(x)) for x in got) == len(set(ids))
