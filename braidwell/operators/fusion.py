@@ -2,20 +2,24 @@
 
 Scores of different sources are never compared; only ranks, priors and the sources' relevance enter. Groups are
 made relationally over all queries at once. Clustering needs a fixed point over a query's pool, which the
-per-source limits keep small (sources x limit), so each query's pool is one call of ``_clusters``;
+per-source limits keep small (sources x limit), so it is done query by query, on Arrow batches that hold many of them;
 ``components`` is the relational version for pools of any size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, pairwise
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from braidwell.functions import text as X
-from braidwell.operators.lineage import independent, parent_edges, roots, self_root, source_derivation
+from braidwell.operators.lineage import independent, parent_edges, parents_of, self_root, source_derivation, walked
 from braidwell.schema import CLASS_IDENTIFIER, CLASS_NATURAL, CORROBORATION_CAP, LIMIT, RANK_CONSTANT, RELEVANCE_FLOOR, RESULT, SUPPRESSION, ddl
 from braidwell.shared import saved
 
@@ -49,12 +53,11 @@ def best_by_source(candidates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def lineage_groups(candidates: DataFrame, sources: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row per query and root: score (the maximum over sources), flags, primary candidate, link keys and lineages."""
+    """One row per query and root: score (the maximum over sources), flags, primary candidate, link keys (their kind first)
+    and lineage (that of the least deep candidate)."""
     edges, _ = parent_edges(candidates, sources)
     me = self_root(F.col("source_uid"), F.col("local"))
-    nodes = candidates.select("query_id", me.alias("node")).distinct()
-    walked = roots(nodes, edges, ["query_id"]).withColumnRenamed("node", "__node")
-    pool = candidates.withColumn("__node", me).join(walked, ["query_id", "__node"])
+    pool = walked(candidates.withColumn("node", me), parents_of(edges, ["query_id"]), ["query_id"])  # all children are candidates
     s = sources.select("source_uid", F.col("base_prior"), F.col("intent_priors"), F.col("location"), "derives_from", F.col("source_id").alias("__sid"))
     pool = source_derivation(pool, sources).join(F.broadcast(s.drop("derives_from")), "source_uid", "left")  # configured sources: a list in a file
     pool = pool.join(queries.select("query_id", "query_class", "stable_identifiers", "mode", "suppress_lineages", "limit"), "query_id")
@@ -69,7 +72,7 @@ def lineage_groups(candidates: DataFrame, sources: DataFrame, queries: DataFrame
     named = F.concat(named, F.transform(named, lambda x: F.regexp_replace(x, r"^.*[/\\]", "")))
     identity = F.coalesce(F.arrays_overlap(named, "stable_identifiers"), F.lit(False))
     strict = lambda *parts: F.concat_ws("\0", *parts)
-    key = lambda ok, kind, *parts: F.when(ok, F.struct(F.lit(kind).alias("kind"), strict(F.lit(kind), *parts).alias("key")))
+    key = lambda ok, kind, *parts: F.when(ok, strict(F.lit(kind), *parts))
     some = lambda *cols: [F.coalesce(c, F.lit("")) != "" for c in cols]
     record, printed, revision = (F.col(c) for c in ("source_record_id", "content_fingerprint", "source_revision"))
     has_record, has_print, has_revision, has_place, has_entity = some(record, printed, revision, F.col("location"), F.trim(F.col("entity_id")))
@@ -83,21 +86,26 @@ def lineage_groups(candidates: DataFrame, sources: DataFrame, queries: DataFrame
             key(has_record & has_print & has_revision, "view", F.col("record_type"), record, printed, revision),
             key(has_entity, "entity", entity, F.trim(F.col("entity_id"))),
         ),
-        F.transform(names, lambda x: F.struct(F.lit("name").alias("kind"), F.concat(F.lit("name\0"), F.coalesce(F.col("record_type"), F.lit("")), F.lit("\0"), x).alias("key"))),
+        F.transform(names, lambda x: F.concat(F.lit("name\0"), F.coalesce(F.col("record_type"), F.lit("")), F.lit("\0"), x)),
     )
-    primary = F.struct("source_uid", F.coalesce("source_id", "__sid").alias("source_id"), "local", "candidate_id", "source_record_id", "record_type", "title", "excerpt", "excerpt_kind", "local_rank", "relevance", "pool_size", "prior")
+    primary = F.struct("source_uid", F.coalesce("source_id", "__sid").alias("source_id"), *_PRIMARY[2:])
     first = F.min_by(primary, F.struct(-F.col("prior"), F.col("local_rank"), F.col("local"), F.col("candidate_id")))
-    return pool.groupBy("query_id", "root").agg(
-        F.first("query_class").alias("query_class"), F.first("suppress_lineages").alias("suppress"), F.coalesce(F.first(F.col("mode") == "pre_reply"), F.lit(False)).alias("pre_reply"),
+    derived = (F.size("ancestors") > 0) | (F.coalesce("source_derives_from", F.lit("")) != "")
+    seen = F.coalesce((F.col("mode") == "pre_reply") & F.array_contains("suppress_lineages", F.col("root")), F.lit(False))
+    groups = pool.groupBy("query_id", "root").agg(
+        F.first("query_class").alias("query_class"), F.max(seen).alias("seen"),
         F.coalesce(F.first("limit"), F.lit(0)).alias("limit"), F.max("__score").alias("score"), F.max(exact).alias("exact"),
         F.max(exact & F.coalesce(F.array_contains("match_signals", "alias"), F.lit(False))).alias("exact_alias"), F.max(exact & identity).alias("exact_identity"),
         F.max(F.coalesce(F.size("stable_identifiers"), F.lit(0)) > 0).alias("stable"), F.count("*").cast("int").alias("count"), F.max(floor_relevance(F.col("relevance"))).alias("floor_relevance"),
         F.array_distinct(F.flatten(F.collect_list(F.filter(keys, lambda k: k.isNotNull())))).alias("keys"),
-        F.collect_list(F.struct("root", "depth", "ancestors", "source_derives_from")).alias("lineages"),
+        F.min(F.struct("depth", "ancestors", "source_derives_from")).alias("lineage"), F.bool_and(derived).alias("derivative"),
         F.collect_set(F.when(has_print, strict(F.col("source_uid"), printed))).alias("prints"), F.array_sort(F.collect_set("source_id")).alias("sources"), first.alias("primary"),
     )
+    return groups.select("*", "lineage.depth", "lineage.ancestors", "lineage.source_derives_from", *(F.col(f"primary.{c}").alias(f"primary_{c}") for c in _PRIMARY)).drop("lineage", "primary")
 
 
+#: What is told of a candidate that stands for its group.
+_PRIMARY = ("source_uid", "source_id", "local", "candidate_id", "source_record_id", "record_type", "title", "excerpt", "excerpt_kind", "local_rank", "relevance", "pool_size", "prior")
 _LINKS = {"record": ("dup", "same"), "fingerprint": ("dup",), "location-record": ("dup",), "view": ("dup", "same", "view"), "entity": ("same",), "name": ("same",)}
 
 
@@ -116,38 +124,37 @@ class _Sets:
 
 
 def clusters_of(groups: list[dict], cap: float = CORROBORATION_CAP) -> list[dict]:
-    """Clusters of one query's groups, unordered. Groups that share a key are linked by the relations of its kind."""
-    groups = sorted(groups, key=lambda g: g["root"].encode())
+    """Clusters of one query's groups, which come by root. Groups that share a key are linked by the relations of its kind."""
     sets = {r: _Sets(len(groups)) for r in ("dup", "same", "view")}
     first: dict[str, int] = {}
     for i, g in enumerate(groups):
         for k in g["keys"]:
-            j = first.setdefault(k["key"], i)
-            for relation in _LINKS[k["kind"]]:
-                sets[relation].union(j, i)
+            j = first.setdefault(k, i)
+            if j != i:
+                for relation in _LINKS[k.partition("\0")[0]]:
+                    sets[relation].union(j, i)
 
     def split(members: list[int], relation: str) -> list[list[dict]]:
+        if len(members) == 1:
+            return [[groups[members[0]]]]
         out: dict[int, list[dict]] = {}
         for i in members:
             out.setdefault(sets[relation].find(i), []).append(groups[i])
         return list(out.values())
 
-    strength = lambda g: (-g["score"], g["root"].encode())
+    strength = lambda g: (-g["score"], g["root"])
     by_cluster: dict[int, list[int]] = {}
     for i in range(len(groups)):
         by_cluster.setdefault(sets["same"].find(i), []).append(i)
     out = []
     for members in by_cluster.values():
-        units = []
-        for unit in split(members, "dup"):
-            lineages = [x for g in unit for x in g["lineages"]]
-            units.append({"groups": unit, "lineages": lineages, "score": max(0.0, *(g["score"] for g in unit)), "root": min((g["root"] for g in unit), key=str.encode), "derivative": all(len(x["ancestors"]) or x["source_derives_from"] for x in lineages)})
-        units.sort(key=lambda u: (-u["score"], u["root"].encode()))
+        units = [{"groups": unit, "score": max(0.0, *(g["score"] for g in unit)), "root": unit[0]["root"], "derivative": all(g["derivative"] for g in unit)} for unit in split(members, "dup")]
+        units.sort(key=strength)
         counted, total, independent_, corroborating, sources = [], 0.0, 0, 0, set()
-        for u in sorted(units, key=lambda u: (u["derivative"], -u["score"], u["root"].encode())):
-            got = independent(counted + u["lineages"])
+        for u in sorted(units, key=lambda u: (u["derivative"], -u["score"], u["root"])):
+            got = independent(counted + u["groups"])
             if got > independent_:
-                counted, independent_, corroborating, total = counted + u["lineages"], got, corroborating + 1, total + u["score"]
+                counted, independent_, corroborating, total = counted + u["groups"], got, corroborating + 1, total + u["score"]
                 sources.update(s for g in u["groups"] for s in g["sources"])
         most = cap * units[0]["score"]
         basis = min(units[0]["groups"], key=strength)
@@ -161,8 +168,8 @@ def clusters_of(groups: list[dict], cap: float = CORROBORATION_CAP) -> list[dict
             {
                 "root": basis["root"], "score": min(total, most), "cap_applied": total > most, "independent": corroborating, "sources": sorted(sources),
                 "primary": shown["primary"], "basis": p, "exact": any(g["exact"] for g in own), "alias": any(g["exact_alias"] for g in own),
-                "identity": any(g["exact_identity"] for g in own), "views": sorted(views, key=lambda v: v[0]["root"].encode()), "count": sum(g["count"] for g in own),
-                "floor": max(g["floor_relevance"] for g in own), "prints": sorted({f for g in own for f in g["prints"]}), "members": sorted((g["root"] for g in own), key=str.encode),
+                "identity": any(g["exact_identity"] for g in own), "views": sorted(views, key=lambda v: v[0]["root"]), "count": sum(g["count"] for g in own),
+                "floor": max(g["floor_relevance"] for g in own), "prints": {f for g in own for f in g["prints"]}, "members": [g["root"] for g in own],
             }
         )
     return out
@@ -182,16 +189,16 @@ def ordered(clusters: list[dict], query_class: str, stable: bool) -> list[dict]:
 
     def place(c: dict):
         b = c["basis"]
-        return (not promotable(c, query_class, stable), -c["score"], b["local_rank"] if c["score"] == 0 else 0, f"{b['source_id']}:{b['local']}".encode(), (b["candidate_id"] or "").encode(), c["root"].encode())
+        return (not promotable(c, query_class, stable), -c["score"], b["local_rank"] if c["score"] == 0 else 0, f"{b['source_id']}:{b['local']}", b["candidate_id"] or "", c["root"])
 
     return sorted(clusters, key=place)
 
 
-def select_results(clusters: list[dict], suppress: set[str], floor: float, limit: int, per_source: int = 0):
+def select_results(clusters: list[dict], floor: float, limit: int, per_source: int = 0):
     """(shown, suppressions, dropped) of ordered clusters.
 
-    Each cluster is withheld for one reason at most: below the floor (never exact ones), all views suppressed by
-    the caller, or a fingerprint that a kept cluster of the same source already shows. If that leaves nothing,
+    Each cluster is withheld for one reason at most: below the floor (never exact ones), all views seen by
+    the caller before, or a fingerprint that a kept cluster of the same source already shows. If that leaves nothing,
     the floor stands down. Beyond ``per_source`` results of a source go to the tail; the limit comes last.
     """
 
@@ -200,9 +207,9 @@ def select_results(clusters: list[dict], suppress: set[str], floor: float, limit
         for c in clusters:
             if least > 0 and not c["exact"] and c["floor"] < least:
                 held.append(("relevance_floor", c))
-            elif suppress and all(any(g["root"] in suppress for g in view) for view in c["views"]):
+            elif all(any(g["seen"] for g in view) for view in c["views"]):
                 held.append(("lineage_seen", c))
-            elif shown.intersection(c["prints"]):
+            elif not shown.isdisjoint(c["prints"]):
                 held.append(("duplicate", c))
             else:
                 shown.update(c["prints"])
@@ -230,7 +237,54 @@ def select_results(clusters: list[dict], suppress: set[str], floor: float, limit
         final = final[:limit]
     ledger = [(reason, c["count"], c["root"], None) for reason, c in held]
     ledger += [("duplicate_view", 1, g["root"], c["root"]) for c in final for view in c["views"] for g in view[1:]]
-    return final, sorted(ledger, key=lambda x: (x[0], x[2].encode())), dropped
+    return final, sorted(ledger, key=lambda x: (x[0], x[2])), dropped
+
+
+def whole_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches of rows ordered by query_id, cut again so that no query is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("query_id")
+        begin = pc.index(ids, ids[-1]).as_py()
+        if begin:
+            yield pa.Table.from_batches([*held, batch.slice(0, begin)])
+            held = [batch.slice(begin)]
+        elif held and held[-1].column("query_id")[-1] != ids[-1]:
+            yield pa.Table.from_batches(held)
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _values(column: pa.ChunkedArray) -> list:
+    """As to_pylist; strings and what has no nulls by way of numpy, which is several times faster, values of lists at once."""
+
+    def plain(a: pa.Array) -> list:
+        return a.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(a.type) or not a.null_count else a.to_pylist()
+
+    out = []
+    for a in column.chunks:
+        if pa.types.is_list(a.type):
+            at = a.offsets.to_numpy().tolist()
+            flat = plain(a.values.slice(at[0], at[-1] - at[0]))
+            out += [flat[i - at[0] : j - at[0]] for i, j in pairwise(at)]
+        else:
+            out += plain(a)
+    return out
+
+
+def _rows(table: pa.Table) -> list[dict]:
+    """Groups as ``clusters_of`` takes them."""
+    plain = [c for c in table.column_names if not c.startswith("primary_")]
+    primaries = zip(*(_values(table[f"primary_{c}"]) for c in _PRIMARY))
+    rows = [dict(zip(plain, values)) for values in zip(*(_values(table[c]) for c in plain))]
+    for row, values in zip(rows, primaries):
+        row["primary"] = dict(zip(_PRIMARY, values))
+    return rows
 
 
 def fuse(candidates: DataFrame, sources: DataFrame, queries: DataFrame, floor: float = RELEVANCE_FLOOR, cap: float = CORROBORATION_CAP, limit: int = LIMIT, per_source: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -241,19 +295,24 @@ def fuse(candidates: DataFrame, sources: DataFrame, queries: DataFrame, floor: f
     schema = T.StructType([*RESULT.fields, *ddl("kind string, reason string, count int, fused_into string").fields])
     arrow = to_arrow_schema(schema)
 
-    def per_query(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        q = rows[0]
-        found = ordered(clusters_of(rows, cap), q["query_class"] or "", q["stable"])
-        final, ledger, _ = select_results(found, set(q["suppress"] or []) if q["pre_reply"] else set(), floor, q["limit"] or limit, per_source)
-        out = []
-        for i, c in enumerate(final, 1):
-            p = c["primary"]
-            out.append({"query_id": q["query_id"], "position": i, "lineage_root": c["root"], **{k: p[k] for k in ("source_uid", "source_id", "local", "candidate_id", "title", "excerpt", "excerpt_kind")}, "score": c["score"], "exact_promoted": promotable(c, q["query_class"] or "", q["stable"]), "independent_units": c["independent"], "cap_applied": c["cap_applied"], **{k: c["basis"][k] for k in ("local_rank", "pool_size", "prior", "relevance")}, "members": c["members"], "sources": c["sources"], "kind": "result"})
-        out += [{"query_id": q["query_id"], "kind": "suppression", "reason": r, "count": n, "lineage_root": root, "fused_into": into} for r, n, root, into in ledger]
-        return pa.Table.from_pylist(out, schema=arrow)
-
-    both = saved(groups.groupBy("query_id").applyInArrow(per_query, schema))  # a few rows per query, read for both tables
+    def per_query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_queries(batches):
+            out = []
+            for query_id, rows in groupby(_rows(table), key=lambda g: g["query_id"]):
+                rows = list(rows)
+                q = rows[0]
+                kind = q["query_class"] or ""
+                found = ordered(clusters_of(rows, cap), kind, q["stable"])
+                final, ledger, _ = select_results(found, floor, q["limit"] or limit, per_source)
+                for i, c in enumerate(final, 1):
+                    p, b = c["primary"], c["basis"]
+                    out.append((query_id, i, c["root"], p["source_uid"], p["source_id"], p["local"], p["candidate_id"], p["title"], p["excerpt"], p["excerpt_kind"], c["score"], promotable(c, kind, q["stable"]), c["independent"], c["cap_applied"], b["local_rank"], b["pool_size"], b["prior"], b["relevance"], c["members"], c["sources"], "result", None, None, None))
+                out += [(query_id, None, root, *[None] * (len(RESULT) - 3), "suppression", reason, n, into) for reason, n, root, into in ledger]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(values, f.type) for f, values in zip(arrow, zip(*out))], schema=arrow)
+
+    whole = groups.repartition("query_id").sortWithinPartitions("query_id", "root")
+    both = saved(whole.mapInArrow(per_query, schema))  # a few rows per query, read for both tables
     return both.where("kind = 'result'").select(*RESULT.names), both.where("kind = 'suppression'").select(*SUPPRESSION.names)
 
 
