@@ -31,7 +31,13 @@ class Index:
 
     def saved(self) -> Index:
         """The index as tables of the shared folder, for several searches."""
-        return index_of(saved(self.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id")), saved)
+        return index_of(saved(laid_out(self.postings)), saved)
+
+
+def laid_out(postings: DataFrame) -> DataFrame:
+    """Postings as they are stored: by term, in partitions of equal size whatever terms are frequent, sorted. Hashed and not ranged:
+    ranges are found by computing all postings once more."""
+    return postings.hint("rebalance", "term").sortWithinPartitions("term", "chunk_id")
 
 
 def index_of(postings: DataFrame, keep=lambda df: df) -> Index:
@@ -42,12 +48,26 @@ def index_of(postings: DataFrame, keep=lambda df: df) -> Index:
 
 
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> Index:
-    """Counting is combined before it is shuffled."""
-    tokenised = chunks.select(F.col(key).alias("chunk_id"), X.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+    """Texts are shuffled, once and by chunk, so that their tokens, which are many more rows, are counted where they are made."""
+    spark = chunks.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = chunks.select(F.col(key).alias("chunk_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(n, "chunk_id")
+    tokenised = texts.select("chunk_id", X.tokens(F.col("text")).alias("tokens"))
     rows = tokenised.select("chunk_id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
     return index_of(rows.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf")))
 
 
+def index_for(chunks: DataFrame, queries: DataFrame) -> Index:
+    """The part of an index that a batch of queries reads, stored: postings of their terms and of those terms' variants, and a row
+    without a term for every chunk. Counts are those of the whole index: all texts are read, once, and nothing else is shuffled."""
+    terms = query_terms(queries).select("term").distinct()
+    asked = saved(terms.union(terms.select(F.explode(X.number_variants(F.col("term"))))).distinct().withColumn("asked", F.lit(True)))
+    tokenised = chunks.select("chunk_id", X.tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    every = tokenised.select("chunk_id", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
+    rows = every.join(asked, "term", "left").where("asked OR term IS NULL")
+    return index_of(saved(rows.groupBy("term", "chunk_id", "length").agg(F.count("*").alias("tf"))), saved)
+
+
 def idf(df: Column, n: Column) -> Column:
     """ln(1 + (n - df + 1/2) / (df + 1/2)), as one fraction."""
     return F.log((n + 1) / (df + 0.5))

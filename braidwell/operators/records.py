@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwell.functions import text as X
+from braidwell.shared import saved
 
 STREAM_WEIGHTS = {"title": 1.0, "metadata": 0.5, "text": 0.4}
 NOTE_WEIGHTS = {"title": 1.0, "heading": 0.8, "tag": 0.6, "body": 0.4}
@@ -22,13 +23,21 @@ def ranked(df: DataFrame, *order: Column, k: int | None = 20, by: str = "query_i
 # weighted fields: streams and notes
 
 
-def field_terms(records: DataFrame, key: str, fields: dict[str, tuple[Column, float]], tokenise=X.stream_tokens) -> DataFrame:
-    """(key, term, weight): the largest weight of the fields that a term occurs in."""
+def field_terms(records: DataFrame, key: str, fields: dict[str, tuple[Column, float]], tokenise=X.stream_tokens, asked: DataFrame | None = None) -> DataFrame:
+    """(key, term, weight): the largest weight of the fields that a term occurs in; with ``asked`` (term) of those terms alone."""
     def weighed(c: Column, w: float) -> Column:
         return F.transform(F.coalesce(tokenise(c), F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(w).alias("weight")))
 
     weighted = F.flatten(F.array(*(weighed(c, w) for c, w in fields.values())))
-    return records.select(key, F.explode(weighted).alias("x")).groupBy(key, F.col("x.term").alias("term")).agg(F.max("x.weight").alias("weight"))
+    each = records.select(key, F.explode(weighted).alias("x")).select(key, "x.term", "x.weight")
+    each = each if asked is None else each.join(asked, "term", "left_semi")
+    return each.groupBy(key, "term").agg(F.max("weight").alias("weight"))
+
+
+def asked_terms(queries: DataFrame, tokenise=X.stream_tokens) -> DataFrame:
+    """(term): all terms of a batch of queries, and their number variants, stored."""
+    terms = queries.select(F.explode(tokenise(F.col("query"))).alias("term")).distinct()
+    return saved(terms.union(terms.select(F.explode(X.number_variants(F.col("term"))))).distinct())
 
 
 def field_match(terms: DataFrame, queries: DataFrame, key: str, tokenise=X.stream_tokens, variants: bool = True) -> DataFrame:
@@ -64,7 +73,7 @@ def in_window(df: DataFrame, time: str, since=None, until=None, as_of=None) -> D
 
 def search_fields(records: DataFrame, queries: DataFrame, key: str, fields, ids: list[Column], time: str, k: int = 20, tokenise=X.stream_tokens, variants: bool = True) -> DataFrame:
     """query_id, key, score, exact, rank. Queries without terms browse: every record, newest first."""
-    found = field_match(field_terms(records, key, fields, tokenise), queries, key, tokenise, variants)
+    found = field_match(saved(field_terms(records, key, fields, tokenise, asked_terms(queries, tokenise))), queries, key, tokenise, variants)
     exact = identified(records, queries, key, ids, tokenise).withColumn("exact", F.lit(True))
     browse = queries.where(F.size(tokenise(F.col("query"))) == 0).select("query_id").crossJoin(records.select(key)).withColumn("score", F.lit(0.0))
     both = found.unionByName(browse).join(exact, ["query_id", key], "full").na.fill({"score": 0.0, "exact": False})
@@ -90,20 +99,21 @@ def task_match(tasks: DataFrame, queries: DataFrame, body_hits: DataFrame | None
     """(query_id, id, score, relevance, signals) of the tasks that match a term.
 
     tasks: id, title, fields (small letters), state. body_hits: (id, term) found in bodies by the store's probe.
-    A term may stand inside a word, so every term is looked for in every task. Terms are few per query and tasks many, so the
-    terms are the broadcast side where their size allows; an equi-join over letter groups was ten times slower.
+    A term may stand inside a word, so every term is looked for in every task, once for all queries that have it. Terms are few
+    per query and tasks many, so the terms are the broadcast side where their size allows; an equi-join over letter groups was ten times slower.
     """
     terms = queries.select("query_id", X.ascii_terms(F.col("query")).alias("want")).withColumn("n", F.size("want")).select("query_id", "n", F.explode("want").alias("term"))
     t = tasks.select("id", F.lower("title").alias("title"), F.coalesce("fields", F.lit("")).alias("fields"), "state")
     text = F.concat(F.col("title"), F.lit(" "), F.col("fields"))
     t = t.withColumns({"__title": X.spaced(F.col("title")), "__fields": X.spaced(F.col("fields")), "length": X.count_terms(text)})
-    pairs = t.crossJoin(terms)
+    pairs = t.crossJoin(terms.select("term").distinct())
     pairs = pairs.withColumn("body", F.lit(False)) if body_hits is None else pairs.join(body_hits.select("id", "term", F.lit(True).alias("body")), ["id", "term"], "left").na.fill({"body": False})
     word, part, in_field = X.contains_word_of(F.col("__title"), F.col("term")), F.col("title").contains(F.col("term")), X.contains_word_of(F.col("__fields"), F.col("term"))
     in_body = F.col("body") & ~word
     pairs = pairs.withColumn("lexical", part | in_body).withColumn("field", in_field).where("lexical OR field")
     points = F.when(word, TASK_WORD).when(part, TASK_PART).otherwise(0.0) + F.when(in_field, TASK_FIELD).otherwise(0.0) + F.when(in_body, TASK_BODY).otherwise(0.0)
-    per = pairs.select("query_id", "id", "n", "state", "lexical", "field", points.alias("points"), X.occurrences(text, F.col("term")).alias("hits"), "length")
+    per = pairs.select("term", "id", "state", "lexical", "field", points.alias("points"), X.occurrences(text, F.col("term")).alias("hits"), "length")
+    per = per.join(terms, "term")
     out = per.groupBy("query_id", "id").agg(
         F.sum("points").alias("points"), F.count("*").alias("covered"), F.sum("hits").alias("hits"), F.max("length").alias("length"),
         F.max("n").alias("n"), F.max("state").alias("state"), F.max("lexical").alias("lexical"), F.max("field").alias("field"),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwell.functions import text as X
-from braidwell.operators.documents import Index, index_of
+from braidwell.operators.documents import Index, index_of, laid_out
 
 MOST_BYTES = 1 << 20
 SUFFIXES = ("md", "markdown")
@@ -61,12 +62,16 @@ class Generations:
         at = self._path(f"{self.root}/current")
         return self.spark.read.text(f"{self.root}/current").first()[0] if self._fs.exists(at) else None
 
-    def write(self, tables: dict[str, DataFrame], header: dict) -> str:
-        """Write tables and header as a new generation and make it current. Row counts are kept to be checked on load."""
+    def write(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], header: dict) -> str:
+        """Write tables and header as a new generation and make it current. Row counts are kept to be checked on load. A table may be
+        made from those before it as they were written."""
         number = int(self.names()[-1].split("-")[1]) + 1 if self.names() else 1
         stage = f"{self.root}/.staged-{number:06d}"
-        for name, df in tables.items():
+        written: dict[str, DataFrame] = {}
+        for name, made in tables.items():
+            df = made(written) if callable(made) else made
             df.write.mode("overwrite").parquet(f"{stage}/{name}")
+            written[name] = self.spark.read.schema(df.schema).parquet(f"{stage}/{name}")
         counts = {name: self.spark.read.parquet(f"{stage}/{name}").count() for name in tables}
         from hashlib import sha256
 
@@ -128,8 +133,8 @@ def stored_index(spark: SparkSession, root: str, mark: str, build) -> tuple[Inde
         tables, header = kept.load()
         if header.get("mark") == mark:
             return Index(tables["postings"], index_of(tables["postings"]).lengths, tables["vocabulary"], tables["stats"]), False
-    made = build().saved()
-    kept.write({"postings": made.postings, "vocabulary": made.vocabulary, "stats": made.stats}, {"mark": mark})
+    counted = lambda t: index_of(t["postings"])
+    kept.write({"postings": laid_out(build().postings), "vocabulary": lambda t: counted(t).vocabulary, "stats": lambda t: counted(t).stats}, {"mark": mark})
     kept.prune(2)
     return stored_index(spark, root, mark, build)[0], True
 

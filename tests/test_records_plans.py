@@ -278,3 +278,24 @@ def test_assertions(spark):
         "max_corroborated_units": one("most int", ("c", 1)), "max_results_per_record": one("most int", ("c", 1)), "max_expansion_bytes": one("most long", ("c", 50)), "max_latency_ms": one("most long", ("c", 100)),
     }
     assert pairs(V.assertion_violations(a, res, sup), "assertion", "detail") == sorted([("required_sources", "u9"), ("forbidden_sources", "u1"), ("forbidden_sources", "u1")][:2] + [("expected_revisions", "r2"), ("suppressed_lineages", "r1"), ("suppressed_lineages", "s2"), ("withheld_lineages", "s1"), ("visible_lineages", "gone"), ("expected_top_lineage", "r2"), ("excerpt_contains", "x"), ("min_results", "2"), ("max_corroborated_units", "2"), ("max_results_per_record", "d"), ("max_expansion_bytes", "99")])
+
+
+def test_index_for_queries_ranks_as_the_whole_index(spark):
+    """The part of an index that queries read gives the same hits, and its postings are those of their terms alone."""
+    chunks = df(spark, "chunk_id long, text string", (1, "the red boxes of the inn"), (2, "a box, red red"), (3, ""), (4, None), (5, "the the who"), (6, "inns and foxes"))
+    q = df(spark, "query_id long, query string", (1, "the red box"), (2, "who is the"), (3, "fox"), (4, "nothing"), (5, ""))
+    whole, part = D.build_index(chunks), D.index_for(chunks, q)
+    columns = ["query_id", "chunk_id", "bm25", "covered", "score", "relevance", "rank"]
+    found = [sorted(map(tuple, D.search(i, q).select(columns).collect())) for i in (whole, part)]
+    assert found[0] == found[1] and found[0]
+    assert part.stats.collect() == whole.stats.collect() and sorted(part.lengths.collect()) == sorted(whole.lengths.collect())
+    assert {x.term for x in part.vocabulary.collect()} == {"the", "red", "box", "boxes", "who", "foxes"}
+
+
+def test_tasks_meet_terms_on_all_cores(spark):
+    """A small file of tasks is one split; every term is looked for in every task, so it is dealt out."""
+    from braidwell import catalog
+    from tests.conftest import SMALL
+
+    tasks = catalog.parts_as_tasks(spark, SMALL).withColumn("at", F.spark_partition_id())
+    assert tasks.select("at").distinct().count() == spark.sparkContext.defaultParallelism
