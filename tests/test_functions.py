@@ -145,3 +145,17 @@ def test_chunk_table(spark):
     rows = M.chunked(docs, "doc_id").orderBy("doc_id", "ord").collect()
     assert [r.title for r in rows if r.doc_id == 1] == ["Top", "Top", "Top > Sub", "Top > Sub > Deep", "Top > Two"]
     assert [r.indexed.split() for r in rows if r.doc_id == 3] == [["only", "[link]", "text"]]
+
+
+def test_texts_are_handled_some_bytes_at_a_time():
+    import pyarrow as pa
+
+    from braidwell.functions import markdown as M
+
+    texts = ["ab", None, "", "é" * 5, "x" * 40, "c", "d" * 9, "e"]
+    assert M.by_slices(pa.array(texts), str.upper, pa.string(), 10).to_pylist() == [None if t is None else t.upper() for t in texts]
+    assert M.by_slices(pa.array(["x", *texts, "y"]).slice(1, len(texts)), str.upper, pa.string(), 10).to_pylist() == [None if t is None else t.upper() for t in texts]
+    assert M.by_slices(pa.array([], pa.string()), str.upper, pa.string(), 10).to_pylist() == []
+    sizes = [len((t or "").encode()) for t in texts] * 50
+    cut = list(M.slices(sizes, 50))
+    assert [i for a, b in cut for i in range(a, b)] == list(range(len(sizes))) and max(sum(sizes[a:b]) for a, b in cut) <= 50
