@@ -73,3 +73,15 @@ def test_awkward_rows(spark):
     for f in (topk.top_k, ann.neighbours):
         assert f(spark, df.limit(0)).count() == 0
         assert f(spark, df.where("vec_id = 1")).count() == 0
+
+
+def test_lower_bounds_of_one_product_are_below_all_distances():
+    r = np.random.default_rng(5)
+    for n, size in ((3, 1e-3), (64, 1.0), (700, 1e4)):
+        x = np.concatenate([r.normal(size=(60, n)), np.zeros((2, n)), r.normal(size=(60, n)) * 1e-4]) * size
+        q = ann.Quantised(x)
+        left, right = ann.sides(q)
+        exact = ((q.x[:, None] - q.x[None]) ** 2).sum(2)
+        low = ann.lower_bounds(left, right, ann.margin(q, q))
+        middle, error = ann.bounds(q, q)
+        assert (low <= exact).all() and np.abs(low - (middle - error)).max() <= 2 * ann.margin(q, q)
